@@ -108,6 +108,32 @@ SELECT user_id AS patient_id, event_type AS treatment, CASE WHEN event_id % 3 =
        CAST(1 + event_id % 4 AS INT) AS severity_score,
        CASE user_id % 3 WHEN 0 THEN 'young' WHEN 1 THEN 'middle' ELSE 'elderly' END AS age_group
 FROM {events}
+""",
+    "quality_log": """
+WITH g AS (
+  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, o_orderpriority AS pr, count(*) AS n,
+         CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f,
+         CAST(sum(CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END) AS BIGINT) AS h
+  FROM {orders} GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE), o_orderpriority)
+SELECT concat(CAST(d AS STRING), '/', pr) AS metric_id, d AS measurement_date, pr AS table_name,
+       CASE WHEN f = 0 THEN NULL ELSE CAST(floor(10000 * f / n) AS DOUBLE) / CAST(100 AS DOUBLE) END AS completeness_score,
+       CASE WHEN n % 5 = 0 THEN NULL ELSE CAST(floor(10000 * h / n) AS DOUBLE) / CAST(100 AS DOUBLE) END AS consistency_score,
+       CASE WHEN n % 7 = 0 THEN CAST(120 AS DOUBLE) ELSE CAST(n % 100 AS DOUBLE) END AS accuracy_score,
+       CASE WHEN n % 3 = 0 THEN NULL ELSE CAST(f % 101 AS DOUBLE) END AS timeliness_score,
+       CAST(h % 130 AS DOUBLE) AS uniqueness_score,
+       CAST(f % 101 AS DOUBLE) AS validity_score,
+       CAST(floor((10000 * f + 5000 * h) / n) AS DOUBLE) / CAST(100 AS DOUBLE) AS overall_quality_score,
+       n AS total_records, n - f AS valid_records, f - h AS invalid_records, h AS duplicate_records,
+       CASE n % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'F' ELSE 'E' END AS quality_grade
+FROM g
+""",
+    "violation_log": """
+SELECT event_id AS violation_id, event_type AS rule_name, CAST(ts AS DATE) AS violation_date,
+       CASE user_id % 5 WHEN 0 THEN 'PROVIDER' WHEN 1 THEN 'FACILITY' WHEN 2 THEN 'AFFILIATION' WHEN 3 THEN 'ACTIVITY' ELSE 'PAYER' END AS entity_type,
+       CAST(user_id AS STRING) AS entity_id,
+       CASE event_id % 7 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 4 THEN 'MEDIUM' WHEN 5 THEN 'LOW' ELSE 'INFO' END AS severity_level,
+       CASE event_id % 6 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'RESOLVED' WHEN 3 THEN 'FALSE_POSITIVE' WHEN 4 THEN 'ACCEPTED_RISK' ELSE 'CLOSED' END AS status
+FROM {events}
 """,
 }
 
