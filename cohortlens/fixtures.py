@@ -134,6 +134,19 @@ SELECT event_id AS violation_id, event_type AS rule_name, CAST(ts AS DATE) AS vi
        CASE event_id % 7 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 4 THEN 'MEDIUM' WHEN 5 THEN 'LOW' ELSE 'INFO' END AS severity_level,
        CASE event_id % 6 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'RESOLVED' WHEN 3 THEN 'FALSE_POSITIVE' WHEN 4 THEN 'ACCEPTED_RISK' ELSE 'CLOSED' END AS status
 FROM {events}
+""",
+    "study_rows": """
+SELECT row_ordinal, source_category,
+       CASE WHEN row_ordinal % 12 = 0 THEN 'age' WHEN row_ordinal % 12 = 4 THEN 'diabetes' WHEN row_ordinal % 12 = 8 THEN 'male_gender' ELSE source_table END AS source_table,
+       study_date, journal, study_type, sample_size, severe, severe_significant, accuracy_text, treatment, clinical_improvement, age, text,
+       CASE WHEN row_ordinal % 12 = 5 THEN concat(CAST(row_ordinal % 60 AS STRING), '.5% of cases, later ', CAST(row_ordinal % 30 AS STRING), '%') END AS asymptomatic,
+       CASE WHEN row_ordinal % 12 = 9 THEN concat('factor ', CAST(row_ordinal % 11 AS STRING)) END AS factors,
+       CASE WHEN row_ordinal % 12 = 9 THEN CASE WHEN row_ordinal % 5 < 3 THEN 'Y' ELSE 'N' END END AS influential,
+       CASE WHEN row_ordinal % 4 = 2 THEN concat('method ', CAST(row_ordinal % 15 AS STRING)) END AS detection_method,
+       CASE WHEN row_ordinal % 4 = 2 AND row_ordinal % 7 <> 0 THEN CASE WHEN row_ordinal % 3 = 0 THEN 'Y' ELSE 'N' END END AS fda_approval,
+       CASE WHEN row_ordinal % 4 = 3 THEN CASE row_ordinal % 3 WHEN 0 THEN 'Severe' WHEN 1 THEN 'Mild' ELSE 'Critical' END END AS severity_of_disease,
+       CASE WHEN row_ordinal % 8 = 4 THEN concat('HR: 1.', CAST(row_ordinal % 10 AS STRING)) END AS fatality
+FROM {research_rows}
 """,
 }
 

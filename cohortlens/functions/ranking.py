@@ -87,3 +87,25 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], group
         lo, hi = F.col(f"_{n}_lo"), F.col(f"_{n}_hi")
         out.append((lo + (hi - lo) * (h - F.floor(h))).alias(n))
     return picked.select(*g, *out)
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
+                sums: Mapping[str, Column]) -> DataFrame:
+    """Running sums per key in ``order``, split by ``bucket`` like :func:`numbered`.
+
+    Each (key, bucket) is summed on its own and lifted by the totals of the buckets before it.
+    """
+    d = df.withColumn("_bucket", bucket)
+    totals = d.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
+        *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_s{i}") for i in range(len(sums))])
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(starts, on, "inner")
+    for i, (n, c) in enumerate(sums.items()):
+        out = out.withColumn(n, F.col(f"_s{i}") + F.sum(c).over(inside))
+    return out.drop("_bucket", "_b", *[f"_k{i}" for i in range(len(keys))], *[f"_s{i}" for i in range(len(sums))])
