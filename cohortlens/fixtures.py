@@ -147,6 +147,53 @@ SELECT row_ordinal, source_category,
        CASE WHEN row_ordinal % 4 = 3 THEN CASE row_ordinal % 3 WHEN 0 THEN 'Severe' WHEN 1 THEN 'Mild' ELSE 'Critical' END END AS severity_of_disease,
        CASE WHEN row_ordinal % 8 = 4 THEN concat('HR: 1.', CAST(row_ordinal % 10 AS STRING)) END AS fatality
 FROM {research_rows}
+""",
+    "authors": """
+SELECT c_custkey AS row_no,
+       CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE concat('auth ', CAST(c_custkey AS STRING), ' of ', c_mktsegment) END AS author_id,
+       CASE c_custkey % 6 WHEN 0 THEN concat('Mary Jane Smith', CAST(c_nationkey AS STRING)) WHEN 1 THEN 'Cher'
+            WHEN 2 THEN concat('Pat O''Neil, (', CAST(c_custkey AS STRING), ')') WHEN 3 THEN NULL WHEN 4 THEN ''
+            ELSE concat(' Dr. Ann-Marie van der Berg', CAST(c_nationkey AS STRING), ' ') END AS full_name,
+       CASE WHEN c_custkey % 2 = 0 THEN concat('A. Author', CAST(c_custkey AS STRING)) END AS authors,
+       CASE c_nationkey % 4 WHEN 0 THEN 'CA' WHEN 1 THEN 'NY' WHEN 2 THEN 'TX' ELSE 'MA' END AS license_state,
+       CAST(1950 + c_custkey % 60 AS INT) AS birth_year
+FROM {customer}
+""",
+    "source1": """
+SELECT provider_id, npi_number, full_name, first_name, last_name, concat(license_state, substr(provider_id, 6, 6)) AS license_number,
+       license_state, email, phone_number, last_updated
+FROM {providers}
+""",
+    "source2": """
+SELECT provider_id, CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 6 = 0 THEN NULL ELSE npi_number END AS npi_number,
+       CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 10 = 0 THEN upper(full_name)
+            WHEN CAST(substr(provider_id, 6, 6) AS INT) % 7 = 0 THEN first_name || ' M ' || last_name ELSE full_name END AS full_name,
+       first_name, last_name, concat(license_state, substr(provider_id, 6, 6)) AS license_number, license_state,
+       CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 11 = 0 THEN 'new.' || email ELSE email END AS email,
+       CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 9 = 0 THEN NULL ELSE phone_number END AS phone_number,
+       last_updated + CAST(CAST(substr(provider_id, 6, 6) AS INT) % 5 - 2 AS INT) AS last_updated
+FROM {providers} WHERE record_status = 'ACTIVE'
+""",
+    "source3": """
+SELECT provider_id, CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 8 = 0 THEN NULL ELSE npi_number END AS npi_number,
+       full_name, first_name, last_name, concat(license_state, 'X', substr(provider_id, 6, 6)) AS license_number, license_state,
+       CAST(NULL AS STRING) AS email, phone_number, last_updated - CAST(30 AS INT) AS last_updated
+FROM {providers} WHERE CAST(substr(provider_id, 6, 6) AS INT) % 3 <> 0
+""",
+    "snapshot_new": """
+SELECT provider_id, full_name, CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 11 = 0 THEN 'changed@clinic.org' ELSE email END AS email,
+       CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 14 = 0 THEN NULL ELSE phone_number END AS phone_number, record_status
+FROM {providers} WHERE CAST(substr(provider_id, 6, 6) AS INT) % 47 <> 0
+""",
+    "snapshot_old": """
+SELECT provider_id, full_name, email, phone_number, record_status FROM {providers} WHERE CAST(substr(provider_id, 6, 6) AS INT) % 53 <> 0
+""",
+    "change_log": """
+SELECT event_id AS change_id, concat('PROV_', lpad(CAST(user_id AS STRING), 6, '0')) AS record_id,
+       CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation_type,
+       concat('mail', CAST(event_id AS STRING), '@clinic.org') AS new_email, ts AS change_timestamp,
+       CASE WHEN event_id % 4 = 0 THEN 'COMPLETED' ELSE 'PENDING' END AS processed_status
+FROM {events}
 """,
 }
 
