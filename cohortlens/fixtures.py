@@ -194,6 +194,17 @@ SELECT event_id AS change_id, concat('PROV_', lpad(CAST(user_id AS STRING), 6, '
        concat('mail', CAST(event_id AS STRING), '@clinic.org') AS new_email, ts AS change_timestamp,
        CASE WHEN event_id % 4 = 0 THEN 'COMPLETED' ELSE 'PENDING' END AS processed_status
 FROM {events}
+""",
+    "metric_log": """
+SELECT event_id AS metric_id, ts, event_type AS component, value * 20 AS query_time_ms, CAST(user_id % 100 AS DOUBLE) AS cache_hit_rate,
+       CAST(event_id % 100 AS DOUBLE) AS cpu_percent, CAST(300 + event_id % 400 AS DOUBLE) AS memory_mb,
+       CAST(50 + (event_id * 7) % 51 AS DOUBLE) AS health_score
+FROM {events}
+""",
+    "alert_log": """
+SELECT event_id AS alert_id, ts, event_type AS alert_type, CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'CRITICAL' END AS severity,
+       (event_id % 3 = 0) AS resolved
+FROM {events}
 """,
 }
 
