@@ -205,6 +205,9 @@ FROM {events}
 SELECT event_id AS alert_id, ts, event_type AS alert_type, CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'CRITICAL' END AS severity,
        (event_id % 3 = 0) AS resolved
 FROM {events}
+""",
+    "referrals": """
+SELECT o_custkey AS src, CAST(floor(o_orderkey / 10) AS BIGINT) AS dst FROM {orders}
 """,
 }
 
