@@ -31,14 +31,17 @@ def like_ci(c: Column, pattern: Column | str) -> Column:
 
 
 def contains_ci(whole: Column, part: Column) -> Column:
-    return like_ci(whole, F.concat(F.lit("%"), part, F.lit("%")))
+    """``whole LIKE '%' || part || '%'`` without ASCII case. Only a part that holds a wildcard pays for a pattern per row."""
+    wild = F.contains(part, F.lit("%")) | F.contains(part, F.lit("_"))
+    plain = F.contains(ascii_lower(whole), ascii_lower(part))
+    return F.when(wild, like_ci(whole, F.concat(F.lit("%"), part, F.lit("%")))).otherwise(plain)
 
 
 def has_any_word(c: Column, words: Iterable[str]) -> Column:
-    hit = None
+    t, hit = ascii_lower(c), None
     for w in words:
-        t = like_ci(c, f"%{w}%")
-        hit = t if hit is None else hit | t
+        here = F.contains(t, F.lit(w))
+        hit = here if hit is None else hit | here
     return hit
 
 

@@ -251,6 +251,40 @@ register("rr06_critical", PFA, _V + "SELECT count(*) FILTER (WHERE severity = 'C
 
 # --- sources and sinks
 SRW = ("study_rows",)
+
+
+def _csv_folder(t):
+    """Study rows as category folders with one CSV per table."""
+    base = scratch_path(t.spark, "categories")
+    rows = t["study_rows"].drop("text")
+    for r in rows.select("source_category", "source_table").distinct().collect():  # one row per table
+        part = rows.where((col("source_category") == r[0]) & (col("source_table") == r[1])).drop("source_category", "source_table")
+        part.write.option("header", "true").csv(f"{base}/{r[0]}/{r[1]}.csv")
+    return base
+
+
+_HAVE = "SELECT source_category AS c, count(DISTINCT source_table) AS n FROM study_rows GROUP BY 1"
+register("io01_category_tables", SRW, """
+SELECT source_category, source_table, count(*) AS n, count(sample_size) AS samples, sum(row_ordinal)::BIGINT AS ids FROM study_rows GROUP BY ALL""")(
+    lambda t: IO.read_category_tables(t.spark, _csv_folder(_renamed(t))).groupBy("source_category", "source_table").agg(
+        F.count(lit(1)).alias("n"), F.count("sample_size").alias("samples"), F.sum(col("study_id").cast("bigint")).alias("ids")))
+
+
+class _renamed:
+    """Study rows whose id column does not clash with the provenance column."""
+
+    def __init__(self, t):
+        self.spark, self.rows = t.spark, t["study_rows"].withColumnRenamed("row_ordinal", "study_id")
+
+    def __getitem__(self, name):
+        return self.rows
+
+
+register("io07_inventory", SRW, f"""
+WITH h AS ({_HAVE}), w AS (SELECT unnest(['1_population', '2_relevant_factors', '3_patient_descriptions', '4_models_and_open_questions', '5_materials', '6_diagnostics',
+  '7_therapeutics_interventions_and_clinical_studies', '8_risk_factors']) AS category)
+SELECT category, coalesce(n, 0) AS files, n IS NOT NULL AS found, (SELECT count(*) >= 4 FROM h) AS usable FROM w LEFT JOIN h ON c = category""")(
+    lambda t: IO.input_inventory(t.spark, _csv_folder(t)))
 register("io02_standardize", SRW, """
 SELECT row_ordinal, source_table, journal AS journal_name, TRY_CAST(study_date AS TIMESTAMP) AS study_date FROM study_rows""")(
     lambda t: IO.standardize(t["study_rows"].select("row_ordinal", "source_table", col("journal").alias(" Journal Name"),

@@ -18,18 +18,22 @@ DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "yyyy/M/d")
 PROVENANCE = ("source_category", "source_table", "row_ordinal")
 
 
-def list_files(spark: SparkSession, base: str, pattern: str = "*.csv") -> DataFrame:
-    """``category, table, path`` of the files one folder below ``base``; only file names are read."""
+# ``category/table.csv``, or ``category/table.csv/part-…`` as Spark itself writes a table.
+CSV_PATH = r"^.*?/([^/]+)/([^/]+)\.csv(?:/part-[^/]+)?$"
+
+
+def list_files(spark: SparkSession, base: str) -> DataFrame:
+    """``category, table, path`` of the CSV files below ``base``; only file names are read."""
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(base)
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(base)
         .select("path"))
-    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("category"), F.url_decode(stem).alias("table"), "path")
+    part = lambda i: F.url_decode(F.regexp_extract("path", CSV_PATH, i))
+    return files.select(part(1).alias("category"), part(2).alias("table"), "path")
 
 
 def input_inventory(spark: SparkSession, base: str, expected: Sequence[str] = tuple(CATEGORIES), needed: int = 4) -> DataFrame:
     """Files per expected category, whether it was found, and whether enough categories exist for an analysis."""
-    found = list_files(spark, base).groupBy("category").agg(F.count(lit(1)).alias("files"))
+    found = list_files(spark, base).select("category", "table").distinct().groupBy("category").agg(F.count(lit(1)).alias("files"))
     want = spark.createDataFrame([(c,) for c in expected], "category string")
     rows = want.join(found, "category", "left").select(
         "category", F.coalesce("files", lit(0)).alias("files"), col("files").isNotNull().alias("found"))
@@ -43,11 +47,12 @@ def read_category_tables(spark: SparkSession, base: str, multi_line: bool = True
     Headers differ by file, so each file is its own scan and the scans are united by column name. A file that cannot
     be read is skipped. ``multi_line`` keeps line breaks inside quoted cells; switch it off to let big files split.
     """
-    wanted = list_files(spark, base).where(col("category").isin(*CATEGORIES)).orderBy("category", "table")
+    wanted = list_files(spark, base).where(col("category").isin(*CATEGORIES)).groupBy("category", "table").agg(
+        F.sort_array(F.collect_list("path")).alias("paths")).orderBy("category", "table")
     parts: list[DataFrame] = []
-    for category, table, path in wanted.collect():  # one row per file name
+    for category, table, paths in wanted.collect():  # one row per table, holding file names only
         try:
-            raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE")
+            raw = spark.read.csv(paths, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE")
         except AnalysisException:
             continue
         if not raw.columns:
@@ -64,15 +69,13 @@ def read_category_tables(spark: SparkSession, base: str, multi_line: bool = True
 
 
 def table_columns(spark: SparkSession, base: str) -> DataFrame:
-    """``source_category, source_table, column_name`` of every file, for checks on which columns a table has."""
-    heads = spark.read.option("wholetext", "false").text(
-        [r.path for r in list_files(spark, base).collect()] or [base]).select(
-        col("_metadata.file_path").alias("path"), col("_metadata.file_block_start").alias("at"), "value")
-    first = heads.groupBy("path").agg(F.min_by("value", "at").alias("head"))
-    return first.select(
-        F.element_at(F.split("path", "/"), -2).alias("source_category"),
-        F.url_decode(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)).alias("source_table"),
-        F.explode(F.transform(F.split("head", ","), lambda x: F.trim(F.translate(x, '"', "")))).alias("column_name"))
+    """``source_category, source_table, column_name`` of every file: the header is the line at offset 0."""
+    heads = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(base).select(
+        col("_metadata.file_path").alias("path"), col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value")
+    first = heads.groupBy("path").agg(F.min_by("value", F.struct("at", "i")).alias("head"))
+    part = lambda i: F.url_decode(F.regexp_extract("path", CSV_PATH, i))
+    return first.select(part(1).alias("source_category"), part(2).alias("source_table"), F.explode(F.transform(
+        F.split("head", ","), lambda x: F.trim(F.translate(x, '"', "")))).alias("column_name")).distinct()
 
 
 def parse_date(c: Column) -> Column:
