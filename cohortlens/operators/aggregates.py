@@ -66,10 +66,18 @@ def percent_where(conditions: dict[str, Column]) -> list[Column]:
     return [(F.avg(c.cast("int")) * 100).alias(n) for n, c in conditions.items()]
 
 
-def joined_values(df: DataFrame, key: str, value: str, sep: str = "; ") -> DataFrame:
-    """Distinct values of a key as one sorted text."""
-    return df.select(key, value).distinct().groupBy(key).agg(
-        F.concat_ws(sep, F.sort_array(F.collect_list(value))).alias("values_text"), F.count(value).alias("n_values"))
+def joined_values(df: DataFrame, key: str, value: str, label: str | None = None, sep: str = "; ", chunk: int = 10_000) -> DataFrame:
+    """Texts of the distinct values of a key, each sorted, with the number of values of the key.
+
+    A key with more than ``chunk`` values gives several parts, so no task and no text grows with a hot key and no
+    value is lost; other keys have part 0 only. ``label`` is the text shown for a value (the value itself by default).
+    """
+    shown = label or value
+    d = df.select(key, value, *([label] if label else [])).where(col(value).isNotNull()).distinct()
+    sizes = d.groupBy(key).agg(F.count(lit(1)).alias("n_values"))
+    part = F.pmod(F.xxhash64(value), F.ceil(col("n_values") / chunk)).cast("int")
+    return d.join(sizes, key).groupBy(key, part.alias("part"), "n_values").agg(
+        F.concat_ws(sep, F.sort_array(F.collect_list(shown))).alias("values_text"))
 
 
 def top_k(df: DataFrame, value: str, k: int, key: str, largest: bool = True) -> DataFrame:

@@ -8,8 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.extract import const_map
 from cohortlens.functions.ranking import exact_quantiles
+from cohortlens.operators.aggregates import joined_values
 from cohortlens.operators.graph import connected_components
 from cohortlens.operators.joins import similar_names
 from cohortlens.operators.windows import monthly_counts, monthly_with_rolling, monthly_with_stats
@@ -261,11 +261,12 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str, order: Seque
 def too_many_facilities(t: Tables, limit: int = LIMITS["max_facilities"]) -> DataFrame:
     """Providers with more current facilities than allowed. Names are listed for the violating providers only."""
     a = t["affiliations"].where(col("end_date").isNull()).select("provider_id", "facility_id").distinct()
-    a = a.join(t["facilities"].select("facility_id", "facility_name"), "facility_id")
     over = a.groupBy("provider_id").agg(F.count(lit(1)).alias("facility_count")).where(col("facility_count") > limit)
-    return a.join(over, "provider_id").groupBy("provider_id", "facility_count").agg(
-        F.concat_ws("; ", F.sort_array(F.collect_list("facility_name"))).alias("facilities")).select(
-        lit("MAX_AFFILIATIONS").alias("rule_name"), "*", lit("VIOLATION").alias("status"))
+    named = a.join(over, "provider_id").join(t["facilities"].select("facility_id", "facility_name"), "facility_id")
+    listed = joined_values(named, "provider_id", "facility_id", "facility_name").where(col("n_values") > limit)
+    return listed.select(
+        lit("MAX_AFFILIATIONS").alias("rule_name"), "provider_id", col("n_values").alias("facility_count"), "part",
+        col("values_text").alias("facilities"), lit("VIOLATION").alias("status"))
 
 
 def activity_spikes(activities: DataFrame) -> DataFrame:

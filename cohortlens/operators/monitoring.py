@@ -165,35 +165,45 @@ def long_metrics(log: DataFrame, id_cols: Sequence[str], metrics: Sequence[str])
 
 
 def evaluate_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Metric rows that meet a rule. Rules are a configuration table of a few rows, broadcast to the metrics."""
-    return metrics.join(F.broadcast(rules), "metric").where(compare(col("value"), col("operator"), col("threshold")))
+    """Metric rows that meet a rule. Spark broadcasts the rules when their size is under its threshold."""
+    return metrics.join(rules, "metric").where(compare(col("value"), col("operator"), col("threshold")))
 
 
 def tiered(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     """Critical before warning; ``limits``: metric, operator, warning, critical."""
     hit = lambda c: compare(col("value"), col("operator"), col(c))
     level = F.when(hit("critical"), "critical").when(hit("warning"), "warning")
-    return metrics.join(F.broadcast(limits), "metric").withColumn("level", level).where(col("level").isNotNull())
+    return metrics.join(limits, "metric").withColumn("level", level).where(col("level").isNotNull())
 
 
 def flatten_json_metrics(df: DataFrame, text: str, ids: Sequence[str], depth: int = 4) -> DataFrame:
-    """Dotted name and number rows of a JSON object column; numeric lists give ``.avg``, ``.max`` and ``.min``."""
-    level = df.select(*ids, F.lit("").alias("_p"), F.from_json(text, "map<string,string>").alias("_m"))
-    leaves = None
-    for _ in range(depth):
-        kv = level.select(*ids, "_p", F.explode("_m").alias("_k", "_v")).where(col("_k") != "timestamp").select(
-            *ids, F.concat("_p", "_k").alias("name"), "_v")
-        nested, listed = F.startswith("_v", lit("{")), F.startswith("_v", lit("["))
-        plain = kv.where(~nested & ~listed).select(*ids, "name", col("_v").try_cast("double").alias("value"))
-        nums = kv.where(listed).select(*ids, "name", F.from_json("_v", "array<double>").alias("_a")).where(F.size("_a") > 0)
-        mean = F.aggregate("_a", lit(0.0), lambda a, x: a + x) / F.size("_a")
-        lists = nums.select(*ids, "name", F.explode(F.create_map(
-            lit(".avg"), mean, lit(".max"), F.array_max("_a"), lit(".min"), F.array_min("_a"))).alias("_s", "value")).select(
-            *ids, F.concat("name", "_s").alias("name"), "value")
-        part = plain.unionByName(lists)
-        leaves = part if leaves is None else leaves.unionByName(part)
-        level = kv.where(nested).select(*ids, F.concat("name", lit(".")).alias("_p"), F.from_json("_v", "map<string,string>").alias("_m"))
-    return leaves.where(col("value").isNotNull())
+    """Dotted name and number rows of a JSON object column; numeric lists give ``.avg``, ``.max`` and ``.min``.
+
+    Nested objects are opened inside the row, level by level, so the table is read once.
+    """
+    obj = "map<string,string>"
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    usable = lambda e: e["key"] != "timestamp"
+    entries = F.transform(F.filter(F.map_entries(F.from_json(text, obj)), usable), lambda e: pair(e["key"], e["value"]))
+
+    def opened(e: Column) -> Column:
+        inner = F.transform(F.filter(F.map_entries(F.from_json(e["v"], obj)), usable), lambda f: pair(F.concat(e["k"], lit("."), f["key"]), f["value"]))
+        return F.when(F.startswith(e["v"], lit("{")), inner).otherwise(F.array(e))
+
+    for _ in range(depth - 1):
+        entries = F.flatten(F.transform(entries, opened))
+
+    def numbers(e: Column) -> Column:
+        a = F.from_json(e["v"], "array<double>")
+        num = lambda k, v: F.struct(k.alias("name"), v.alias("value"))
+        mean = F.aggregate(a, lit(0.0), lambda x, y: x + y) / F.size(a)
+        stats = F.array(num(F.concat(e["k"], lit(".avg")), mean), num(F.concat(e["k"], lit(".max")), F.array_max(a)),
+                        num(F.concat(e["k"], lit(".min")), F.array_min(a)))
+        is_list = F.startswith(e["v"], lit("["))
+        return F.when(is_list & (F.size(a) > 0), stats).when(~is_list, F.array(num(e["k"], e["v"].try_cast("double"))))
+
+    rows = df.select(*ids, F.explode(F.flatten(F.filter(F.transform(entries, numbers), lambda x: x.isNotNull()))).alias("m"))
+    return rows.select(*ids, "m.name", "m.value").where(col("value").isNotNull())
 
 
 # --- event-time questions in batch form

@@ -191,7 +191,7 @@ register("ag11_pivot_mean", ("interactions",), "SELECT patient_id, " + ", ".join
     f"round(coalesce(avg(outcome) FILTER (WHERE treatment = '{x}'), 0), 6) AS {x}" for x in _TREAT) + " FROM interactions GROUP BY 1")(
     lambda t: _R6(A.pivot_mean(t["interactions"], "patient_id", "treatment", "outcome", _TREAT), *_TREAT))
 register("ag12_joined_values", ("affiliations",), """
-SELECT provider_id, string_agg(DISTINCT facility_id, '; ' ORDER BY facility_id) AS values_text, count(DISTINCT facility_id) AS n_values
+SELECT provider_id, 0 AS part, string_agg(DISTINCT facility_id, '; ' ORDER BY facility_id) AS values_text, count(DISTINCT facility_id) AS n_values
 FROM affiliations GROUP BY 1""")(lambda t: A.joined_values(t["affiliations"], "provider_id", "facility_id"))
 register("ag13_histogram", (), """
 WITH s AS (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) / 20 AS w FROM lineitem),

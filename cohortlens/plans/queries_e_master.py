@@ -165,7 +165,7 @@ PFA = ("providers", "facilities", "affiliations")
 _d = lambda t: t.pick(*PFA, "activities")
 register("br01_max_affiliations", PFA, """
 WITH a AS (SELECT DISTINCT provider_id, facility_id, facility_name FROM affiliations JOIN facilities USING (facility_id) WHERE end_date IS NULL)
-SELECT 'MAX_AFFILIATIONS' AS rule_name, provider_id, count(*) AS facility_count, string_agg(facility_name, '; ' ORDER BY facility_name) AS facilities, 'VIOLATION' AS status
+SELECT 'MAX_AFFILIATIONS' AS rule_name, provider_id, count(*) AS facility_count, 0 AS part, string_agg(facility_name, '; ' ORDER BY facility_name) AS facilities, 'VIOLATION' AS status
 FROM a GROUP BY 2 HAVING count(*) > 5""")(lambda t: M.too_many_facilities(_d(t)))
 _MON = "WITH m AS (SELECT provider_id, CAST(date_trunc('month', activity_date) AS DATE) AS month, count(*) AS monthly_count FROM activities GROUP BY ALL), "
 register("br02_activity_spike", ("activities",), _MON + """

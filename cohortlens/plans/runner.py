@@ -89,7 +89,7 @@ def run_rules_to(tables: Tables, path: str, asof: dt.date, variant: str = "stand
 
 def apply_settings(violations: DataFrame, settings: DataFrame) -> DataFrame:
     """Keep enabled rules and add the rule severity (default MEDIUM). Settings hold one row per rule."""
-    return violations.join(F.broadcast(settings), "rule_name", "left").where(F.coalesce("enabled", lit(True))).withColumn(
+    return violations.join(settings, "rule_name", "left").where(F.coalesce("enabled", lit(True))).withColumn(
         "rule_severity", F.coalesce("rule_severity", lit("MEDIUM"))).drop("enabled")
 
 

@@ -15,7 +15,7 @@ col, lit = F.col, F.lit
 def export_rows(violations: DataFrame, summary: DataFrame, check_time: dt.datetime) -> DataFrame:
     """Flat export: every violation with its own severity and the severity of its rule."""
     s = summary.select("rule_name", col("rule_severity"), col("execution_time"))
-    return violations.join(F.broadcast(s), "rule_name", "left").withColumnRenamed("rule_name", "validation_rule").withColumn(
+    return violations.join(s, "rule_name", "left").withColumnRenamed("rule_name", "validation_rule").withColumn(
         "check_timestamp", lit(check_time))
 
 
