@@ -70,7 +70,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], group
     tagged = with_cuts.select(
         *g, "_v", "_c", "_total", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_b"))
     upto = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = tagged.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc")).select(
+    # ``_total`` is kept in use on this side too: both sides then need the same columns and Spark runs the count once.
+    starts = tagged.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"), F.max("_total").alias("_t")).where(F.col("_t") > 0).select(
         *g, "_b", F.coalesce(F.sum("_bc").over(upto), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*g, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = tagged.join(starts, [*g, "_b"]).withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
