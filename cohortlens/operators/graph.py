@@ -28,8 +28,10 @@ def connected_components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
     Alternating large-star / small-star steps over the edges. A step only needs the smallest neighbour per node
     (a map-side combined minimum) and one join, so a node with very many edges is never collected.
     """
+    # Written once: the edges may be an expensive plan, and they are read for the nodes and for the first step.
+    edges = cut_lineage(edges.select("src", "dst").distinct())
     nodes = edges.select(col("src").alias("node")).unionByName(edges.select(col("dst").alias("node"))).distinct()
-    cur = cut_lineage(both_ways(edges).where(col("src") > col("dst")))
+    cur = both_ways(edges).where(col("src") > col("dst"))
     previous = None
     for _ in range(max_iter):
         sym = cur.unionByName(cur.select(col("dst").alias("src"), col("src").alias("dst")))

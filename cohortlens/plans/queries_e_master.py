@@ -109,9 +109,12 @@ z AS (SELECT a3.*, source || ':' || provider_id AS node, CASE source WHEN 'sourc
 g AS (SELECT z.*, coalesce(golden_id, z.node) AS golden_id FROM z LEFT JOIN c ON c.node = z.node)
 SELECT golden_id, {", ".join(_pick(c) for c in _FIELDS)}, count(*) AS record_count, count(DISTINCT source) AS source_count, round(avg(w), 6) AS confidence,
        arg_max(source, (w, last_updated, node)) AS lead_source, max(last_updated) AS newest_update FROM g GROUP BY 1""")(
-    lambda t: M.golden_records(
-        M.exact_matches(*_s(t)).unionByName(M.fuzzy_matches(t["source1"], t["source2"], M.exact_matches(*_s(t)))),
-        M.weighted_sources(_srcs(t), _FIELDS), _FIELDS).withColumn("confidence", F.round("confidence", 6)))
+    lambda t: M.golden_records(_levels12(t), M.weighted_sources(_srcs(t), _FIELDS), _FIELDS).withColumn("confidence", F.round("confidence", 6)))
+
+
+def _levels12(t):
+    exact = M.exact_matches(*_s(t))
+    return exact.unionByName(M.fuzzy_matches(t["source1"], t["source2"], exact))
 
 
 def _fuzzy_pairs(t):

@@ -105,7 +105,16 @@ o AS (SELECT week, value, xl + (i - tr) * c / (1 - phi) + (dl - c / (1 - phi)) *
 register("ts05a_forecast", _A, _FC + "SELECT week, value, round(forecast, 6) AS forecast FROM o")(lambda t: rnd(TS.forecast(TS.weekly(_series(t)))))
 register("ts05b_forecast_errors", _A, _FC + "SELECT round(avg(abs(value - forecast)), 6) AS mae, round(avg(pow(value - forecast, 2)), 6) AS mse, count(*) AS steps FROM o")(
     lambda t: rnd(TS.forecast_errors(TS.forecast(TS.weekly(_series(t))))))
-register("ts05c_forecast_by_type", _A)(lambda t: rnd(TS.forecast(TS.weekly(TS.daily_series(t["activities"], "activity_date", ["activity_type"]), ["activity_type"]), ["activity_type"])))
+_K = "activity_type"
+register("ts05c_forecast_by_type", _A, f"""WITH b AS (SELECT {_K}, min(activity_date) AS lo, max(activity_date) AS hi FROM activities GROUP BY 1),
+d AS (SELECT {_K}, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b),
+s AS (SELECT d.{_K}, d.date, count(activity_id) AS value FROM d LEFT JOIN activities a ON a.activity_date = d.date AND a.{_K} = d.{_K} GROUP BY ALL),
+w AS (SELECT {_K}, CAST(date_trunc('week', date) AS DATE) + 6 AS week, sum(value)::BIGINT AS value FROM s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER k AS i, count(*) OVER (PARTITION BY {_K}) AS n, value - lag(value) OVER k AS dx FROM w WINDOW k AS (PARTITION BY {_K} ORDER BY week)),
+l AS (SELECT *, floor(n * 0.8) AS tr, lag(dx) OVER (PARTITION BY {_K} ORDER BY week) AS dp FROM r),
+f AS (SELECT {_K}, regr_slope(dx, dp) FILTER (WHERE i <= tr) AS phi, regr_intercept(dx, dp) FILTER (WHERE i <= tr) AS c, max(value) FILTER (WHERE i = tr) AS xl, max(dx) FILTER (WHERE i = tr) AS dl FROM l GROUP BY 1)
+SELECT {_K}, week, value, round(xl + (i - tr) * c / (1 - phi) + (dl - c / (1 - phi)) * phi * (1 - pow(phi, i - tr)) / (1 - phi), 6) AS forecast FROM l JOIN f USING ({_K}) WHERE i > tr""")(
+    lambda t: rnd(TS.forecast(TS.weekly(TS.daily_series(t["activities"], "activity_date", [_K]), [_K]), [_K])))
 
 # --- recommendation
 _I = ("interactions",)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cohortlens.operators.master import apply_changes
@@ -76,7 +77,10 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(f"{stream._jdf.schema().toDDL()}, batch_id bigint").parquet(f"{path}/data")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    if q.lastProgress is None:  # no input, so no batch was written
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/data")
 
 
 def latest_update(rows: DataFrame, *keys: str) -> DataFrame:
