@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +31,8 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def same_doc(a: DataFrame, b: DataFrame) -> Column:
     """Join condition on ``_id`` (null equals null) and ``_t``."""
     return a["_id"].eqNullSafe(b["_id"]) & (a["_t"] == b["_t"])
+
+
+def by_value(module: str) -> None:
+    """Functions of this module go to the executors with their code, so those need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

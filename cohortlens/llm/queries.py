@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, exact_dedup, license_scan, line_dedup, sharding
+from cohortlens.llm import bpe, chat, exact_dedup, langid, license_scan, line_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,6 +91,21 @@ def op5(documents: DataFrame) -> DataFrame:
         "row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"), F.md5("text").alias("text_md5"))
 
 
+@query("op7_bpe_trie", "documents")
+def op7(documents: DataFrame) -> DataFrame:
+    encoded = bpe.encode(documents, public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_language_id", "documents")
+def op9(documents: DataFrame) -> DataFrame:
+    out = langid.held_out(F.col("doc_id"))
+    return langid.predict(documents, langid.fit(documents.where(~out))).select(
+        "row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def _license_sql() -> str:
     known = [f"('{name}', '{label}', {str(phrase).lower()}, {len(w) - 2}, {q}, '{' '.join(w[q:q + 3])}')"
              for name, label, phrase, w in license_scan.templates() for q in range(len(w) - 2)]
