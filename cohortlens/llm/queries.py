@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, exact_dedup, langid, license_scan, line_dedup, sharding
+from cohortlens.llm import bpe, chat, decontaminate, exact_dedup, langid, license_scan, line_dedup, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +62,26 @@ def op2(documents: DataFrame) -> DataFrame:
     return sharding.shard_documents(documents, 16)
 
 
+DECONTAMINATION_SQL = r"""
+WITH cut(kind, id, w) AS (
+  SELECT 'doc', doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM documents
+  UNION ALL
+  SELECT 'item', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+parts AS (SELECT DISTINCT kind, id, unnest(list_transform(range(greatest(len(w) - 4, least(len(w), 1))), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM cut),
+sizes AS (SELECT id, count(*) AS n_item FROM parts WHERE kind = 'item' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*)::DOUBLE / any_value(n_item) AS containment
+FROM parts d JOIN parts i ON d.s = i.s AND d.kind = 'doc' AND i.kind = 'item' JOIN sizes ON sizes.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= (0.8 - 1e-9) * any_value(n_item)"""
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return decontaminate.find_items(read("documents"), read("benchmark")).drop("_t")
+
+
+QUERIES["op3_decontamination"], SQL["op3_decontamination"] = op3, DECONTAMINATION_SQL
+
+
 @query("op4_exact_dedup", "documents", r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n FROM documents),
 w AS (SELECT *, first_value(doc_id) OVER g AS keep_id, first_value(n) OVER g AS keep_n, count(*) OVER (PARTITION BY text_sha256) AS group_size
@@ -91,6 +112,11 @@ def op5(documents: DataFrame) -> DataFrame:
         "row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"), F.md5("text").alias("text_md5"))
 
 
+@query("op6_simhash", "documents")
+def op6(documents: DataFrame) -> DataFrame:
+    return simhash.near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op7_bpe_trie", "documents")
 def op7(documents: DataFrame) -> DataFrame:
     encoded = bpe.encode(documents, public_tokenizers.path("byte_bpe_50k.json"))
@@ -99,6 +125,16 @@ def op7(documents: DataFrame) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op8_warc", "pages", r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS lead FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN lead = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN lead <> page_id THEN lead END AS refers_to FROM m""")
+def op8(pages: DataFrame) -> DataFrame:
+    return warc.round_trip(pages).select(
+        "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+
+
 @query("op9_language_id", "documents")
 def op9(documents: DataFrame) -> DataFrame:
     out = langid.held_out(F.col("doc_id"))
@@ -134,3 +170,8 @@ FROM d LEFT JOIN per ON d.doc_id = per.doc_id"""
 @query("op10_license_scan", "documents", _license_sql())
 def op10(documents: DataFrame) -> DataFrame:
     return license_scan.scan_licenses(documents)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
