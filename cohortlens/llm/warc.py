@@ -68,9 +68,9 @@ def records(pages: DataFrame, id_col="page_id", url_col="url", html_col="html",
         ("WARC-Refers-To", F.when(col("again"), col("lead_rid"))), ("WARC-Refers-To-Target-URI", F.when(col("again"), F.regexp_replace(F.coalesce("lead_url", lit("")), r"[\r\n]", " "))),
         ("WARC-Profile", F.when(col("again"), lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ("Content-Type", lit("application/http; msgtype=response"))], http)
-    path = F.regexp_replace(clean, "^[a-zA-Z]+://[^/]*", "")
+    path = F.regexp_replace(clean, "^[a-zA-Z]+://[^/?#]*|#.*$", "")
     ask = _record("request", _id("request"), [*common, ("WARC-Concurrent-To", col("rid")), ("Content-Type", lit("application/http; msgtype=request"))],
-                  F.concat(lit("GET "), F.when(path == "", lit("/")).otherwise(path), lit(" HTTP/1.1\r\nAccept: text/html" + END)))
+                  F.concat(lit("GET "), F.when(path.startswith("/"), path).otherwise(F.concat(lit("/"), path)), lit(" HTTP/1.1\r\nAccept: text/html" + END)))
     about = _record("metadata", _id("metadata"), [*common, ("WARC-Concurrent-To", col("rid")), ("Content-Type", lit("application/warc-fields"))],
                     F.concat_ws("\r\n", F.concat(lit("pageId: "), col("page_id").cast("string")), lit("via: crawl\r\n")))
     return p.select(F.explode(F.array(ask, answer, about)).alias("value"))
