@@ -13,7 +13,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,7 +29,7 @@ from cohortlens.operators import survival as SV  # noqa: E402
 from cohortlens.operators import windows as W  # noqa: E402
 from cohortlens.plans import runner as RN  # noqa: E402
 from cohortlens.plans.registry import Tables  # noqa: E402
-from cohortlens.session import local_session  # noqa: E402
+from cohortlens.session import local_session, scratch_path  # noqa: E402
 
 DOMAIN = ("providers", "facilities", "affiliations", "activities", "study_rows", "survival", "call_log")
 
@@ -55,7 +54,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session("bench", cpus, int(cpus) if cpus.isdigit() else 8)
-    home = tempfile.mkdtemp(prefix="cohortlens-bench-")
+    home = scratch_path(spark, "bench")
     t0 = time.time()
     src = Tables(spark, folder)
     for n in DOMAIN:

@@ -18,7 +18,7 @@ WITH b AS (
          concat('Smith', CAST(c_nationkey AS STRING)) AS ln,
          CASE WHEN c_custkey % 59 = 0 THEN NULL WHEN c_custkey % 53 = 0 THEN 1915 ELSE CAST(1940 + c_custkey % 60 AS INT) END AS birth_year
   FROM {customer})
-SELECT concat('PROV_', lpad(CAST(k AS STRING), 6, '0')) AS provider_id,
+SELECT concat('PROV_', lpad(CAST(k AS STRING), CAST(greatest(6, length(CAST(k AS STRING))) AS INT), '0')) AS provider_id,
        CASE WHEN k % 41 = 0 THEN NULL WHEN k % 37 = 0 THEN '12345' WHEN k % 31 = 0 THEN '12345A7890'
             WHEN k % 29 = 0 THEN '1999999999' ELSE CAST(1000000000 + k AS STRING) END AS npi_number,
        CASE WHEN k % 43 = 0 THEN ' ' WHEN k % 47 = 0 THEN 'TEST Record' WHEN k % 61 = 0 THEN fn ELSE concat(fn, ' ', ln) END AS full_name,
@@ -41,12 +41,12 @@ SELECT concat('PROV_', lpad(CAST(k AS STRING), 6, '0')) AS provider_id,
 FROM b
 """,
     "facilities": """
-SELECT concat('FAC_', lpad(CAST(s_suppkey AS STRING), 6, '0')) AS facility_id,
+SELECT concat('FAC_', lpad(CAST(s_suppkey AS STRING), CAST(greatest(6, length(CAST(s_suppkey AS STRING))) AS INT), '0')) AS facility_id,
        concat('Clinic ', CAST(s_suppkey AS STRING)) AS facility_name,
        CASE s_suppkey % 4 WHEN 0 THEN 'Hospital' WHEN 1 THEN 'Urgent Care' WHEN 2 THEN 'Private Practice' ELSE 'Research Institute' END AS facility_type,
        CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE concat('City', CAST(s_nationkey AS STRING)) END AS city,
        CASE s_nationkey % 4 WHEN 0 THEN 'CA' WHEN 1 THEN 'NY' WHEN 2 THEN 'TX' ELSE 'MA' END AS state_province,
-       CASE WHEN s_suppkey % 13 = 0 THEN '12A' ELSE lpad(CAST(10000 + s_suppkey AS STRING), 5, '0') END AS postal_code,
+       CASE WHEN s_suppkey % 13 = 0 THEN '12A' ELSE CAST(10000 + s_suppkey % 90000 AS STRING) END AS postal_code,
        CAST(CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE 50 + s_suppkey % 700 END AS INT) AS bed_count,
        CASE WHEN s_suppkey % 5 = 0 THEN 'PENDING' ELSE 'VERIFIED' END AS validation_status
 FROM {supplier}
@@ -54,11 +54,10 @@ FROM {supplier}
     "affiliations": """
 WITH p AS (
   SELECT o_custkey AS c, l_suppkey AS s, min(CAST(o_orderdate AS DATE)) AS d0
-  FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey
-  WHERE l_linenumber = 1 AND l_suppkey % 10 <> 9 GROUP BY o_custkey, l_suppkey),
+  FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey),
 r AS (SELECT c, s, d0, row_number() OVER (PARTITION BY c ORDER BY s) AS rn FROM p)
-SELECT concat('PROV_', lpad(CAST(CASE WHEN c % 103 = 0 THEN c + 900000 ELSE c END AS STRING), 6, '0')) AS provider_id,
-       concat('FAC_', lpad(CAST(CASE WHEN (c + s) % 107 = 0 THEN s + 900000 ELSE s END AS STRING), 6, '0')) AS facility_id,
+SELECT concat('PROV_', CASE WHEN c % 103 = 0 THEN 'X' ELSE '' END, lpad(CAST(c AS STRING), CAST(greatest(6, length(CAST(c AS STRING))) AS INT), '0')) AS provider_id,
+       concat('FAC_', CASE WHEN (c + s) % 107 = 0 THEN 'X' ELSE '' END, lpad(CAST(s AS STRING), CAST(greatest(6, length(CAST(s AS STRING))) AS INT), '0')) AS facility_id,
        d0 AS start_date,
        CASE WHEN c % 9 = 0 OR (c + s) % 4 = 0 THEN d0 + CAST(100 + (c + s) % 900 AS INT) ELSE NULL END AS end_date,
        (CASE WHEN c % 13 = 0 THEN FALSE WHEN c % 11 = 0 THEN rn <= 2 ELSE rn = 1 END) AS is_primary_affiliation
@@ -66,8 +65,8 @@ FROM r
 """,
     "activities": """
 SELECT concat('ACT_', CAST(o_orderkey AS STRING)) AS activity_id,
-       concat('PROV_', lpad(CAST(o_custkey AS STRING), 6, '0')) AS provider_id,
-       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE concat('FAC_', lpad(CAST(o_orderkey % 10 AS STRING), 6, '0')) END AS facility_id,
+       concat('PROV_', lpad(CAST(o_custkey AS STRING), CAST(greatest(6, length(CAST(o_custkey AS STRING))) AS INT), '0')) AS provider_id,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE concat('FAC_', lpad(CAST(o_orderkey % 10 AS STRING), CAST(greatest(6, length(CAST(o_orderkey % 10 AS STRING))) AS INT), '0')) END AS facility_id,
        CAST(o_orderdate AS DATE) AS activity_date,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CLINICAL' WHEN '2' THEN 'RESEARCH' WHEN '3' THEN 'PUBLICATION' WHEN '4' THEN 'EDUCATION' ELSE 'ADMINISTRATIVE' END AS activity_type,
        CAST(o_orderkey % 50 AS INT) AS citation_count
@@ -160,36 +159,36 @@ SELECT c_custkey AS row_no,
 FROM {customer}
 """,
     "source1": """
-SELECT provider_id, npi_number, full_name, first_name, last_name, concat(license_state, substr(provider_id, 6, 6)) AS license_number,
+SELECT provider_id, npi_number, full_name, first_name, last_name, concat(license_state, substr(provider_id, 6)) AS license_number,
        license_state, email, phone_number, last_updated
 FROM {providers}
 """,
     "source2": """
-SELECT provider_id, CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 6 = 0 THEN NULL ELSE npi_number END AS npi_number,
-       CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 10 = 0 THEN upper(full_name)
-            WHEN CAST(substr(provider_id, 6, 6) AS INT) % 7 = 0 THEN first_name || ' M ' || last_name ELSE full_name END AS full_name,
-       first_name, last_name, concat(license_state, substr(provider_id, 6, 6)) AS license_number, license_state,
-       CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 11 = 0 THEN 'new.' || email ELSE email END AS email,
-       CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 9 = 0 THEN NULL ELSE phone_number END AS phone_number,
-       last_updated + CAST(CAST(substr(provider_id, 6, 6) AS INT) % 5 - 2 AS INT) AS last_updated
+SELECT provider_id, CASE WHEN CAST(substr(provider_id, 6) AS BIGINT) % 6 = 0 THEN NULL ELSE npi_number END AS npi_number,
+       CASE WHEN CAST(substr(provider_id, 6) AS BIGINT) % 10 = 0 THEN upper(full_name)
+            WHEN CAST(substr(provider_id, 6) AS BIGINT) % 7 = 0 THEN first_name || ' M ' || last_name ELSE full_name END AS full_name,
+       first_name, last_name, concat(license_state, substr(provider_id, 6)) AS license_number, license_state,
+       CASE WHEN CAST(substr(provider_id, 6) AS BIGINT) % 11 = 0 THEN 'new.' || email ELSE email END AS email,
+       CASE WHEN CAST(substr(provider_id, 6) AS BIGINT) % 9 = 0 THEN NULL ELSE phone_number END AS phone_number,
+       last_updated + CAST(CAST(substr(provider_id, 6) AS BIGINT) % 5 - 2 AS INT) AS last_updated
 FROM {providers} WHERE record_status = 'ACTIVE'
 """,
     "source3": """
-SELECT provider_id, CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 8 = 0 THEN NULL ELSE npi_number END AS npi_number,
-       full_name, first_name, last_name, concat(license_state, 'X', substr(provider_id, 6, 6)) AS license_number, license_state,
+SELECT provider_id, CASE WHEN CAST(substr(provider_id, 6) AS BIGINT) % 8 = 0 THEN NULL ELSE npi_number END AS npi_number,
+       full_name, first_name, last_name, concat(license_state, 'X', substr(provider_id, 6)) AS license_number, license_state,
        CAST(NULL AS STRING) AS email, phone_number, last_updated - CAST(30 AS INT) AS last_updated
-FROM {providers} WHERE CAST(substr(provider_id, 6, 6) AS INT) % 3 <> 0
+FROM {providers} WHERE CAST(substr(provider_id, 6) AS BIGINT) % 3 <> 0
 """,
     "snapshot_new": """
-SELECT provider_id, full_name, CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 11 = 0 THEN 'changed@clinic.org' ELSE email END AS email,
-       CASE WHEN CAST(substr(provider_id, 6, 6) AS INT) % 14 = 0 THEN NULL ELSE phone_number END AS phone_number, record_status
-FROM {providers} WHERE CAST(substr(provider_id, 6, 6) AS INT) % 47 <> 0
+SELECT provider_id, full_name, CASE WHEN CAST(substr(provider_id, 6) AS BIGINT) % 11 = 0 THEN 'changed@clinic.org' ELSE email END AS email,
+       CASE WHEN CAST(substr(provider_id, 6) AS BIGINT) % 14 = 0 THEN NULL ELSE phone_number END AS phone_number, record_status
+FROM {providers} WHERE CAST(substr(provider_id, 6) AS BIGINT) % 47 <> 0
 """,
     "snapshot_old": """
-SELECT provider_id, full_name, email, phone_number, record_status FROM {providers} WHERE CAST(substr(provider_id, 6, 6) AS INT) % 53 <> 0
+SELECT provider_id, full_name, email, phone_number, record_status FROM {providers} WHERE CAST(substr(provider_id, 6) AS BIGINT) % 53 <> 0
 """,
     "change_log": """
-SELECT event_id AS change_id, concat('PROV_', lpad(CAST(user_id AS STRING), 6, '0')) AS record_id,
+SELECT event_id AS change_id, concat('PROV_', lpad(CAST(user_id AS STRING), CAST(greatest(6, length(CAST(user_id AS STRING))) AS INT), '0')) AS record_id,
        CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation_type,
        concat('mail', CAST(event_id AS STRING), '@clinic.org') AS new_email, ts AS change_timestamp,
        CASE WHEN event_id % 4 = 0 THEN 'COMPLETED' ELSE 'PENDING' END AS processed_status

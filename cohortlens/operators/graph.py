@@ -6,6 +6,7 @@ costs the current step.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(col("dst").alias("src"), col("src").alias("dst"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` with the smallest node id as the component.
 
     Alternating large-star / small-star steps over the edges. A step only needs the smallest neighbour per node
@@ -33,7 +34,7 @@ def connected_components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
     nodes = edges.select(col("src").alias("node")).unionByName(edges.select(col("dst").alias("node"))).distinct()
     cur = both_ways(edges).where(col("src") > col("dst"))
     previous = None
-    for _ in range(max_iter):
+    while True:
         sym = cur.unionByName(cur.select(col("dst").alias("src"), col("src").alias("dst")))
         low = sym.groupBy("src").agg(F.least(F.min("dst"), col("src")).alias("m"))
         large = sym.where(col("dst") > col("src")).join(low, "src").select(col("dst").alias("src"), col("m").alias("dst")).where(
@@ -46,8 +47,6 @@ def connected_components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
         if state == previous:
             break
         previous = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_iter} steps")
     roots = cur.select(col("src").alias("node"), col("dst").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -95,7 +94,7 @@ def average_clustering(edges: DataFrame) -> DataFrame:
     return d.agg(F.avg(local).alias("average_clustering"), (F.sum(F.coalesce("triangles", lit(0))) / 3).cast("bigint").alias("triangles"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized: bool = True, max_depth: int = 1000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized: bool = True) -> DataFrame:
     """Betweenness from breadth-first search out of every node of ``sources`` (all nodes by default, which is exact).
 
     State is one row per (source, reached node); each level is one join of the frontier with the edges. Choosing
@@ -106,7 +105,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized:
     start = nodes if sources is None else sources.select("node").join(nodes, "node", "left_semi")
     levels = [cut_lineage(start.select(col("node").alias("s"), "node", lit(0).alias("depth"), lit(1.0).alias("paths")))]
     seen = levels[0]
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):  # ends when no search reaches a new node
         step = (
             levels[-1].join(e, col("node") == col("src")).groupBy("s", "dst").agg(F.sum("paths").alias("paths"))
             .join(seen.select("s", col("node").alias("dst")), ["s", "dst"], "left_anti")
@@ -139,14 +138,21 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized:
         "node", (F.coalesce("raw", lit(0.0)) * norm * col("n") / col("k")).alias("betweenness"))
 
 
-def communities(edges: DataFrame, steps: int = 5) -> DataFrame:
+def communities(edges: DataFrame, steps: int | None = None) -> DataFrame:
     """``node, community`` by label propagation: each step a node takes its neighbours' most frequent label, ties to the
-    smallest. Label counts per node are aggregated, never collected."""
+    smallest, until the labels have come up before (unchanged, or in a cycle) or after ``steps`` if the caller limits
+    them. Label counts per node are aggregated, never collected."""
     e = cut_lineage(both_ways(edges))
     labels = e.select(col("src").alias("node")).distinct().withColumn("label", col("node"))
-    for _ in range(steps):
+    seen = set()
+    for _ in itertools.count() if steps is None else range(steps):
         votes = e.join(labels, col("dst") == col("node")).groupBy(col("src").alias("n"), "label").agg(F.count(lit(1)).alias("c"))
         labels = cut_lineage(votes.groupBy(col("n").alias("node")).agg(F.max_by("label", F.struct("c", -col("label"))).alias("label")))
+        if steps is None:
+            state = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
+            if state in seen:
+                break
+            seen.add(state)
     return labels.withColumnRenamed("label", "community")
 
 

@@ -87,15 +87,15 @@ def _score_rows(spark, rows) -> DataFrame:
 
 
 def severe_outcome_models(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, seed: int = 42,
-                          trees: int = 100) -> DataFrame:
+                          trees: int = 100, rounds: int = 100) -> DataFrame:
     """Scores of random forest, logistic regression (accuracy) and boosted trees (1 - MSE), best first."""
     d = scaled(df, features).withColumn("label", col(label).cast("double"))
     train, test = split(d.select(*keys, "features", "label"), keys, seed)
     train, test = cut_lineage(train), cut_lineage(test)
     acc = lambda m: m.transform(test).agg(F.avg((col("prediction") == col("label")).cast("int"))).first()[0]
     rf = acc(RandomForestClassifier(numTrees=trees, seed=seed).fit(train))
-    lr = acc(LogisticRegression(maxIter=50).fit(train))
-    gbt = GBTRegressor(maxIter=20, seed=seed).fit(train).transform(test)
+    lr = acc(LogisticRegression(maxIter=100).fit(train))
+    gbt = GBTRegressor(maxIter=rounds, seed=seed).fit(train).transform(test)
     mse = gbt.agg(F.avg(F.pow(col("prediction") - col("label"), lit(2)))).first()[0]
     rows = [("random_forest", "accuracy", float(rf)), ("logistic_regression", "accuracy", float(lr)), ("gradient_boosting", "one_minus_mse", 1 - float(mse))]
     out = _score_rows(df.sparkSession, rows)
@@ -110,15 +110,15 @@ def mortality_model(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     return pred.agg(F.avg((col("prediction") == col("label")).cast("int")).alias("accuracy"), F.count(lit(1)).alias("tested"))
 
 
-def stay_model(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, seed: int = 42) -> DataFrame:
+def stay_model(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, seed: int = 42, rounds: int = 100) -> DataFrame:
     d = scaled(df, features).withColumn("label", col(label).cast("double"))
     train, test = split(d.select(*keys, "features", "label"), keys, seed)
-    pred = cut_lineage(GBTRegressor(maxIter=20, seed=seed).fit(train).transform(test).select("label", "prediction"))
+    pred = cut_lineage(GBTRegressor(maxIter=rounds, seed=seed).fit(train).transform(test).select("label", "prediction"))
     ev = lambda m: float(RegressionEvaluator(metricName=m).evaluate(pred))
     return _score_rows(df.sparkSession, [("length_of_stay", "mse", ev("mse")), ("length_of_stay", "r2", ev("r2"))])
 
 
-def feature_importance(df: DataFrame, features: Sequence[str], label: str, seed: int = 42, trees: int = 50, top_n: int = 10) -> DataFrame:
+def feature_importance(df: DataFrame, features: Sequence[str], label: str, seed: int = 42, trees: int = 100, top_n: int = 10) -> DataFrame:
     d = scaled(df, features).withColumn("label", col(label).cast("double"))
     imp = RandomForestClassifier(numTrees=trees, seed=seed).fit(d).featureImportances
     rows = [(c, float(imp[i])) for i, c in enumerate(features)]
@@ -132,6 +132,9 @@ def model_overview(scores: DataFrame) -> DataFrame:
 
 # --- clustering
 
+KMEANS_STEPS = 300
+
+
 def elbow(ks: Sequence[int], costs: Sequence[float]) -> int:
     """The k two places after the start of the sharpest bend of the cost curve; the middle k when that is outside."""
     if len(costs) < 3:
@@ -146,23 +149,24 @@ def kmeans_scan(df: DataFrame, features: Sequence[str], ks: Sequence[int] = rang
     """Cost per k, with the elbow marked and the silhouette of the chosen k."""
     ks = list(ks)
     d = cut_lineage(scaled(df, features).select("features"))
-    costs = [float(KMeans(k=k, seed=seed, maxIter=20).fit(d).summary.trainingCost) for k in ks]
+    models = [KMeans(k=k, seed=seed, maxIter=KMEANS_STEPS).fit(d) for k in ks]
+    costs = [float(m.summary.trainingCost) for m in models]
     best = elbow(ks, costs)
-    sil = float(ClusteringEvaluator().evaluate(KMeans(k=best, seed=seed, maxIter=20).fit(d).transform(d)))
+    sil = float(ClusteringEvaluator().evaluate(models[ks.index(best)].transform(d)))
     return df.sparkSession.createDataFrame(
         [(k, c, k == best, sil if k == best else None) for k, c in zip(ks, costs)], "k int, cost double, chosen boolean, silhouette double")
 
 
 def kmeans_labels(df: DataFrame, keys: Sequence[str], features: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     d = scaled(df, features)
-    return KMeans(k=k, seed=seed, maxIter=20).fit(d).transform(d).select(*keys, col("prediction").alias("cluster"))
+    return KMeans(k=k, seed=seed, maxIter=KMEANS_STEPS).fit(d).transform(d).select(*keys, col("prediction").alias("cluster"))
 
 
 def clustering_comparison(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     """Silhouette of k-means and the divisive hierarchy for the same k, best marked."""
     d = cut_lineage(scaled(df, features).select("features"))
     score = lambda algo: float(ClusteringEvaluator().evaluate(algo.fit(d).transform(d)))
-    rows = [("kmeans", score(KMeans(k=k, seed=seed, maxIter=20)), k), ("hierarchical", score(BisectingKMeans(k=k, seed=seed)), k)]
+    rows = [("kmeans", score(KMeans(k=k, seed=seed, maxIter=KMEANS_STEPS)), k), ("hierarchical", score(BisectingKMeans(k=k, seed=seed)), k)]
     best = max(rows, key=lambda r: r[1])[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "method string, silhouette double, n_clusters int, is_best boolean")
 
@@ -269,6 +273,8 @@ def _cell_links(core: DataFrame, x: Sequence[str], near_cells: Column, eps2: flo
         pairs = (
             open_.select("a_cell", "b_cell", col("a_box").alias("a_parent"), col("b_box").alias("b_parent"))
             .join(side_of(b, "a"), ["a_cell", "a_parent"]).join(side_of(b, "b"), ["b_cell", "b_parent"]))
+    else:
+        raise RuntimeError(f"cell pairs are still open after {max_levels} halvings")
     return linked.select(col("a_cell").alias("src"), col("b_cell").alias("dst"))
 
 

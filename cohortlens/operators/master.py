@@ -48,6 +48,12 @@ def npi_from_id(c: Column) -> Column:
     return F.substring(F.concat(digits(c), digits(F.concat(c, lit("#"))), lit("0" * 10)), 1, 10)
 
 
+def padded(number: Column, digits: int = 6) -> Column:
+    """Number as text with leading zeros; longer numbers keep all their digits."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(lit(digits), F.length(text)), lit("0"))
+
+
 def license_from_id(state: Column, c: Column) -> Column:
     return F.concat(state, F.upper(F.substring(F.md5(F.concat(state, c)), 1, 8)))
 
@@ -56,7 +62,7 @@ def authors_to_providers(authors: DataFrame, asof_year: int = 2025) -> DataFrame
     """Author rows -> provider rows. Attributes that have no source value are input columns, never drawn."""
     nonblank = lambda c: F.when(col(c) != "", col(c))
     pid = F.when(col("author_id").isNotNull(), F.substring(F.replace("author_id", lit(" "), lit("_")), 1, 20)).otherwise(
-        F.lpad(col("row_no").cast("string"), 6, "0"))
+        padded(col("row_no")))
     base = authors.select(
         F.concat(lit("PROV_"), pid).alias("provider_id"),
         F.coalesce(nonblank("full_name"), nonblank("authors"), F.concat(lit("Provider "), col("row_no"))).alias("full_name"),

@@ -176,10 +176,10 @@ def tiered(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     return metrics.join(limits, "metric").withColumn("level", level).where(col("level").isNotNull())
 
 
-def flatten_json_metrics(df: DataFrame, text: str, ids: Sequence[str], depth: int = 4) -> DataFrame:
+def flatten_json_metrics(df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
     """Dotted name and number rows of a JSON object column; numeric lists give ``.avg``, ``.max`` and ``.min``.
 
-    Nested objects are opened inside the row, level by level, so the table is read once.
+    Nested objects are opened inside the row, one level more as long as some row still holds an object.
     """
     obj = "map<string,string>"
     pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
@@ -188,9 +188,10 @@ def flatten_json_metrics(df: DataFrame, text: str, ids: Sequence[str], depth: in
 
     def opened(e: Column) -> Column:
         inner = F.transform(F.filter(F.map_entries(F.from_json(e["v"], obj)), usable), lambda f: pair(F.concat(e["k"], lit("."), f["key"]), f["value"]))
-        return F.when(F.startswith(e["v"], lit("{")), inner).otherwise(F.array(e))
+        return F.when(is_object(e), F.coalesce(inner, F.array().cast("array<struct<k:string,v:string>>"))).otherwise(F.array(e))
 
-    for _ in range(depth - 1):
+    is_object = lambda e: F.startswith(e["v"], lit("{"))
+    while not df.where(F.exists(entries, is_object)).isEmpty():
         entries = F.flatten(F.transform(entries, opened))
 
     def numbers(e: Column) -> Column:

@@ -39,8 +39,15 @@ def duplicate_counts(df: DataFrame, key: str, out: str = "duplicate_count") -> D
     return df.groupBy(key).agg(F.count(lit(1)).alias(out)).where(col(out) > 1)
 
 
+def presented(rows: DataFrame, order: list, limit: int | None, ordered: bool) -> DataFrame:
+    """A rule's rows in its order, cut at its limit. Without a limit, rows that nobody wants ordered are not sorted."""
+    if limit is not None:
+        return rows.orderBy(*order).limit(limit)
+    return rows.orderBy(*order) if ordered else rows
+
+
 def provider_name_inconsistency(tables: Tables, variant: str = "standard", asof: dt.date | None = None,
-                                limit: int = 10000) -> DataFrame:
+                                limit: int | None = 10000, ordered: bool = True) -> DataFrame:
     p = tables["providers"]
     full, first, last = col("full_name"), col("first_name"), col("last_name")
     blank = is_blank(full)
@@ -56,12 +63,11 @@ def provider_name_inconsistency(tables: Tables, variant: str = "standard", asof:
             (~contains_ci(full, F.coalesce(first, lit(""))) | ~contains_ci(full, F.coalesce(last, lit(""))), "MEDIUM"),
             default="LOW",
         )
-        return (
+        return presented((
             p.where(blank | no_parts | bad_first | bad_last | words)
             .select(lit("provider_name_inconsistency").alias("rule_name"), *out,
                     lit("Name format inconsistency detected").alias("issue_description"), severity.alias("severity"))
-            .orderBy(col("severity").desc(), "provider_id")
-        )
+        ), [col("severity").desc(), "provider_id"], None, ordered)
     flags = p.where(_is_active()).select(
         *out,
         blank.alias("missing_full"),
@@ -71,7 +77,7 @@ def provider_name_inconsistency(tables: Tables, variant: str = "standard", asof:
         words.alias("suspicious"),
     )
     any_flag = col("missing_full") | col("missing_parts") | col("first_off") | col("last_off") | col("suspicious")
-    return (
+    return presented((
         flags.where(any_flag)
         .select(
             lit("provider_name_inconsistency").alias("rule_name"), *out,
@@ -90,13 +96,11 @@ def provider_name_inconsistency(tables: Tables, variant: str = "standard", asof:
                 default="LOW",
             ).alias("severity"),
         )
-        .orderBy(severity_rank(col("severity")), "provider_id")
-        .limit(limit)
-    )
+    ), [severity_rank(col("severity")), "provider_id"], limit, ordered)
 
 
 def npi_validation(tables: Tables, variant: str = "standard", asof: dt.date | None = None,
-                   limit: int = 5000) -> DataFrame:
+                   limit: int | None = 5000, ordered: bool = True) -> DataFrame:
     p = tables["providers"]
     npi, dup = col("npi_number"), F.coalesce(col("duplicate_count"), lit(1))
     bad_len, bad_fmt = F.length(npi) != 10, ~is_ten_digits(npi)
@@ -105,7 +109,7 @@ def npi_validation(tables: Tables, variant: str = "standard", asof: dt.date | No
         # Rows without an NPI are removed first, so the "missing" outcome can never appear here.
         known = p.where(npi.isNotNull()).select(*out)
         counted = known.join(duplicate_counts(known, "npi_number"), "npi_number", "left")
-        return (
+        return presented((
             counted.where(bad_len | bad_fmt | (dup > 1))
             .select(
                 lit("npi_validation").alias("rule_name"), *out,
@@ -118,11 +122,10 @@ def npi_validation(tables: Tables, variant: str = "standard", asof: dt.date | No
                 first_match((bad_len | ~starts_with_digit(npi), "HIGH"), (dup > 1, "HIGH"), default="MEDIUM")
                 .alias("severity"),
             )
-            .orderBy(col("severity").desc(), "provider_id")
-        )
+        ), [col("severity").desc(), "provider_id"], None, ordered)
     dups = duplicate_counts(p.where(npi.isNotNull() & (F.length(npi) == 10)), "npi_number")
     missing, wrong_len, wrong_fmt = npi.isNull(), npi.isNotNull() & bad_len, npi.isNotNull() & bad_fmt
-    return (
+    return presented((
         p.where(_is_active()).select(*out).join(dups, "npi_number", "left")
         .where(missing | wrong_len | wrong_fmt | (dup > 1))
         .select(
@@ -137,9 +140,7 @@ def npi_validation(tables: Tables, variant: str = "standard", asof: dt.date | No
             first_match((missing, "CRITICAL"), (wrong_len | wrong_fmt, "HIGH"), (dup > 1, "HIGH"), default="MEDIUM")
             .alias("severity"),
         )
-        .orderBy(severity_rank(col("severity")), "provider_id")
-        .limit(limit)
-    )
+    ), [severity_rank(col("severity")), "provider_id"], limit, ordered)
 
 
 def affiliation_stats(affiliations: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def affiliation_stats(affiliations: DataFrame) -> DataFrame:
 
 
 def affiliation_anomaly(tables: Tables, variant: str = "standard", asof: dt.date | None = None,
-                        limit: int = 1000) -> DataFrame:
+                        limit: int | None = 1000, ordered: bool = True) -> DataFrame:
     # Aggregated before the join: the join then meets one row per provider however skewed the affiliations are.
     s = affiliation_stats(tables["affiliations"])
     total, primary, active = col("total_affiliations"), col("primary_affiliations"), col("active_affiliations")
@@ -167,7 +168,7 @@ def affiliation_anomaly(tables: Tables, variant: str = "standard", asof: dt.date
     many = "Unusually high number of affiliations"
     names = tables["providers"].select("provider_id", "full_name")
     order = [severity_rank(col("severity")) if with_counts else col("severity").desc()]
-    return (
+    return presented((
         anomalous.join(names, "provider_id")
         .select(
             lit("affiliation_anomaly").alias("rule_name"), "provider_id", "full_name",
@@ -182,13 +183,11 @@ def affiliation_anomaly(tables: Tables, variant: str = "standard", asof: dt.date
             first_match((primary == 0, "CRITICAL"), (primary > 1, "HIGH"), (active == 0, "MEDIUM"),
                         (total > 10, "MEDIUM"), default="LOW").alias("severity"),
         )
-        .orderBy(*order, total.desc(), "provider_id")
-        .limit(limit)
-    )
+    ), [*order, total.desc(), "provider_id"], limit, ordered)
 
 
 def temporal_consistency(tables: Tables, variant: str = "standard", asof: dt.date = dt.date.today(),
-                         limit: int = 5000) -> DataFrame:
+                         limit: int | None = 5000, ordered: bool = True) -> DataFrame:
     p = tables["providers"]
     today = lit(asof)
     year, horizon = F.year(today), F.add_months(today, 120)
@@ -229,8 +228,8 @@ def temporal_consistency(tables: Tables, variant: str = "standard", asof: dt.dat
         ).alias("severity"),
     )
     if variant == "standard":
-        return out.orderBy(col("severity").desc(), "provider_id")
-    return out.orderBy(severity_rank(col("severity")), "provider_id").limit(limit)
+        return presented(out, [col("severity").desc(), "provider_id"], None, ordered)
+    return presented(out, [severity_rank(col("severity")), "provider_id"], limit, ordered)
 
 
 def orphan_rows(tables: Tables) -> dict[str, DataFrame]:
@@ -259,9 +258,9 @@ def orphan_rows(tables: Tables) -> dict[str, DataFrame]:
 
 
 def cross_reference_integrity(tables: Tables, variant: str = "standard", asof: dt.date | None = None,
-                              per_kind: int = 1000, limit: int = 2000) -> DataFrame:
+                              per_kind: int | None = 1000, limit: int | None = 2000, ordered: bool = True) -> DataFrame:
     kinds = orphan_rows(tables)
-    if variant != "standard":
+    if variant != "standard" and per_kind is not None and limit is not None:
         # The source query limits each kind without an order; the id makes the choice stable.
         kinds = {k: df.orderBy("entity_id").limit(per_kind) for k, df in kinds.items()}
     stacked = None
@@ -272,12 +271,12 @@ def cross_reference_integrity(tables: Tables, variant: str = "standard", asof: d
         lit("cross_reference_integrity").alias("rule_name"),
         unknown(col("entity_type")).alias("entity_type"), unknown(col("entity_id")).alias("entity_id"), "entity_name",
         lit("Orphaned record detected").alias("issue_description"), lit("HIGH").alias("severity"),
-    ).orderBy("entity_type", "entity_id")
-    return out if variant == "standard" else out.limit(limit)
+    )
+    return presented(out, ["entity_type", "entity_id"], None if variant == "standard" else limit, ordered)
 
 
 def contact_validation(tables: Tables, variant: str = "standard", asof: dt.date | None = None,
-                       limit: int = 10000) -> DataFrame:
+                       limit: int | None = 10000, ordered: bool = True) -> DataFrame:
     p = tables["providers"]
     email, phone = col("email"), col("phone_number")
     dup = F.coalesce(col("duplicate_count"), lit(1))
@@ -289,7 +288,7 @@ def contact_validation(tables: Tables, variant: str = "standard", asof: dt.date
         # Rows without e-mail are removed first, so their outcome can never appear here.
         known = p.where(~no_email).select(*out)
         rows = known.join(duplicate_counts(known, "email"), "email", "left")
-        return (
+        return presented((
             rows.where(no_phone | bad_email | bad_phone | test_email | (dup > 1))
             .select(
                 lit("contact_validation").alias("rule_name"), *out,
@@ -304,8 +303,7 @@ def contact_validation(tables: Tables, variant: str = "standard", asof: dt.date
                 first_match((phone.isNull(), "HIGH"), (bad_email | bad_phone, "MEDIUM"), (dup > 1, "MEDIUM"),
                             default="LOW").alias("severity"),
             )
-            .orderBy(col("severity").desc(), "provider_id")
-        )
+        ), [col("severity").desc(), "provider_id"], None, ordered)
     active = p.where(_is_active()).select(*out)
     flags = active.select(
         *out,
@@ -316,7 +314,7 @@ def contact_validation(tables: Tables, variant: str = "standard", asof: dt.date
     )
     # Only rows with one of the five flags are kept, so a row whose only fault is a shared e-mail is not reported.
     flagged = flags.where(col("no_email") | col("no_phone") | col("bad_email") | col("test_email") | col("bad_phone"))
-    return (
+    return presented((
         flagged.join(duplicate_counts(active.where(~no_email), "email"), "email", "left")
         .select(
             lit("contact_validation").alias("rule_name"), *out,
@@ -338,9 +336,7 @@ def contact_validation(tables: Tables, variant: str = "standard", asof: dt.date
                 default="LOW",
             ).alias("severity"),
         )
-        .orderBy(severity_rank(col("severity")), "provider_id")
-        .limit(limit)
-    )
+    ), [severity_rank(col("severity")), "provider_id"], limit, ordered)
 
 
 def one_row_counts(counters: Mapping[str, tuple[DataFrame, Column | None]]) -> DataFrame:
@@ -352,24 +348,26 @@ def one_row_counts(counters: Mapping[str, tuple[DataFrame, Column | None]]) -> D
     return tagged.agg(*[F.count_if(col("_tag") == n).alias(n) for n in counters])
 
 
-def validation_summary(tables: Tables, variant: str = "standard", asof: dt.date | None = None) -> DataFrame:
+def validation_summary(tables: Tables, variant: str = "standard", asof: dt.date | None = None, limit: int | None = None, ordered: bool = True) -> DataFrame:
     p, f, a = tables["providers"], tables["facilities"], tables["affiliations"]
     row = lambda pid, name, text: (
         lit("validation_summary").alias("rule_name"), lit(pid).alias("provider_id"), lit(name).alias("full_name"),
         text.alias("issue_description"), lit("INFO").alias("severity"))
+    # One conditional count per table, so each table is read once; the one-row results stand side by side.
+    n = lambda name, cond=None: F.count(lit(1)).alias(name) if cond is None else F.count_if(cond).alias(name)
+    n_f = f.agg(n("f"))
     if variant == "standard":
-        n = one_row_counts({"p": (p, None), "f": (f, None), "a": (a, None)})
+        row_of = p.agg(n("p")).crossJoin(n_f).crossJoin(a.agg(n("a")))
         text = F.format_string("Total Providers: %d, Total Facilities: %d, Total Affiliations: %d", "p", "f", "a")
-        return n.select(*row("SUMMARY", "Validation Summary Statistics", text))
-    n = one_row_counts({"p": (p, None), "f": (f, None), "a": (a, None), "pa": (p, _is_active()),
-                        "aa": (a, col("end_date").isNull())})
+        return row_of.select(*row("SUMMARY", "Validation Summary Statistics", text))
+    row_of = p.agg(n("p"), n("pa", _is_active())).crossJoin(n_f).crossJoin(a.agg(n("a"), n("aa", col("end_date").isNull())))
     text = F.format_string(
         "Database: %d providers, %d facilities, %d affiliations | Active: %d providers, %d active affiliations",
         "p", "f", "a", "pa", "aa")
     status = lit("All validation queries optimized for <5s execution time. Target: 10x data volume scaling.")
-    first = n.select(*row("SYSTEM", "Data Quality Validation Summary", text))
+    first = row_of.select(*row("SYSTEM", "Data Quality Validation Summary", text))
     return first.unionByName(
-        n.sparkSession.range(1).select(*row("PERFORMANCE", "Query Optimization Status", status)))
+        p.sparkSession.range(1).select(*row("PERFORMANCE", "Query Optimization Status", status)))
 
 
 RULES = {

@@ -188,6 +188,8 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
         if done:
             break
         beta = beta + step
+    else:
+        raise RuntimeError(f"no convergence in {max_iter} steps")
     se = np.sqrt(np.diag(np.linalg.inv(h)))
     eta = sum((col(covs[i]) * float(beta[i]) for i in range(1, k)), col(covs[0]) * float(beta[0]))
     c_index = concordance(data.withColumn("risk", F.round(eta, 10)), "risk").first()[0]

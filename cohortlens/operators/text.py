@@ -45,14 +45,23 @@ def _clean_tokens(c: Column) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda x: x != "")
 
 
-def tokens(df: DataFrame, text: str, keep: Sequence[str], stop: Sequence[str] = ENGLISH + DOMAIN, min_len: int = 3) -> DataFrame:
-    """``keep`` columns and ``tokens``: lower-case letter words without stop words and short words."""
-    raw = df.where(F.length(text) >= 10).select(*keep, _clean_tokens(col(text)).alias("_raw"))
+def tokens(df: DataFrame, text: str, keep: Sequence[str], stop: Sequence[str] = ENGLISH + DOMAIN, min_len: int = 3, min_chars: int = 10) -> DataFrame:
+    """``keep`` columns and ``tokens``: lower-case letter words without stop words and short words, of texts with at least
+    ``min_chars`` characters."""
+    raw = df.where(F.length(text) >= min_chars).select(*keep, _clean_tokens(col(text)).alias("_raw"))
     removed = StopWordsRemover(inputCol="_raw", outputCol="_kept", stopWords=list(stop)).transform(raw)
     out = removed.select(*keep, F.filter("_kept", lambda x: F.length(x) >= min_len).alias("tokens"))
     return out.where(F.size("tokens") > 0)
 
 
+def word_tokens(df: DataFrame, text: str, keep: Sequence[str], stop: Sequence[str] = ENGLISH) -> DataFrame:
+    """``keep`` columns and ``tokens``: lower-case runs of two or more letters, digits or ``_`` without stop words, of all texts."""
+    raw = df.select(*keep, F.regexp_extract_all(F.lower(text), lit(r"[\p{L}\p{N}_]{2,}"), lit(0)).alias("_raw"))
+    out = raw.select(*keep, F.array_except("_raw", F.array(*[lit(w) for w in stop])).alias("_kept"), "_raw")
+    # Kept words stand in their order, repeats included.
+    return out.select(*keep, F.filter("_raw", lambda w: F.array_contains("_kept", w)).alias("tokens")).where(F.size("tokens") > 0)
+
+
 def preprocess(df: DataFrame, text: str, key: str) -> DataFrame:
     return tokens(df, text, [key]).select(key, F.concat_ws(" ", "tokens").alias("processed"))
 
@@ -96,7 +105,7 @@ def count_vectors(tok: DataFrame, key: str, max_n: int = 2, size: int = 100) ->
 def topics(tok: DataFrame, key: str, n_texts: int | None = None, vocab: int = 100, seed: int = 42, max_iter: int = 10) -> DataFrame:
     """``topic_id, rank, word, weight``: LDA with min(5, texts / 2) topics and ten words each."""
     grams = tok.select(key, F.concat(col("tokens"), ngrams(col("tokens"), 2)).alias("terms"))
-    n = n_texts if n_texts is not None else tok.limit(10).count()
+    n = n_texts if n_texts is not None else min(10, tok.count())
     k = max(2, min(5, n // 2))
     cv = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocab).fit(grams)
     model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(cv.transform(grams))
@@ -133,7 +142,7 @@ def sentiment_summary(scores: DataFrame) -> DataFrame:
 def key_phrases(df: DataFrame, text: str, key: str, kept: int = 50, top_n: int = 20, stop: Sequence[str] = ENGLISH) -> DataFrame:
     """Most frequent 1-3-grams. With one combined document the inverse document frequency is constant, so the score is
     the count over the Euclidean norm of the ``kept`` counts."""
-    top = vocabulary(tokens(df, text, [key], stop, min_len=2), key, 3, kept)
+    top = vocabulary(word_tokens(df, text, [key], stop), key, 3, kept)
     norm = top.agg(F.sqrt(F.sum(col("total").cast("double") * col("total"))).alias("_n"))
     return top.join(F.broadcast(norm)).select(col("term").alias("phrase"), "total", (col("total") / col("_n")).alias("score")).orderBy(
         col("total").desc(), "phrase").limit(top_n)

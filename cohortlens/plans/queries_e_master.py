@@ -24,7 +24,7 @@ S3 = ("source1", "source2", "source3")
 _PARTS = "list_filter(regexp_split_to_array(regexp_replace(trim({0}), '[^\\w\\s\\-'']', '', 'g'), '\\s+'), lambda x: x <> '')"
 _ETL = f"""
 WITH a AS (
-  SELECT 'PROV_' || coalesce(replace(author_id, ' ', '_')[:20], lpad(CAST(row_no AS VARCHAR), 6, '0')) AS provider_id,
+  SELECT 'PROV_' || coalesce(replace(author_id, ' ', '_')[:20], lpad(CAST(row_no AS VARCHAR), greatest(6, length(CAST(row_no AS VARCHAR)))::INT, '0')) AS provider_id,
          coalesce(nullif(full_name, ''), nullif(authors, ''), 'Provider ' || row_no) AS full_name, license_state, birth_year FROM authors),
 b AS (SELECT *, {_PARTS.format('full_name')} AS p, regexp_replace(md5(provider_id), '[^0-9]', '', 'g') || regexp_replace(md5(provider_id || '#'), '[^0-9]', '', 'g') AS d FROM a) """
 register("et01_parse_name", ("authors",), f"""

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cohortlens.operators import monitoring as O
+from cohortlens.operators.master import padded
 from cohortlens.plans.registry import register
 from cohortlens.session import scratch_path
 from cohortlens.streaming import jobs as J
@@ -175,11 +176,10 @@ SELECT alert_id, CASE WHEN {_EL} >= 110 THEN 4 WHEN {_EL} >= 50 THEN 3 WHEN {_EL
 def _stream_changes(t):
     base = scratch_path(t.spark, "changes")
     e = J.events_stream(t.spark, t.folder)
-    log = e.select(F.concat(lit("PROV_"), F.lpad(col("user_id").cast("string"), 6, "0")).alias("record_id"), "event_id", "ts",
+    log = e.select(F.concat(lit("PROV_"), padded(col("user_id"))).alias("record_id"), "event_id", "ts",
                    F.when(col("event_type") == "signup", "INSERT").when(col("event_type") == "error", "DELETE").otherwise("UPDATE").alias("operation_type"),
                    F.concat(lit("mail"), col("event_id").cast("string"), lit("@clinic.org")).alias("email"))
-    J.apply_change_stream(log, lambda n: f"{base}/v{n}", t["providers"].select("provider_id", "full_name", "email"), "provider_id", ["ts", "event_id"], ["email"], f"{base}/checkpoint")
-    return t.spark.read.parquet(f"{base}/v1")
+    return J.apply_change_stream(log, lambda n: f"{base}/v{n}", t["providers"].select("provider_id", "full_name", "email"), "provider_id", ["ts", "event_id"], ["email"], f"{base}/checkpoint")
 
 
 from cohortlens.plans.queries_e_master import APPLIED_SQL  # noqa: E402

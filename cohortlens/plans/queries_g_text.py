@@ -32,6 +32,11 @@ def _grams_sql(max_n):
     return "list_concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
 
 
+def _word_sql(stop):
+    return f"""k AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN {_list(stop)}) AS w FROM documents),
+  t AS (SELECT * FROM k WHERE len(w) > 0)"""
+
+
 _BOTH = T.ENGLISH + T.DOMAIN
 _tok = lambda t: T.tokens(t["documents"], "text", ["doc_id"])
 register("tx01_preprocess", (), f"WITH {_tok_sql(_BOTH, 3)} SELECT doc_id, array_to_string(w, ' ') AS processed FROM t")(
@@ -43,7 +48,7 @@ SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE x {" ".join(f"WH
 _VOC = f"""WITH {_tok_sql(_BOTH, 3)}, g AS (SELECT doc_id, unnest({_grams_sql(2)}) AS term FROM t),
 v AS (SELECT term FROM g GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 100) """
 register("tx03_count_vectors", (), _VOC + "SELECT doc_id, term, count(*) AS n FROM g SEMI JOIN v USING (term) GROUP BY ALL")(lambda t: T.count_vectors(_tok(t), "doc_id"))
-register("tx04_topics")(lambda t: rnd(T.topics(_tok(t), "doc_id", n_texts=10, max_iter=5)))
+register("tx04_topics")(lambda t: rnd(T.topics(_tok(t), "doc_id", n_texts=10)))
 _LEX = "x(word, polarity, subjectivity) AS (VALUES " + ", ".join(str(r) for r in T.LEXICON) + ")"
 _SENT = f"""WITH d AS (SELECT doc_id, text, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '\\s+')) AS word FROM documents WHERE length(text) >= 10), {_LEX},
 h AS (SELECT doc_id, avg(polarity::DOUBLE) AS p, avg(subjectivity::DOUBLE) AS s FROM d JOIN x USING (word) GROUP BY 1),
@@ -53,7 +58,7 @@ register("tx05a_sentiment", (), _SENT + "SELECT * FROM r")(lambda t: rnd(T.senti
 register("tx05b_sentiment_summary", (), _SENT + """SELECT round(avg(sentiment_score), 4) AS avg_sentiment, round(avg(subjectivity), 4) AS avg_subjectivity,
   count(*) FILTER (WHERE sentiment_label = 'positive') AS positive, count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral, count(*) FILTER (WHERE sentiment_label = 'negative') AS negative FROM r""")(
     lambda t: rnd(T.sentiment_summary(T.sentiment(t["documents"], "text", "doc_id")), 4))
-register("tx06_key_phrases", (), f"""WITH {_tok_sql(T.ENGLISH, 2)}, g AS (SELECT unnest({_grams_sql(3)}) AS phrase FROM t),
+register("tx06_key_phrases", (), f"""WITH {_word_sql(T.ENGLISH)}, g AS (SELECT unnest({_grams_sql(3)}) AS phrase FROM t),
 v AS (SELECT phrase, count(*) AS total FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)
 SELECT phrase, total, round(total / (SELECT sqrt(sum(total::DOUBLE * total)) FROM v), 6) AS score FROM v ORDER BY total DESC, phrase LIMIT 20""")(
     lambda t: rnd(T.key_phrases(t["documents"], "text", "doc_id")))
@@ -70,8 +75,8 @@ register("tx07a_gaps", (), _gap_sql(T.GAP_PHRASES))(lambda t: T.research_gaps(t[
 register("tx07b_gap_phrases", (), _gap_sql(_WORDS))(lambda t: T.research_gaps(t["documents"], "text", ["doc_id"], _WORDS))
 register("tx07c_gap_summary", (), "WITH z AS (" + _gap_sql(_WORDS) + ") SELECT gap_indicator, count(*) AS n FROM z GROUP BY 1")(
     lambda t: T.gap_summary(T.research_gaps(t["documents"], "text", ["doc_id"], _WORDS)))
-_terms = lambda t: T.vocabulary(T.tokens(t["documents"], "text", ["doc_id"], T.ENGLISH, 2), "doc_id", 2, 30).select("term")
-_CO = f"""WITH {_tok_sql(T.ENGLISH, 2)}, g AS (SELECT unnest({_grams_sql(2)}) AS term FROM t), v AS (SELECT term FROM g GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 30),
+_terms = lambda t: T.vocabulary(T.word_tokens(t["documents"], "text", ["doc_id"]), "doc_id", 2, 30).select("term")
+_CO = f"""WITH {_word_sql(T.ENGLISH)}, g AS (SELECT unnest({_grams_sql(2)}) AS term FROM t), v AS (SELECT term FROM g GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 30),
 h AS (SELECT doc_id, term FROM documents, v WHERE contains(lower(text), term)),
 e AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL) """
 register("tx08_cooccurrence", (), _CO + "SELECT * FROM e")(lambda t: T.cooccurrence(t["documents"], "text", _terms(t)))
@@ -173,6 +178,7 @@ g AS (SELECT node, min(low) AS component FROM r GROUP BY 1) SELECT * FROM g""")(
 _LP = [f"l0 AS (SELECT DISTINCT a AS node, a AS label FROM y)"] + [
     f"v{i} AS (SELECT a AS node, label, count(*) AS c FROM y JOIN l{i - 1} ON node = b GROUP BY ALL), l{i} AS (SELECT node, arg_max(label, (c, -label)) AS label FROM v{i} GROUP BY 1)" for i in range(1, 4)]
 register("nw06a_communities", _E, f"WITH {_SYM}, {', '.join(_LP)} SELECT node, label AS community FROM l3")(lambda t: G.communities(t["referrals"], steps=3))
+register("nw06c_communities_settled")(lambda t: rnd(G.modularity(t["referrals"], G.communities(t["referrals"])), 9))
 register("nw06b_modularity", _E, f"""WITH {_SYM}, m2 AS (SELECT count(*) AS m FROM y), k AS (SELECT p.a % 10 AS c, count(*) AS deg, count(*) FILTER (WHERE p.a % 10 = p.b % 10) AS ins FROM y p GROUP BY 1)
 SELECT count(*) AS communities, round(sum(ins / m - pow(deg / m, 2)), 9) AS modularity FROM k, m2""")(
     lambda t: rnd(G.modularity(t["referrals"], G.degrees(t["referrals"]).select("node", (col("node") % 10).alias("community"))), 9))

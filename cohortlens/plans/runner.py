@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +53,15 @@ def to_long(df: DataFrame) -> DataFrame:
 
 def error_row(spark: SparkSession, rule: str, message: str) -> DataFrame:
     return spark.createDataFrame(
-        [(rule, None, None, None, message[:500], "ERROR", None)],
+        [(rule, None, None, None, message, "ERROR", None)],
         "rule_name string, entity_id string, provider_id string, facility_id string, issue_description string, severity string, details string")
 
 
 def run_rules(tables: Tables, asof: dt.date, variant: str = "standard", only: Sequence[str] | None = None,
-              rules: Mapping[str, Rule] = RULES, disabled: Sequence[str] = ()) -> DataFrame:
-    """One lazy table with the violations of all (or the named) rules.
+              rules: Mapping[str, Rule] = RULES, disabled: Sequence[str] = (), limits: bool = True) -> DataFrame:
+    """One lazy table with the violations of all (or the named) rules, in no order.
 
-    A disabled rule gives no rows. A rule that cannot be planned gives one ERROR row and the others go on.
+    ``limits=False`` lifts the row limits of the rules. A disabled rule gives no rows. A rule that cannot be planned gives one ERROR row and the others go on.
     """
     spark = next(iter(tables.values())).sparkSession
     out = None
@@ -68,8 +69,8 @@ def run_rules(tables: Tables, asof: dt.date, variant: str = "standard", only: Se
         if name in disabled or (only is not None and name not in only):
             continue
         try:
-            part = to_long(rule(tables, variant=variant, asof=asof))
-        except Exception as e:  # the failing rule is reported as a row
+            part = to_long(rule(tables, variant=variant, asof=asof, ordered=False, **({} if limits else {"limit": None})))
+        except (AnalysisException, KeyError) as e:  # the failing rule is reported as a row
             part = error_row(spark, name, f"{type(e).__name__}: {e}")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else error_row(spark, "none", "").limit(0)
@@ -82,7 +83,7 @@ def run_rules_to(tables: Tables, path: str, asof: dt.date, variant: str = "stand
         target = f"{path}/rule={name}"
         try:
             run_rules(tables, asof, variant, [name], rules).write.mode("overwrite").parquet(target)
-        except Exception as e:
+        except PySparkException as e:
             error_row(spark, name, f"{type(e).__name__}: {e}").write.mode("overwrite").parquet(target)
     return spark.read.parquet(path).drop("rule")
 

@@ -90,19 +90,23 @@ def latest_update(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def apply_change_stream(changes: DataFrame, current_path: Callable[[int], str], start: DataFrame, key: str, order: list[str],
-                        values: list[str], checkpoint: str) -> None:
-    """Apply a stream of changes batch by batch; version ``n + 1`` of the table is written next to version ``n``.
+                        values: list[str], checkpoint: str) -> DataFrame:
+    """Apply a stream of changes batch by batch and return the table after the last batch; version ``n + 1`` of the table
+    is written next to version ``n``.
 
     Batch ``n`` reads version ``n``, so replaying a batch after a failure writes the same version again.
     """
     spark = changes.sparkSession
     start.write.mode("overwrite").parquet(current_path(0))
+    done = [0]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         current = spark.read.schema(start.schema).parquet(current_path(batch_id))
         apply_changes(current, batch, key, order, values).write.mode("overwrite").parquet(current_path(batch_id + 1))
+        done[0] = batch_id + 1
 
     q = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    return spark.read.schema(start.schema).parquet(current_path(done[0]))

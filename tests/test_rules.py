@@ -111,7 +111,7 @@ def test_contact_dead_branches(tables):
 
 
 def test_failing_rule_is_isolated(tables):
-    def broken(tables, variant, asof):
+    def broken(tables, variant, asof, **_):
         return tables["providers"].select("no_such_column")
 
     t = tables([provider(full=None)])
@@ -122,7 +122,7 @@ def test_failing_rule_is_isolated(tables):
 
 
 def test_failing_rule_at_run_time_is_isolated(tables, tmp_path):
-    def fails(tables, variant, asof):
+    def fails(tables, variant, asof, **_):
         return tables["providers"].select(F.lit("fails").alias("rule_name"), "provider_id", F.raise_error(F.lit("boom")).cast("string").alias("issue_description"),
                                           F.lit("LOW").alias("severity"))
 
