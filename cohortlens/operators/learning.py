@@ -157,6 +157,11 @@ def kmeans_scan(df: DataFrame, features: Sequence[str], ks: Sequence[int] = rang
         [(k, c, k == best, sil if k == best else None) for k, c in zip(ks, costs)], "k int, cost double, chosen boolean, silhouette double")
 
 
+def chosen_k(df: DataFrame, features: Sequence[str], seed: int = 42) -> int:
+    """The k at the elbow of ``kmeans_scan``."""
+    return kmeans_scan(df, features, seed=seed).where("chosen").first()["k"]
+
+
 def kmeans_labels(df: DataFrame, keys: Sequence[str], features: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     d = scaled(df, features)
     return KMeans(k=k, seed=seed, maxIter=KMEANS_STEPS).fit(d).transform(d).select(*keys, col("prediction").alias("cluster"))

@@ -49,6 +49,15 @@ g AS (SELECT soundex_last, first_initial, count(DISTINCT full_name) AS name_vari
 SELECT *, CASE WHEN name_variations = 2 AND total_records > 5 THEN 'HIGH_CONFIDENCE' WHEN name_variations <= 3 AND total_records > 2 THEN 'MEDIUM_CONFIDENCE' ELSE 'LOW_CONFIDENCE' END AS duplicate_confidence FROM g""")(
     lambda t: M.name_variants(t["source1"].select(F.concat("license_state", lit("x")).alias("last_name"), "first_name", "full_name").unionByName(
         t["source2"].select(F.concat("license_state", lit("x")).alias("last_name"), "first_name", "full_name")), all_levels=True))
+register("er01b_name_variants_listed", ("source1", "source2"), """
+WITH u AS (SELECT license_state || 'x' AS last_name, first_name, full_name FROM source1 UNION ALL SELECT license_state || 'x', first_name, full_name FROM source2),
+s AS (SELECT CASE last_name WHEN 'CAx' THEN 'C200' WHEN 'NYx' THEN 'N200' WHEN 'TXx' THEN 'T200' WHEN 'MAx' THEN 'M200' ELSE 'X000' END AS soundex_last, first_name, full_name FROM u),
+g AS (SELECT soundex_last, first_name[1] AS first_initial, count(DISTINCT full_name) AS name_variations, count(*) AS total_records, string_agg(DISTINCT full_name, '; ' ORDER BY full_name) AS all_variations
+      FROM s GROUP BY ALL HAVING count(DISTINCT full_name) > 1),
+c AS (SELECT *, CASE WHEN name_variations = 2 AND total_records > 5 THEN 'HIGH_CONFIDENCE' WHEN name_variations <= 3 AND total_records > 2 THEN 'MEDIUM_CONFIDENCE' ELSE 'LOW_CONFIDENCE' END AS duplicate_confidence FROM g)
+SELECT * FROM c WHERE duplicate_confidence <> 'LOW_CONFIDENCE'""")(
+    lambda t: M.name_variants(t["source1"].select(F.concat("license_state", lit("x")).alias("last_name"), "first_name", "full_name").unionByName(
+        t["source2"].select(F.concat("license_state", lit("x")).alias("last_name"), "first_name", "full_name"))))
 register("er02_npi_usage", P, """
 WITH n AS (SELECT * FROM providers WHERE npi_number IS NOT NULL),
 g AS (SELECT npi_number, count(*) AS usage_count, count(DISTINCT provider_id) AS distinct_providers FROM n GROUP BY 1),
@@ -311,7 +320,7 @@ register("io04_texts", SRW, """
 SELECT source_category, source_table, row_ordinal, 'abstract' AS text_type, text FROM study_rows WHERE length(text) > 50""")(
     lambda t: IO.extract_texts(t["study_rows"].select("source_category", "source_table", "row_ordinal", "journal", col("text").alias("abstract"))))
 register("io05_dates", SRW, "SELECT study_date AS date, source_category, count(*) AS study_count FROM study_rows GROUP BY ALL")(lambda t: IO.extract_dates(t["study_rows"]))
-register("io06_sample_rows", ("authors",))(lambda t: IO.sample_rows(t["authors"], "row_no", 100).select("row_no", "full_name"))
+register("io06_sample_rows", ("authors",), "SELECT row_no, full_name FROM authors ORDER BY md5(row_no || ':42'), row_no LIMIT 100")(lambda t: IO.sample_rows(t["authors"], "row_no", 100).select("row_no", "full_name"))
 register("io09_load_summary", PFA, """
 SELECT 'providers' AS item, count(*) AS n FROM providers UNION ALL SELECT 'facilities', count(*) FROM facilities UNION ALL SELECT 'affiliations', count(*) FROM affiliations
 UNION ALL SELECT 'distinct_specialties', count(DISTINCT specialty_primary) FROM providers UNION ALL SELECT 'distinct_states', count(DISTINCT license_state) FROM providers""")(
@@ -322,7 +331,7 @@ WITH o AS (SELECT 'providers' AS table_name, count(*) AS row_count, (SELECT coun
   UNION ALL SELECT 'affiliations', count(*), (SELECT count(*) FROM (SELECT DISTINCT * FROM affiliations)) FROM affiliations)
 SELECT *, (SELECT sum(row_count)::BIGINT FROM o) AS total_rows, (SELECT max_by(table_name, row_count) FROM o) AS largest_table FROM o""")(
     lambda t: IO.table_overview(t.pick(*PFA)))
-register("io11_explore", ("facilities",))(lambda t: IO.explore(t["facilities"], 10))
+register("io11_explore", ("facilities",), "SELECT * FROM facilities ORDER BY facility_id LIMIT 10")(lambda t: IO.explore(t["facilities"], "facility_id"))
 register("io12_copy", ("affiliations",), "SELECT count(*) AS source_rows, count(*) AS target_rows, TRUE AS matches FROM affiliations")(
     lambda t: IO.copy_and_reconcile(t["affiliations"], scratch_path(t.spark, "copy")))
 
@@ -342,13 +351,15 @@ UNION ALL SELECT 'distinct_specialties', count(DISTINCT specialty_primary) FROM
 
 def _exported(t, fmt):
     path = scratch_path(t.spark, fmt)
-    RP.export_violations(_viol(t), path, fmt)
     if fmt == "csv":
-        return t.spark.read.csv(path, header=True).groupBy("rule_name", "severity").agg(F.count(lit(1)).alias("n"))
+        settings = RN.settings_table(t.spark).withColumn("execution_time", lit(0.0))
+        RP.export_violations(RP.export_rows(_viol(t), settings, dt.datetime(2025, 1, 1)), path, fmt)
+        return t.spark.read.csv(path, header=True).groupBy("validation_rule", "severity", "rule_severity").agg(F.count(lit(1)).alias("n"))
+    RP.export_violations(_viol(t), path, fmt)
     return t.spark.read.json(path).groupBy("rule_name", "kind").agg(F.count(lit(1)).alias("n"))
 
 
-register("io13_export_csv", PFA, _V + "SELECT rule_name, severity, count(*) AS n FROM v GROUP BY ALL")(lambda t: _exported(t, "csv"))
+register("io13_export_csv", PFA, _V + f", {_SET} SELECT rule_name AS validation_rule, severity, rule_severity, count(*) AS n FROM v LEFT JOIN s USING (rule_name) GROUP BY ALL")(lambda t: _exported(t, "csv"))
 register("io14_export_json", PFA, _V + "SELECT rule_name, 'violation' AS kind, count(*) AS n FROM v GROUP BY 1 UNION ALL SELECT DISTINCT rule_name, 'rule', 1 FROM v")(
     lambda t: _exported(t, "json"))
 register("io13b_export_rows", PFA, _V + f""", {_SET}
@@ -365,6 +376,15 @@ def _report(t):
     return t.spark.read.json(path).groupBy("section").agg(F.count(lit(1)).alias("n"))
 
 
+def _violation_history(t):
+    path = scratch_path(t.spark, "violations")
+    IO.append_violations(t["violation_log"], path)
+    return t.spark.read.parquet(path).groupBy("violation_date", "severity_level").agg(F.count(lit(1)).alias("n"), F.count_distinct("entity_id").alias("entities"))
+
+
+register("io16b_violation_history", ("violation_log",), "SELECT violation_date, severity_level, count(*) AS n, count(DISTINCT entity_id) AS entities FROM violation_log GROUP BY ALL")(_violation_history)
+
+
 def _history(t):
     path = scratch_path(t.spark, "history")
     IO.append_quality_metrics(t["quality_log"], path)

@@ -179,9 +179,10 @@ _LP = [f"l0 AS (SELECT DISTINCT a AS node, a AS label FROM y)"] + [
     f"v{i} AS (SELECT a AS node, label, count(*) AS c FROM y JOIN l{i - 1} ON node = b GROUP BY ALL), l{i} AS (SELECT node, arg_max(label, (c, -label)) AS label FROM v{i} GROUP BY 1)" for i in range(1, 4)]
 register("nw06a_communities", _E, f"WITH {_SYM}, {', '.join(_LP)} SELECT node, label AS community FROM l3")(lambda t: G.communities(t["referrals"], steps=3))
 register("nw06c_communities_settled")(lambda t: rnd(G.modularity(t["referrals"], G.communities(t["referrals"])), 9))
-register("nw06b_modularity", _E, f"""WITH {_SYM}, m2 AS (SELECT count(*) AS m FROM y), k AS (SELECT p.a % 10 AS c, count(*) AS deg, count(*) FILTER (WHERE p.a % 10 = p.b % 10) AS ins FROM y p GROUP BY 1)
+register("nw06b_modularity", _E, f"""WITH {_SYM}, {', '.join(_LP)}, m2 AS (SELECT count(*) AS m FROM y),
+k AS (SELECT u.label AS c, count(*) AS deg, count(*) FILTER (WHERE u.label = w.label) AS ins FROM y p JOIN l3 u ON u.node = p.a JOIN l3 w ON w.node = p.b GROUP BY 1)
 SELECT count(*) AS communities, round(sum(ins / m - pow(deg / m, 2)), 9) AS modularity FROM k, m2""")(
-    lambda t: rnd(G.modularity(t["referrals"], G.degrees(t["referrals"]).select("node", (col("node") % 10).alias("community"))), 9))
+    lambda t: rnd(G.modularity(t["referrals"], G.communities(t["referrals"], steps=3)), 9))
 _NUM = ("l_quantity", "l_extendedprice", "l_discount", "charge", "l_linenumber")
 _PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1:]]
 register("nw07_correlation", (), "WITH li AS (SELECT *, l_extendedprice * (1 - l_discount) AS charge FROM lineitem), c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS src, '{b}' AS dst, corr({a}, {b}) AS weight FROM li" for a, b in _PAIRS) + ") SELECT src, dst, round(weight, 9) AS weight FROM c WHERE abs(weight) > 0.3")(

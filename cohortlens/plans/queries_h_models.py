@@ -59,7 +59,17 @@ SELECT '{a}_vs_{b}' AS test, a - e AS o, v FROM (SELECT sum(d1) AS a, sum(d * n1
     coalesce(sum(event) FILTER (WHERE treatment_group = '{a}'), 0) AS d1, coalesce(sum(event) FILTER (WHERE treatment_group = '{b}'), 0) AS d2 FROM survival GROUP BY 1) WINDOW w AS (ORDER BY t DESC)))"""
 register("sv05a_logrank_pairs", S, "WITH q AS (" + " UNION ALL ".join(_PAIR.format(a=a, b=b) for a, b in (("A", "B"), ("A", "C"), ("B", "C"))) + ") SELECT test, round(o * o / v, 6) AS statistic FROM q")(
     lambda t: rnd(SV.logrank(t["survival"], "duration", "event", "treatment_group").where(col("test") != "multivariate").select("test", "statistic")))
-register("sv05b_logrank", S)(lambda t: rnd(SV.logrank(t["survival"], "duration", "event", "treatment_group")))
+# Tails of chi-square: one degree of freedom by the series of the error function, two in closed form.
+_TAIL1 = """CASE WHEN x > 60 THEN 0 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-x / 2) * list_sum(list_transform(range(0, 150),
+  lambda n: exp(n * ln(2) + (2 * n + 1) * ln(greatest(sqrt(x / 2), 1e-150)) - (lgamma(2 * n + 2) - n * ln(2) - lgamma(n + 1)))))) END"""
+_MULTI = """m AS (SELECT sum(da - d * na / n) AS oa, sum(db - d * nb / n) AS ob, sum(if(n > 1, d * (n - d) / (n - 1) * (na / n) * (1 - na / n), 0)) AS vaa,
+  sum(if(n > 1, d * (n - d) / (n - 1) * (nb / n) * (1 - nb / n), 0)) AS vbb, -sum(if(n > 1, d * (n - d) / (n - 1) * (na / n) * (nb / n), 0)) AS vab FROM (
+  SELECT t, sum(ca) OVER w AS na, sum(cb) OVER w AS nb, sum(c) OVER w AS n, da, db, d FROM (SELECT duration AS t, count(*) AS c, sum(event) AS d, count(*) FILTER (WHERE treatment_group = 'A') AS ca,
+    count(*) FILTER (WHERE treatment_group = 'B') AS cb, coalesce(sum(event) FILTER (WHERE treatment_group = 'A'), 0) AS da, coalesce(sum(event) FILTER (WHERE treatment_group = 'B'), 0) AS db FROM survival GROUP BY 1) WINDOW w AS (ORDER BY t DESC))),
+z AS (SELECT 'multivariate' AS test, (oa * oa * vbb - 2 * oa * ob * vab + ob * ob * vaa) / (vaa * vbb - vab * vab) AS x FROM m)"""
+register("sv05b_logrank", S, "WITH q AS (" + " UNION ALL ".join(_PAIR.format(a=a, b=b) for a, b in (("A", "B"), ("A", "C"), ("B", "C"))) + f"""), {_MULTI},
+a AS (SELECT test, o * o / v AS x FROM q), r AS (SELECT test, x, {_TAIL1} AS p FROM a UNION ALL SELECT test, x, exp(-x / 2) FROM z)
+SELECT test, round(x, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS significant FROM r""")(lambda t: rnd(SV.logrank(t["survival"], "duration", "event", "treatment_group")))
 
 # --- features
 register("fe01_age", ("study_rows",), """
@@ -91,7 +101,7 @@ SELECT l_orderkey AS rec_id, l_linenumber AS rec_no, l_partkey AS part, round((l
 _F = ["age", "comorbidities", "duration", "treatment_a", "treatment_b"]
 _K = ("rec_id", "rec_no")
 register("md01_severe_outcome", S)(lambda t: rnd(L.severe_outcome_models(_sv(t), _K, _F, "event"), 4))
-register("md02_mortality", S)(lambda t: rnd(L.mortality_model(_sv(t), _K, _F, "event"), 4))
+register("md02_mortality", S)(lambda t: rnd(L.mortality_model(_sv(t).withColumn("mortality", ((col("event") == 1) & (col("duration") <= 30)).cast("int")), _K, ["age", "comorbidities", "treatment_a", "treatment_b"], "mortality"), 4))
 register("md03_length_of_stay", S)(lambda t: rnd(L.stay_model(_sv(t), _K, ["age", "comorbidities", "event", "treatment_a", "treatment_b"], "duration"), 4))
 register("md04a_importance", S)(lambda t: rnd(L.feature_importance(_sv(t), _F, "event"), 4))
 register("md04b_overview", S)(lambda t: rnd(L.model_overview(L.severe_outcome_models(_sv(t), _K, _F, "event").union(
@@ -100,7 +110,7 @@ register("md04b_overview", S)(lambda t: rnd(L.model_overview(L.severe_outcome_mo
 # --- clustering
 _CF = ["l_quantity", "l_discount", "l_extendedprice"]
 register("cl01_kmeans_scan")(lambda t: rnd(L.kmeans_scan(_withp(t), _CF), 3))
-register("cl02_comparison")(lambda t: rnd(L.clustering_comparison(_withp(t), _CF, 4), 4))
+register("cl02_comparison")(lambda t: rnd(L.clustering_comparison(_withp(t), _CF, L.chosen_k(_withp(t), _CF)), 4))
 _PT = """p AS (SELECT c_custkey AS id, c_acctbal / 500 AS x, c_nationkey::DOUBLE AS y FROM customer),
 nb AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25::DOUBLE),
 co AS (SELECT a AS id FROM nb GROUP BY 1 HAVING count(*) >= 3)"""
@@ -118,5 +128,11 @@ def _dbscan(t):
     return L.dbscan(pts, ["id"], ["x", "y"], eps=0.5, min_points=3)
 
 
-register("cl04_hierarchical")(lambda t: L.hierarchical_labels(_withp(t), _ID, _CF, 3).groupBy("cluster").agg(F.count(lit(1)).alias("n")))
-register("cl05_pca")(lambda t: rnd(L.principal_axes(_withp(t), _ID, _CF).agg(*[F.stddev_samp(f"pc{i}").alias(f"std_pc{i}") for i in (1, 2)]), 6))
+register("cl04_hierarchical")(lambda t: L.hierarchical_labels(_withp(t), _ID, _CF, L.chosen_k(_withp(t), _CF)).groupBy("cluster").agg(F.count(lit(1)).alias("n")))
+_PCA = """
+WITH c AS (SELECT corr(l_quantity, l_discount) AS a, corr(l_quantity, l_extendedprice) AS b, corr(l_discount, l_extendedprice) AS c FROM lineitem),
+p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM c),
+f AS (SELECT p, acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3 AS phi FROM p),
+e AS (SELECT 1 + 2 * p * cos(phi) AS e1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM f)
+SELECT round(sqrt(e1), 6) AS std_pc1, round(sqrt(3 - e1 - e3), 6) AS std_pc2 FROM e"""
+register("cl05_pca", (), _PCA)(lambda t: rnd(L.principal_axes(_withp(t), _ID, _CF).agg(*[F.stddev_samp(f"pc{i}").alias(f"std_pc{i}") for i in (1, 2)]), 6))

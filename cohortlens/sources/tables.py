@@ -122,7 +122,7 @@ def extract_dates(rows: DataFrame, date: str = "study_date") -> DataFrame:
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows, the same for the same seed on any cluster: a top-n over a hash of the key."""
-    return df.orderBy(F.xxhash64(key, lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", col(key).cast("string"), lit(str(seed)))), key).limit(n)
 
 
 def read_authors(spark: SparkSession, path: str, n: int | None = None, seed: int = 42) -> DataFrame:
@@ -135,8 +135,9 @@ def read_authors(spark: SparkSession, path: str, n: int | None = None, seed: int
     return df if n is None else sample_rows(df, "row_no", n, seed)
 
 
-def explore(df: DataFrame, n: int = 10) -> DataFrame:
-    return df.limit(n)
+def explore(df: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """The first rows by ``key``."""
+    return df.orderBy(key).limit(n)
 
 
 def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
