@@ -92,55 +92,46 @@ def chi2_tail(x: float, df: int) -> float:
     return tail
 
 
-def risk_table(df: DataFrame, duration: str, event: str, group: str, groups: Sequence[str], bucket_width: float = 30.0) -> DataFrame:
-    """Per distinct time: at-risk and event counts of every group side by side."""
-    c = lambda g: F.count_if(col(group) == g)
-    per = df.groupBy(col(duration).cast("double").alias("t")).agg(
-        *[c(g).alias(f"c{i}") for i, g in enumerate(groups)],
-        *[F.sum(F.when(col(group) == g, col(event)).otherwise(0)).alias(f"d{i}") for i, g in enumerate(groups)])
-    k = range(len(groups))
-    tot = per.agg(*[F.sum(f"c{i}").alias(f"a{i}") for i in k])
-    up = prefix_sums(per, [], [col("t")], _bucket(bucket_width), {f"u{i}": col(f"c{i}") for i in k})
-    return up.join(F.broadcast(tot)).select(
-        "t", *[(col(f"a{i}") - col(f"u{i}") + col(f"c{i}")).alias(f"n{i}") for i in k], *[f"d{i}" for i in k])
+def risk_table(df: DataFrame, duration: str, event: str, group: str, bucket_width: float = 30.0) -> DataFrame:
+    """``t, g, n, d``: at-risk and event counts of every group at every distinct time, one row each."""
+    per = df.where(col(group).isNotNull()).groupBy(col(duration).cast("double").alias("t"), col(group).alias("g")).agg(
+        F.count(lit(1)).alias("c"), F.sum(col(event).cast("bigint")).alias("d"))
+    # As many rows as times and groups make: the counts that the tests below are about.
+    grid = per.select("t").distinct().crossJoin(per.select("g").distinct()).join(per, ["t", "g"], "left").select(
+        "t", "g", F.coalesce("c", lit(0)).alias("c"), F.coalesce("d", lit(0)).alias("d"))
+    up = prefix_sums(grid, ["g"], [col("t")], _bucket(bucket_width), {"u": col("c")})
+    return up.join(per.groupBy("g").agg(F.sum("c").alias("a")), "g").select("t", "g", (col("a") - col("u") + col("c")).alias("n"), "d")
 
 
 def logrank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
-    """Pairwise and overall log-rank tests. Spark sums observed minus expected and the covariances; the driver only
-    handles one row of k + k*k numbers for k groups."""
-    groups = [r[0] for r in df.select(group).where(col(group).isNotNull()).distinct().orderBy(group).limit(65).collect()]
-    if len(groups) > 64:
-        raise ValueError("more than 64 groups")
-    table = risk_table(df, duration, event, group, groups)
-    k = len(groups)
-
-    def sums(idx: Sequence[int], tag: str) -> list[Column]:
-        n = sum((col(f"n{i}") for i in idx[1:]), col(f"n{idx[0]}"))
-        d = sum((col(f"d{i}") for i in idx[1:]), col(f"d{idx[0]}"))
-        out = []
-        v = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
-        for a in idx:
-            pa = F.when(n > 0, col(f"n{a}") / n).otherwise(0.0)
-            out.append(F.sum(col(f"d{a}") - d * pa).alias(f"o_{tag}_{a}"))
-            for b in idx:
-                pb = F.when(n > 0, col(f"n{b}") / n).otherwise(0.0)
-                out.append(F.sum(v * (pa * ((1.0 if a == b else 0.0) - pb))).alias(f"v_{tag}_{a}_{b}"))
-        return out
-
-    tests = [([i, j], f"{groups[i]}_vs_{groups[j]}") for i in range(k) for j in range(i + 1, k)]
-    if k > 2:
-        tests.append((list(range(k)), "multivariate"))
-    aggs = [c for t, (idx, _) in enumerate(tests) for c in sums(idx, str(t))]
-    row = table.agg(*aggs).first()
+    """Pairwise and overall log-rank tests for any number of groups. Spark sums observed minus expected and the
+    covariances per pair of groups; the driver handles k*k rows of numbers for k groups."""
+    risk = cut_lineage(risk_table(df, duration, event, group))
+    total = risk.groupBy("t").agg(F.sum("n").alias("all_n"), F.sum("d").alias("all_d")).where(col("all_d") > 0)
+    x = risk.join(total, "t").select("t", "all_n", "all_d", col("g").alias("a"), col("n").alias("na"), col("d").alias("da"))
+    y = risk.select("t", col("g").alias("b"), col("n").alias("nb"), col("d").alias("db"))
+    spread = lambda n, d: F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
+    share = lambda m, n: F.when(n > 0, m / n).otherwise(0.0)
+    n, d = col("na") + col("nb"), col("da") + col("db")
+    pa, all_a, all_b = share(col("na"), n), share(col("na"), col("all_n")), share(col("nb"), col("all_n"))
+    same = F.when(col("a") == col("b"), 1.0).otherwise(0.0)
+    rows = x.join(y, "t").groupBy("a", "b").agg(
+        F.sum(col("da") - d * pa).alias("o"), F.sum(spread(n, d) * pa * (1 - pa)).alias("v"),
+        F.sum(col("da") - col("all_d") * all_a).alias("all_o"), F.sum(spread(col("all_n"), col("all_d")) * all_a * (same - all_b)).alias("all_v")).collect()
+    at = {(r["a"], r["b"]): r for r in rows}
+    groups = sorted({r["a"] for r in rows})
     out = []
-    for t, (idx, name) in enumerate(tests):
-        use = idx[:-1]
-        z = np.array([row[f"o_{t}_{a}"] for a in use])
-        v = np.array([[row[f"v_{t}_{a}_{b}"] for b in use] for a in use])
-        stat = float(z @ np.linalg.pinv(v) @ z)
-        p = chi2_tail(stat, len(use))
-        out.append((name, stat, p, p < 0.05))
-    return df.sparkSession.createDataFrame(out, "test string, statistic double, p_value double, significant boolean")
+    for i, a in enumerate(groups):
+        for b in groups[i + 1:]:
+            o, v = at[a, b]["o"], at[a, b]["v"]
+            out.append((f"{a}_vs_{b}", o * o / v if v > 0 else 0.0, 1))
+    if len(groups) > 2:
+        use = groups[:-1]
+        z = np.array([at[a, a]["all_o"] for a in use])
+        v = np.array([[at[a, b]["all_v"] for b in use] for a in use])
+        out.append(("multivariate", float(z @ np.linalg.pinv(v) @ z), len(use)))
+    tests = [(name, stat, p, p < 0.05) for name, stat, k in out for p in [chi2_tail(stat, k)]]
+    return df.sparkSession.createDataFrame(tests, "test string, statistic double, p_value double, significant boolean")
 
 
 def _patterns(df: DataFrame, duration: str, event: str, covariates: Sequence[str]) -> DataFrame:

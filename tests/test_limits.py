@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.fixtures import VIEWS
-from cohortlens.operators import graph, master, monitoring, rules, text
+from cohortlens.operators import graph, master, monitoring, rules, survival, text
 from cohortlens.plans import runner
 from cohortlens.session import scratch_path
 from cohortlens.streaming import jobs
@@ -84,3 +84,13 @@ def test_rule_run_sorts_nothing(spark):
 def test_words_with_digits(spark):
     df = spark.createDataFrame([(1, "covid-19 a 5g the 5g"), (2, "ab")], "id int, t string")
     assert [r.tokens for r in text.word_tokens(df, "t", ["id"]).orderBy("id").collect()] == [["covid", "19", "5g", "5g"], ["ab"]]
+
+
+def test_logrank_of_many_groups(spark):
+    """70 groups; the pairs agree with the test of two groups alone."""
+    df = spark.range(2100).select((F.col("id") % 70).cast("int").alias("g"), (1 + F.col("id") * 37 % 23).cast("int").alias("t"), ((F.col("id") * 11) % 3 > 0).cast("int").alias("e"))
+    got = {r.test: r for r in survival.logrank(df, "t", "e", "g").collect()}
+    assert len(got) == 70 * 69 // 2 + 1
+    alone = survival.logrank(df.where("g in (3, 41)"), "t", "e", "g").first()
+    assert abs(got["3_vs_41"].statistic - alone.statistic) < 1e-9 and 0 <= got["multivariate"].p_value <= 1
+    assert survival.logrank(df.where("false"), "t", "e", "g").count() == 0
