@@ -48,7 +48,8 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = lines.select(*DOC, "n", F.unhex(F.md5(F.btrim("line", lit(WS)))).alias("line"), F.regexp_count("line", lit(WORD)).alias("w")).where(col("w") > 0)
     lines = stored(lines, "lines")
     place = F.struct(*DOC, "n")
-    firsts = lines.groupBy("line").agg(F.min(place).alias("r0"), F.count(lit(1)).alias("c")).where(col("c") > 1).drop("c")
+    # Tables of repeated keys are written: the joins with them then read plain shuffles, whose hot keys Spark can split.
+    firsts = stored(lines.groupBy("line").agg(F.min(place).alias("r0"), F.count(lit(1)).alias("c")).where(col("c") > 1).drop("c"), "firsts")
     # Rows repeated in full give a place twice: one place is enough.
     rows = stored(lines.join(firsts, "line").select(*DOC, "n", "w", "r0").dropDuplicates([*DOC, "n"]), "ranks")
     along = Window.partitionBy(*DOC).orderBy("n")
@@ -57,8 +58,8 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         step = 1 << k
         there = F.when(F.lead("n", step).over(along) == col("n") + step, F.lead(f"r{k}", step).over(along))
         paired = stored(rows.withColumn("_next", F.when(col(f"r{k}").isNotNull(), there)), "ranks")
-        pair = paired.where(col("_next").isNotNull()).groupBy(col(f"r{k}").alias("_a"), col("_next").alias("_b")).agg(
-            F.min(place).alias(f"r{k + 1}"), F.count(lit(1)).alias("_c")).where(col("_c") > 1).drop("_c")
+        pair = stored(paired.where(col("_next").isNotNull()).groupBy(col(f"r{k}").alias("_a"), col("_next").alias("_b")).agg(
+            F.min(place).alias(f"r{k + 1}"), F.count(lit(1)).alias("_c")).where(col("_c") > 1).drop("_c"), "pairs")
         rows = stored(paired.join(pair, (col(f"r{k}") == col("_a")) & (col("_next") == col("_b")), "left").drop("_a", "_b", "_next"), "ranks")
         k += 1
 
@@ -93,7 +94,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     looked = runs.join(ranks, [runs["_id"].eqNullSafe(ranks["_id"]), runs["_t"] == ranks["_t"], runs["n"] == ranks["n"]]).select(
         runs["_id"], runs["_t"], runs["n"], "m", here.alias("a"), there.alias("b")).where(col("a").isNotNull() & col("b").isNotNull())
     looked = stored(looked, "runs")
-    first = looked.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(lit(1)).alias("c")).where(col("c") > 1).drop("c")
+    first = stored(looked.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(lit(1)).alias("c")).where(col("c") > 1).drop("c"), "first-runs")
     later = looked.join(first, ["m", "a", "b"]).where(~place.eqNullSafe(col("first")))
     return later.select(*DOC, F.explode(F.sequence(col("n"), col("n") + col("m") - 1)).alias("n")).distinct()
 
