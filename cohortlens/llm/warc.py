@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.frames import by_value
-from cohortlens.session import scratch_path
+from cohortlens.session import scratch_path, stored
 
 by_value(__name__)
 col, lit = F.col, F.lit
@@ -147,16 +147,18 @@ def assemble(recs: DataFrame) -> DataFrame:
         return by((kind,)).groupBy(col("concurrent_to").alias("capture_id")).agg(
             F.min_by(whole, "record_id").alias(kind), F.count_distinct("record_id").alias(f"n_{kind}"))
 
-    target = by(("response",)).groupBy(col("record_id").alias("t")).agg(F.any_value("digest").alias("t_digest"), F.any_value("payload_bytes").alias("t_bytes"))
     out = answers.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
+    # Only revisits look for another capture; the rest have no key to join by.
     again = col("response.type") == "revisit"
-    out = out.join(target, F.when(again, col("response.refers_to")) == col("t"), "left")
-    digest = F.when(again, col("t_digest")).otherwise(col("response.digest"))
-    return out.select(
+    target = by(("response",)).groupBy(col("record_id").alias("t")).agg(F.any_value("digest").alias("t_digest"), F.any_value("payload_bytes").alias("t_bytes"))
+    revisits = out.where(again).withColumn("to", col("response.refers_to"))
+    revisits = revisits.join(target, revisits["to"] == target["t"], "left").withColumns({"digest": col("t_digest"), "bytes": col("t_bytes"), "refers_to": col("t")})
+    plain = out.where(~again).withColumns({"digest": col("response.digest"), "bytes": col("response.payload_bytes"), "refers_to": lit(None).cast("string")})
+    cols = ["capture_id", "response", "request", "metadata", "n_request", "n_metadata", "digest", "bytes", "refers_to"]
+    return revisits.select(*cols).unionByName(plain.select(*cols)).select(
         "capture_id", col("response.target_uri").alias("uri"), col("response.date").alias("date"), col("response.type").alias("type"),
-        F.when(again, col("t_bytes")).otherwise(col("response.payload_bytes")).alias("payload_bytes"), digest.alias("payload_digest"),
-        F.when(again, col("t")).alias("refers_to"), (digest == col("response.said_digest")).alias("intact"), "response", "request", "metadata",
-        F.coalesce("n_request", lit(0)).alias("n_requests"), F.coalesce("n_metadata", lit(0)).alias("n_metadata"))
+        col("bytes").alias("payload_bytes"), col("digest").alias("payload_digest"), "refers_to", (col("digest") == col("response.said_digest")).alias("intact"),
+        "response", "request", "metadata", F.coalesce("n_request", lit(0)).alias("n_requests"), F.coalesce("n_metadata", lit(0)).alias("n_metadata"))
 
 
 def left_over(recs: DataFrame, captures: DataFrame) -> DataFrame:
@@ -173,8 +175,10 @@ def round_trip(pages: DataFrame, id_col="page_id", url_col="url", html_col="html
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, id_col=id_col, url_col=url_col, html_col=html_col)
-    captures = assemble(read_archives(spark, path, payload=False))
+    # Archives are walked once, and captures put together once, as both are read several times below.
+    captures = stored(assemble(stored(read_archives(spark, path, payload=False), "warc-records")), "warc-captures")
     kind = pages.schema[id_col].dataType
     ids = captures.withColumn("page_id", F.element_at("metadata.fields", "pageId").cast(kind))
     names = ids.where(col("type") == "response").select(col("capture_id").alias("refers_to"), col("page_id").alias("refers_to_page"))
-    return ids.join(names, "refers_to", "left")
+    refer = col("refers_to").isNotNull()
+    return ids.where(refer).join(names, "refers_to", "left").unionByName(ids.where(~refer).withColumn("refers_to_page", lit(None).cast(kind)))
