@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 lit = F.lit
 
+# Patterns of the values read out of text.
 INTEGERS = r"\d+"
 PERCENT = r"(\d+(?:\.\d+)?)%"
 ODDS_RATIO = r"OR[:\s]*(\d+\.?\d*)"
@@ -133,10 +134,5 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
 
 
-def flatten_metrics(c: Column) -> Column:
-    """JSON object text -> map of dotted name to number, nested objects to depth two, numeric lists as avg/max/min."""
-    return F.from_json(c, "map<string,string>")
-
-
 def const_map(m: Mapping[str, float | str]) -> Column:
     return F.create_map(*[x for k, v in m.items() for x in (lit(k), lit(v))])

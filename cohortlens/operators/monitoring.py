@@ -26,6 +26,7 @@ ALERT_RULES = (
     ("ERROR_RATE_HIGH", "application", "error_rate_percent", ">", 5.0, "HIGH", 10),
 )
 RULE_SCHEMA = "rule string, component string, metric string, operator string, threshold double, severity string, cooldown_minutes int"
+# Minutes until each escalation level, and the width of equality.
 ESCALATION_DELAYS = (5, 15, 30, 60)
 TOLERANCE = 0.001
 
@@ -52,6 +53,7 @@ def health_score(query_seconds: Column, hit_rate: Column, cpu: Column, memory_mb
     """100 minus capped penalties for slow queries, misses, processor, memory and errors; never below 0."""
     over = lambda c, limit, penalty, cap: F.when(c > limit, F.least(lit(float(cap)), penalty)).otherwise(0.0)
     q, h = t["query_seconds"], t["cache_hit_rate"]
+    # Factor and cap of each penalty.
     score = (
         lit(100.0) - over(query_seconds, q, (query_seconds / q - 1) * 20, 30)
         - F.when(hit_rate < h, F.least(lit(20.0), (lit(h) - hit_rate) * 50)).otherwise(0.0)

@@ -77,6 +77,7 @@ def provider_overall(df: DataFrame) -> DataFrame:
 def provider_issues(df: DataFrame) -> DataFrame:
     npi, state, email = col("npi_number"), col("license_state"), col("email")
     birth, practice = col("birth_year"), col("years_in_practice")
+    # Issue texts, in their order.
     issues = _issues(
         (_blank(col("full_name")), "Missing or empty full name"),
         (_blank(col("last_name")), "Missing or empty last name"),

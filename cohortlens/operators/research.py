@@ -423,7 +423,7 @@ def recommendations(rows: DataFrame, extra: Mapping[str, float] | None = None) -
     for k in ("severe_accuracy", "gaps", "clusters"):
         s = s.withColumn(k, lit(None if not extra or k not in extra else float(extra[k])).cast("double"))
     pct = lambda c: F.format_string("%.1f%%", col(c) * 100)
-    # condition, priority, category, recommendation, evidence
+    # Condition, priority, category, and the texts of recommendation and evidence.
     rules = [
         (col("overall_effectiveness") < 0.6, "HIGH", "Treatment Optimization",
          lit("Current treatment effectiveness is below 60%. Consider combination therapies and personalized medicine approaches."),

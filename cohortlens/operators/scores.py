@@ -26,7 +26,7 @@ WEIGHTS = {"completeness": 0.25, "consistency": 0.20, "accuracy": 0.25, "timelin
            "validity": 0.05}
 GRADES = (("A", 95.0), ("B", 85.0), ("C", 75.0), ("D", 65.0))
 GOOD = 85.0
-# dimension, limit, priority, recommendation, action
+# Dimension, limit, priority, recommendation, action.
 ADVICE = (
     ("completeness", 90.0, "HIGH", "Focus on data collection processes to reduce missing values",
      "Implement required field validation and data entry training"),
@@ -41,6 +41,7 @@ ADVICE = (
     ("validity", 85.0, "MEDIUM", "Enhance business rule validation and cross-field checks",
      "Review and update business rules, implement cross-validation logic"),
 )
+# Limits of the threshold checks.
 THRESHOLDS = {"completeness": 95.0, "consistency": 90.0, "accuracy": 95.0, "timeliness_days": 30.0, "uniqueness": 99.0}
 
 

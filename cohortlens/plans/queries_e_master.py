@@ -209,12 +209,7 @@ SELECT provider_id, facility_id, license_state, state_province FROM affiliations
 WHERE end_date IS NULL AND license_state <> state_province""")(lambda t: M.state_mismatch(_d(t)))
 
 # --- rule runs
-_VIOL = None
-
-
 def _rule_sql(name, entity, provider, facility):
-    from cohortlens.plans.registry import with_views  # noqa: F401
-
     return f"SELECT rule_name, CAST({entity} AS VARCHAR) AS entity_id, {provider} AS provider_id, {facility} AS facility_id, issue_description, severity FROM r_{name}"
 
 
