@@ -1,0 +1,208 @@
+"""Near-duplicates by word shingles: every pair of texts with Jaccard similarity 0.8 or more is linked.
+
+The distinct five-word shingles of a text are its set; texts of equal sets are one node, so copies never meet in pairs.
+
+1. Prefix filter: with all sets in one order of the shingles, two sets of similarity 0.8 share one of their first
+   ``n - ceil(0.8 n) + 1`` shingles. Any order will do, so no pair is missed; shingles that a sample of the texts holds
+   often come last (a bit table of fixed size, whose errors only change the order), so common passages seldom meet.
+2. Sets with the same prefix shingle are a bucket. Of each bucket, a few sets are compared with all others; the links
+   found are put together to components, and pairs inside a component need no comparison. What is left is compared once
+   it is in proportion to the bucket; otherwise four times as many sets are taken in the next round.
+3. Candidates of fitting sizes are looked at by their prefixes first: what two sets share is in both prefixes, but for at
+   most the rest of the set whose prefix ends earlier. What this bound leaves is verified by the whole sets.
+
+Components are those of all links of similarity 0.8 or more. Shingles are told apart by 64-bit hashes.
+
+Words: text with A-Z in lower case, runs of ``[^\\x20\\x09-\\x0D]``; a text of fewer than five words is one shingle.
+Defined results: null text counts as empty; texts without words have the empty set and are copies of each other; rows
+that repeat share their component; an empty table gives no rows. Columns other than id and text are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from cohortlens.llm.decontaminate import shingle_hashes
+from cohortlens.llm.frames import by_value, docs, text_key
+from cohortlens.operators.graph import connected_components
+from cohortlens.session import stored
+
+by_value(__name__)
+col, lit = F.col, F.lit
+
+#: One text in so many is looked at for common shingles, and so many of these make a shingle common.
+SAMPLE, OFTEN = 16, 2
+#: Pairs left in a bucket, as a multiple of its sets, that are compared without another round.
+FEW = 32
+#: Bits of the tables that are broadcast: 2 MB each, whatever the number of texts.
+TABLE = 1 << 24
+
+
+def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    if len(known) > 2_000_000:
+        known.clear()
+    return np.unique(shingle_hashes((text or "").encode("utf-8", "replace").lower().split(), known))
+
+
+def set_key(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of 0.8 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def hopeful(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
+    """Whether two sets of sizes ``n`` and ``m`` can have similarity 0.8, by their prefixes ``a`` and ``b``."""
+    both = len(np.intersect1d(a, b, assume_unique=True)) + max(n - len(a), m - len(b))
+    return 9 * both >= 4 * (n + m)
+
+
+def longs(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def bit_table(hashes: DataFrame, name: str) -> np.ndarray:
+    """Packed bit table of the hashes in a column, put together on the executors."""
+    slot = F.pmod(F.shiftrightunsigned(name, 8), lit(TABLE))
+    word = F.bit_or(F.call_function("shiftleft", lit(1).cast("long"), F.pmod(slot, lit(64)).cast("int"))).alias("b")
+    found = hashes.groupBy(F.floor(slot / 64).alias("w")).agg(word).toArrow()
+    table = np.zeros(TABLE // 64, np.int64)
+    table[found["w"].to_numpy()] = found["b"].to_numpy()
+    return table.view(np.uint8)
+
+
+def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = (h.view(np.uint64) >> np.uint64(8)) & np.uint64(TABLE - 1)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def prefixes(d: DataFrame) -> DataFrame:
+    """``doc_id, _t, s, n, head`` for each row: key and size of its set, and the set's prefix."""
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([longs([shingles(t, known) for t in batch["text"].to_pylist()]).flatten()], ["h"])
+
+    seen = d.where(F.pmod("_t", lit(SAMPLE)) == 0).select("text").mapInArrow(every, "h long")
+    common = d.sparkSession.sparkContext.broadcast(bit_table(seen.groupBy("h").count().where(col("count") >= OFTEN), "h"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            keys, sizes, heads = [], [], []
+            for t in batch["text"].to_pylist():
+                h = shingles(t, known)
+                last = in_table(common.value, h)
+                keys.append(set_key(h)), sizes.append(len(h))
+                heads.append(np.concatenate([h[~last], h[last]])[:len(h) - (4 * len(h) + 4) // 5 + 1])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_t"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), longs(heads)],
+                                             ["doc_id", "_t", "s", "n", "head"])
+
+    return d.mapInArrow(cut, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, _t long, s long, n long, head array<long>")
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """``b, s, n``: sets that share a prefix shingle. Shingles with the same sets make one bucket."""
+    def runs(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        h, s, n = h[new], s[new], n[new]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(h)))
+        many = np.repeat(sizes > 1, sizes)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes[sizes > 1])]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x[many])) for x in (s, n)], ["s", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([x, batch[k].to_numpy()]) for x, k in zip(held, ("h", "s", "n"), strict=True)]
+            # The last shingle may go on in the next batch.
+            at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            yield runs(*(x[:at] for x in held))
+            held = [x[at:] for x in held]
+        yield runs(*held)
+
+    heads = rows.select(F.explode("head").alias("h"), "s", "n").repartition("h").sortWithinPartitions("h", "s")
+    lists = heads.mapInArrow(meet, "s array<long>, n array<long>").distinct()
+    return lists.select(F.xxhash64("s").alias("b"), F.inline(F.arrays_zip("s", "n")))
+
+
+def verified(d: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``src, dst`` of similarity 0.8 or more."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [hopeful(a.values.to_numpy(), n.as_py(), b.values.to_numpy(), m.as_py()) for a, n, b, m in zip(*(batch[k] for k in ("a", "an", "b", "bn")), strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = lambda x, key, a: x.select(col("s").alias(key), *[col(k).alias(v) for k, v in a.items()])
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("s")).distinct()
+    heads = stored(rows.select("s", "n", "head").join(wanted, "s", "left_semi").dropDuplicates(["s"]), "near-heads")
+    both = pairs.join(ends(heads, "src", {"head": "a", "n": "an"}), "src").join(ends(heads, "dst", {"head": "b", "n": "bn"}), "dst")
+    pairs = stored(both.select("src", "dst", "a", "an", "b", "bn").mapInArrow(judge, "src long, dst long"), "near-hopeful")
+
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("s")).distinct()
+    table = d.sparkSession.sparkContext.broadcast(bit_table(rows.join(wanted, "s", "left_semi"), "_t"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            on = in_table(table.value, batch["_t"].to_numpy())
+            sets = [shingles(t, known) for t in batch["text"].filter(pa.array(on)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), longs(sets)], ["s", "h"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch[k] for k in ("a", "b"))
+            ok = [alike(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)) for x, y in zip(a, b, strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    sets = stored(d.select("_t", "text").mapInArrow(fetch, "s long, h array<long>").join(wanted, "s", "left_semi").dropDuplicates(["s"]), "near-sets")
+    both = pairs.join(ends(sets, "src", {"h": "a"}), "src").join(ends(sets, "dst", {"h": "b"}), "dst")
+    return both.select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+    """``doc_id, _t, root`` for each row: text hash, and the smallest set key that links lead to."""
+    d = docs(df, id_col, text_col).withColumn("_t", text_key("text"))
+    rows = stored(prefixes(d), "near-rows")
+    left, hubs, links, comp = stored(buckets(rows), "near-buckets"), 1, None, None
+    while True:
+        now = left.join(comp, "s", "left").withColumn("c", F.coalesce("c", "s")) if comp is not None else left.withColumn("c", col("s"))
+        parts = now.groupBy("b", "c").agg(F.count(lit(1)).alias("k")).groupBy("b").agg(
+            F.sum("k").alias("g"), F.sum(col("k") * col("k")).alias("q"), F.count(lit(1)).alias("parts"), F.max(F.struct("k", "c"))["c"].alias("big"))
+        open_ = parts.where(col("parts") > 1).select("b", "big", ((col("g") * col("g") - col("q")) / 2 > few * col("g")).alias("large"))
+        now = stored(now.join(open_, "b").withColumn("at", F.when(col("large"), F.row_number().over(
+            Window.partitionBy("b").orderBy(F.xxhash64("s"), "s")))), "near-open")
+        if now.isEmpty():
+            break
+        # Outside its largest component, a bucket with few pairs left has few sets.
+        x = now.where(F.when(col("large"), col("at") <= hubs).otherwise(col("c") != col("big"))).select("b", col("s").alias("x"), col("n").alias("m"), col("c").alias("e"))
+        fit = (col("c") != col("e")) & (5 * F.least("m", "n") >= 4 * F.greatest("m", "n"))
+        pairs = stored(now.join(x, "b").where(fit).select(F.least("x", "s").alias("src"), F.greatest("x", "s").alias("dst")).distinct(), "near-pairs")
+        found = stored(verified(d, rows, pairs), "near-links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comp = stored(connected_components(links).select(col("node").alias("s"), col("component").alias("c")), "near-components")
+        left, hubs = now.where(col("large") & (col("at") > hubs)).select("b", "s", "n"), 4 * hubs
+    if comp is None:
+        return rows.select("doc_id", "_t", col("s").alias("root"))
+    return rows.join(comp, "s", "left").select("doc_id", "_t", F.coalesce("c", "s").alias("root"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+    """``_id, _t`` of the document of each component that stays: smallest id (null last), then text hash."""
+    best = F.min(F.struct(col("doc_id").isNull(), "doc_id", "_t")).alias("best")
+    return near_duplicates(df, id_col, text_col, few).groupBy("root").agg(best).select(col("best.doc_id").alias("_id"), "best._t")

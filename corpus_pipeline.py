@@ -2,7 +2,7 @@
 
 1. language ID: documents in none of the learned languages (no letter, or hardly an n-gram of any) go;
 2. line dedup: later copies of repeated runs of lines are deleted, and documents of which nothing is left go;
-3. SimHash near-dedup: one document of each group stays;
+3. near-dedup: one document of each group stays; groups are linked by five-word shingles of Jaccard similarity 0.8 or more;
 4. benchmark decontamination: documents that hold a test item go;
 5. BPE: token ids of each document, and the text decoded from them.
 
@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, decontaminate, langid, line_dedup, simhash
+from cohortlens.llm import bpe, decontaminate, langid, line_dedup, near_dedup as near
 from cohortlens.llm.frames import WS, keyed, same_doc
 from cohortlens.session import stored
 
@@ -38,7 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    d, stay = keyed(docs), simhash.representatives(docs)
+    d, stay = keyed(docs), near.representatives(docs)
     return d.join(stay, same_doc(d, stay), "left_semi").select("row.*")
 
 
@@ -54,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
-STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("simhash_dedup", near_dedup), ("decontamination", decontamination), ("bpe", tokens)]
+STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", tokens)]
 
 #: Language prediction and BPE cannot be said in SQL.
 ORACLE_SQL = None
