@@ -57,9 +57,7 @@ def tokens(df: DataFrame, text: str, keep: Sequence[str], stop: Sequence[str] =
 def word_tokens(df: DataFrame, text: str, keep: Sequence[str], stop: Sequence[str] = ENGLISH) -> DataFrame:
     """``keep`` columns and ``tokens``: lower-case runs of two or more letters, digits or ``_`` without stop words, of all texts."""
     raw = df.select(*keep, F.regexp_extract_all(F.lower(text), lit(r"[\p{L}\p{N}_]{2,}"), lit(0)).alias("_raw"))
-    out = raw.select(*keep, F.array_except("_raw", F.array(*[lit(w) for w in stop])).alias("_kept"), "_raw")
-    # Kept words stand in their order, repeats included.
-    return out.select(*keep, F.filter("_raw", lambda w: F.array_contains("_kept", w)).alias("tokens")).where(F.size("tokens") > 0)
+    return raw.select(*keep, F.filter("_raw", lambda w: ~w.isin(*stop)).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def preprocess(df: DataFrame, text: str, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from cohortlens.operators import research as R
 from cohortlens.operators import text as T
 from cohortlens.operators import timeseries as TS
 from cohortlens.plans.registry import register
+from cohortlens.session import stored
 
 col, lit = F.col, F.lit
 
@@ -76,13 +77,14 @@ register("tx07b_gap_phrases", (), _gap_sql(_WORDS))(lambda t: T.research_gaps(t[
 register("tx07c_gap_summary", (), "WITH z AS (" + _gap_sql(_WORDS) + ") SELECT gap_indicator, count(*) AS n FROM z GROUP BY 1")(
     lambda t: T.gap_summary(T.research_gaps(t["documents"], "text", ["doc_id"], _WORDS)))
 _terms = lambda t: T.vocabulary(T.word_tokens(t["documents"], "text", ["doc_id"]), "doc_id", 2, 30).select("term")
+_centrality = lambda docs, terms: T.term_centrality(T.cooccurrence(docs, "text", terms), terms)
 _CO = f"""WITH {_word_sql(T.ENGLISH)}, g AS (SELECT unnest({_grams_sql(2)}) AS term FROM t), v AS (SELECT term FROM g GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 30),
 h AS (SELECT doc_id, term FROM documents, v WHERE contains(lower(text), term)),
 e AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL) """
 register("tx08_cooccurrence", (), _CO + "SELECT * FROM e")(lambda t: T.cooccurrence(t["documents"], "text", _terms(t)))
 register("nw09_term_centrality", (), _CO + """, u AS (SELECT src AS term FROM e UNION ALL SELECT dst FROM e)
 SELECT term, (SELECT count(*) FROM u WHERE u.term = v.term) AS degree, round((SELECT count(*) FROM u WHERE u.term = v.term) / (SELECT count(*) - 1 FROM v), 6) AS centrality FROM v""")(
-    lambda t: rnd(T.term_centrality(T.cooccurrence(t["documents"], "text", _terms(t)), _terms(t))))
+    lambda t: rnd(_centrality(t["documents"], stored(_terms(t), "terms"))))
 
 # --- time series over activities (daily) and study dates
 _A = ("activities",)
