@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, decontaminate, exact_dedup, langid, license_scan, line_dedup, sharding, simhash, warc
+from cohortlens.llm import bpe, chat, collocations, decontaminate, exact_dedup, langid, license_scan, line_dedup, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,6 +172,26 @@ def op10(documents: DataFrame) -> DataFrame:
     return license_scan.scan_licenses(documents)
 
 
+@query("op12_collocations", "documents", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 5) r(m) WHERE len(w) >= m),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 30),
+halves AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM c, range(1, 4) x(k) WHERE k < m),
+often AS MATERIALIZED (SELECT lang, phrase, a FROM f WHERE a >= 30),
+cuts AS (SELECT h.lang, h.phrase, h.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * h.a // (l.a::HUGEINT + r.a))::BIGINT AS score
+         FROM halves h JOIN often l ON l.lang = h.lang AND l.phrase = head JOIN often r ON r.lang = h.lang AND r.phrase = rest),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, 4) y(s), range(1, 4) z(i) WHERE s < m AND i + s - 1 <= m GROUP BY ALL),
+free AS (SELECT low.* FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM free JOIN totals USING (lang) QUALIFY rank <= 2000""")
+def op12(documents: DataFrame) -> DataFrame:
+    return collocations.collocations(documents)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
