@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, collocations, decontaminate, exact_dedup, langid, license_scan, line_dedup, sharding, simhash, warc
+from cohortlens.llm import bpe, chat, collocations, decontaminate, exact_dedup, langid, license_scan, line_dedup, sharding, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,6 +192,15 @@ def op12(documents: DataFrame) -> DataFrame:
     return collocations.collocations(documents)
 
 
+@query("op13_top_k", "embeddings", r"""
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.i, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.i <> c.i AND q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id NULLS LAST))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10""")
+def op13(embeddings: DataFrame) -> DataFrame:
+    return topk.top_k(embeddings)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
