@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, collocations, decontaminate, exact_dedup, langid, license_scan, line_dedup, sharding, simhash, topk, warc
+from cohortlens.llm import bpe, chat, collocations, decontaminate, exact_dedup, langid, license_scan, line_dedup, sharding, simhash, topk, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,6 +172,12 @@ def op10(documents: DataFrame) -> DataFrame:
     return license_scan.scan_licenses(documents)
 
 
+@query("op11_whitening", "embeddings")
+def op11(embeddings: DataFrame) -> DataFrame:
+    # A deviation that a long can't hold is null; the operator has it as a decimal.
+    return whitening.whiten(embeddings).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 @query("op12_collocations", "documents", r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
 w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
