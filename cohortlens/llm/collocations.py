@@ -35,8 +35,8 @@ from cohortlens.session import stored
 by_value(__name__)
 col, lit = F.col, F.lit
 
-#: Words and bytes of text that a task holds before it hands over its stripes; bytes of a text that are cut at once.
-WORDS, BYTES, SEGMENT = 2_500_000, 48_000_000, 4_000_000
+#: Words and bytes of text that a task holds before it hands over its stripes; bytes of a text that are cut, and places that are looked up, at once.
+WORDS, BYTES, SEGMENT, STEP = 5_000_000, 64_000_000, 4_000_000, 500_000
 #: Bits of the table of frequent parts: at least, at most, and per part.
 LEAST, MOST, PER_PART = 1 << 20, 1 << 27, 16
 END, MIX = b"\xff", np.uint64(0x9E3779B97F4A7C15)
@@ -99,21 +99,32 @@ def stripes(t: np.ndarray, words: list[bytes], lang: bytes, m: int, table: np.nd
         size = len(t) - m + 1
         if size < 1:
             return
-        h = word_hashes(words, lang)[t]
-        h = joined_hash([h[j:size + 1 + j] for j in range(m - 1)])
-        slot = h & np.uint64(8 * len(table) - 1)
-        known = (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        del h, slot
-        ok = known[:-1] & known[1:]
-        for j in range(m):
-            ok &= t[j:size + j] > 0
-        at = np.flatnonzero(ok)
+        h, at = word_hashes(words, lang), []
+        for lo in range(0, size, STEP):  # a bounded number of places at a time
+            here = h[t[lo:lo + STEP + m]]
+            slot = joined_hash([here[j:len(here) - m + 2 + j] for j in range(m - 1)]) & np.uint64(8 * len(table) - 1)
+            known = (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            ok = (known[:-1] & known[1:])[:STEP]
+            for j in range(m):
+                ok &= t[lo + j:lo + j + len(ok)] > 0
+            at.append(np.flatnonzero(ok) + lo)
+        at = np.concatenate(at)
         key = t[at].astype(np.int64)
         for j in range(1, m):
-            key = (np.unique(key, return_inverse=True)[1] if j > 1 else key) * len(words) + t[at + j]
-        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        at = at[first]
-        parts = [v.take(pa.array(t[at + j])) for j in range(m)]
+            if j > 1:
+                key = np.unique(key, return_inverse=True)[1]
+            key *= len(words)
+            key += t[at + j]
+        if m == 2:  # most windows are of two words: a sort in place, and the key itself has both words
+            del at
+            key.sort()
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+            counts = np.diff(np.append(first, len(key)))
+            key = key[first]
+            parts = [v.take(pa.array(key // len(words))), v.take(pa.array(key % len(words)))]
+        else:
+            _, first, counts = np.unique(key, return_index=True, return_counts=True)
+            parts = [v.take(pa.array(t[at[first] + j])) for j in range(m)]
         prefix, after = parts[0] if m == 2 else pc.binary_join_element_wise(*parts[:-1], pa.scalar(b" ", pa.binary())), parts[-1]
     names = pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(counts), np.int64)))
     batch = pa.RecordBatch.from_arrays([names.cast(pa.string()), prefix.cast(pa.string()), after.cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "prefix", "next", "n"])

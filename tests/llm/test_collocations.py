@@ -58,9 +58,9 @@ def some():
     return rows + [("en", " ".join(r.choice(words) for _ in range(20_000)))]
 
 
-@pytest.mark.parametrize("held", [(2_500_000, 48_000_000, 4_000_000), (50, 48_000_000, 7), (2_500_000, 300, 64)])
+@pytest.mark.parametrize("held", [(2_500_000, 48_000_000, 4_000_000, 500_000), (50, 48_000_000, 7, 3), (2_500_000, 300, 64, 10)])
 def test_against_brute_force(spark, some, held, monkeypatch):
-    for name, value in zip(("WORDS", "BYTES", "SEGMENT"), held, strict=True):
+    for name, value in zip(("WORDS", "BYTES", "SEGMENT", "STEP"), held, strict=True):
         monkeypatch.setattr(collocations, name, value)
     df = spark.createDataFrame([(a, t, *"xxxxxx") for a, t in some], SCHEMA)
     for min_count, subsumed, top in ((30, 80, 2000), (3, 50, 25)):
