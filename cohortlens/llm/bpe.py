@@ -6,7 +6,7 @@ have come first. The distinct words of a batch are put in order, which walks the
 path stay on a stack, and words that share a prefix share its work.
 
 Texts are cut into pieces (blanks and what follows them), distinct pieces into words by the byte-level pattern; a text
-with other white space than blanks and line ends is cut as a whole. Texts are whole, caches are bounded, and each task
+with other white space than blanks and line ends is cut as a whole. Texts are whole, caches are bounded by bytes, and each task
 encodes what it reads: nothing is shuffled.
 
 Defined results: null text counts as empty (no tokens); special tokens in a text become their id; every input row gives
@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cohortlens.llm.frames import by_value, docs
+from cohortlens.llm.frames import by_value, docs, kept, release, slices
 
 by_value(__name__)
 
@@ -35,10 +35,11 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 WORDS = regex.compile(PATTERN)
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-ODD_SPACE = re.compile(rf"(?![ \n])[{SPACE}]")
+#: White space but blanks and line ends.
+ODD_SPACE = re.compile("[" + SPACE.replace(r"\t-\r ", r"\t\x0b-\r") + "]")
 MARKS = ".,;:!?"
-#: Pieces that are remembered in a task, and characters of text that are cut at once.
-MEMORY, STEP = 600_000, 8_000_000
+#: Bytes that a task remembers pieces in, pairs of tokens that a worker remembers, and bytes of text that are cut at once.
+MEMORY, PAIRS, STEP = 48 << 20, 300_000, 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -78,7 +79,7 @@ class Vocabulary:
         for t in self.id_of:
             if len(t) > 2:
                 self.longest[t[-3:]] = max(self.longest.get(t[-3:], 0), len(t))
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _stay_apart(self, a: int, b: int, before: int = 1 << 60) -> bool:
@@ -105,7 +106,7 @@ class Vocabulary:
         """Packed ids of distinct words, which are walked in order with one stack of last tokens."""
         out, last, before = {}, [-1], b""
         id_of, longest, apart, size = self.id_of.get, self.longest.get, self.apart, self.size
-        if len(apart) > 4 * MEMORY:
+        if len(apart) > PAIRS:
             apart.clear()
         for w in sorted(words):
             keep, top = 0, min(len(w), len(before))
@@ -120,10 +121,10 @@ class Vocabulary:
                         continue
                     if k == i:
                         break
-                    pair = (last[i - k], t)
+                    pair = last[i - k] << 32 | t
                     ok = apart.get(pair)
                     if ok is None:
-                        ok = apart[pair] = self._stay_apart(*pair)
+                        ok = apart[pair] = self._stay_apart(last[i - k], t)
                     if ok:
                         break
                 last.append(t)
@@ -151,24 +152,28 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        self.weight = 0
 
-    def _learn(self, pieces: set[str], whole: bool = False) -> dict[str, bytes | None]:
-        cut = {p: None if ODD_SPACE.search(p) and not whole else [w.encode() for w in words(p)] for p in pieces}
-        ids = self.v.encode_words(list({w for ws in cut.values() if ws for w in ws}))
-        return {p: None if ws is None else ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for p, ws in cut.items()}
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        cut = {p: [w.encode() for w in words(p)] for p in pieces}
+        ids = self.v.encode_words(list({w for ws in cut.values() for w in ws}))
+        return {p: ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for p, ws in cut.items()}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        pieces = [PIECES.findall(t) for t in texts]
-        new = set().union(*pieces).difference(self.known)
-        if len(self.known) + len(new) > MEMORY:
+        # A text with other white space than blanks and line ends is cut as a whole.
+        whole = self._learn({t for t in texts if ODD_SPACE.search(t)})
+        pieces = [[] if t in whole else PIECES.findall(t) for t in texts]
+        wanted = set().union(*pieces)
+        new = wanted.difference(self.known)
+        # A piece takes its letters and ids (a few times over in letters outside Latin), and so much besides.
+        weight = sum(map(len, new)) * 4 + 200 * len(new)
+        if self.weight + weight > MEMORY:
             self.known.clear()
-            new = set().union(*pieces)
+            new, self.weight = wanted, 0
+            weight = sum(map(len, new)) * 4 + 200 * len(new)
         self.known |= self._learn(new)
-        odd = {p for p, x in self.known.items() if x is None}
-        if not odd:
-            return [b"".join(map(self.known.__getitem__, ps)) for ps in pieces]
-        whole = self._learn({t for t, ps in zip(texts, pieces, strict=True) if not odd.isdisjoint(ps)}, whole=True)
+        self.weight += weight
         return [whole[t] if t in whole else b"".join(map(self.known.__getitem__, ps)) for t, ps in zip(texts, pieces, strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -188,20 +193,15 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     kind = pa.schema([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(vocabulary)
+        v = kept(f"bpe {vocabulary}", lambda: Vocabulary(vocabulary))
         encoder = Encoder(v)
-        for batch in batches:
-            sizes = np.cumsum(np.asarray(pa.compute.utf8_length(batch["text"]).to_numpy(zero_copy_only=False), dtype=np.int64))
-            at = 0
-            while at < batch.num_rows:  # a few million characters at a time, but at least one text
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP)))
-                part = batch.slice(at, end - at)
-                at = end
-                packed = encoder(part["text"].to_pylist())
-                ids = [np.frombuffer(x, dtype=np.int32) for x in packed]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                texts = pa.array([v.decode(x.tolist()) if decoded else None for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], lists, texts], schema=pa.schema([part.schema.field("doc_id"), *kind]))
+        for part in (part for batch in batches for part in slices(batch, most=STEP)):
+            ids = [np.frombuffer(x, dtype=np.int32) for x in encoder(part["text"].to_pylist())]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            texts = pa.array([v.decode(x.tolist()) if decoded else None for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([part["doc_id"], lists, texts], schema=pa.schema([part.schema.field("doc_id"), *kind]))
+        del encoder
+        release()
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.frames import by_value, docs, text_key
+from cohortlens.llm.frames import Known, by_value, docs, release, slices, text_key
 from cohortlens.session import stored
 
 by_value(__name__)
@@ -47,12 +47,11 @@ def words(text: str) -> list[bytes]:
     return [w for w in NO_WORD.split(text.encode("utf-8", "replace").lower()) if w]
 
 
-def shingle_hashes(ws: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Hash of each shingle of a word list; ``known`` keeps word hashes within a batch."""
+def shingle_hashes(ws: list[bytes], known: Known) -> np.ndarray:
+    """Hash of each shingle of a word list; ``known`` keeps word hashes within a task."""
     if not ws:
         return np.empty(0, np.uint64)
-    new = set(ws).difference(known)
-    known.update(zip(new, map(xxhash.xxh64_intdigest, new), strict=True))
+    known.learn(set(ws), xxhash.xxh64_intdigest)
     h = np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws))
     k = min(WIDTH, len(ws))
     out = np.zeros(len(ws) - k + 1, np.uint64)
@@ -70,8 +69,8 @@ def shingle_text(ws: list[bytes], at: int) -> str:
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``item_id, shingle, h``: distinct shingles of each item."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in batches:
-            known: dict[bytes, int] = {}
             at, texts, hs = [], [], []
             for n, t in enumerate(batch["text"].to_pylist()):
                 ws = words(t)
@@ -115,8 +114,8 @@ def find_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         open_up = lambda x: np.unpackbits(x, bitorder="little").astype(bool)
         classes = [(share * 2 ** c, np.uint64(bound), open_up(x)) for c, bound, x in shared.value[0]]
         in_item = open_up(shared.value[1])
-        for batch in batches:
-            known: dict[bytes, int] = {}
+        known = Known()
+        for batch in (part for whole in batches for part in slices(whole)):
             at, texts = [], []
             for n, t in enumerate(batch["text"].to_pylist()):
                 ws = words(t)
@@ -127,9 +126,8 @@ def find_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                     continue
                 found = {shingle_text(ws, i) for i in np.flatnonzero(in_item[slot]).tolist()}
                 at.extend([n] * len(found)), texts.extend(found)
-                if len(known) > 2_000_000:
-                    known.clear()
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), batch["_t"].take(pa.array(at, pa.int64())), pa.array(texts, pa.string())], ["doc_id", "_t", "shingle"])
+        release()
 
     d = docs(documents, id_col, text_col).withColumn("_t", text_key("text"))
     hits = d.mapInArrow(search, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, _t long, shingle string")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
+import types
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,3 +43,52 @@ def same_doc(a: DataFrame, b: DataFrame) -> Column:
 def by_value(module: str) -> None:
     """Functions of this module go to the executors with their code, so those need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+class Known(dict):
+    """What a task remembers of words, by their bytes: emptied when it takes more than about ``most`` bytes."""
+
+    def __init__(self, most: int = 32 << 20):
+        super().__init__()
+        self.most, self.weight = most, 0
+
+    def learn(self, wanted: set[bytes], of: Callable[[bytes], int]) -> None:
+        """Makes sure that all of ``wanted`` are there."""
+        new = wanted.difference(self)
+        weigh = lambda ws: sum(map(len, ws)) + 170 * len(ws)  # noqa: E731  an entry takes its words' bytes, and so much besides
+        if (more := self.weight + weigh(new)) > self.most:
+            self.clear()
+            new, more = wanted, weigh(wanted)
+        self.update(zip(new, map(of, new), strict=True))
+        self.weight = more
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` bytes of ``column``, at least a row each."""
+    ends = np.cumsum(pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as the worker lives on and the next stage needs its own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
+def kept(key: str, make):
+    """A value that the tasks of one worker share: functions that travel by value have no module of their own to keep it in."""
+    store = sys.modules.setdefault("_cohortlens_worker", types.ModuleType("_cohortlens_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+by_value(__name__)

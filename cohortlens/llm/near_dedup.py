@@ -25,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.decontaminate import shingle_hashes
-from cohortlens.llm.frames import by_value, docs, text_key
+from cohortlens.llm.frames import Known, by_value, docs, release, slices, text_key
 from cohortlens.operators.graph import connected_components
 from cohortlens.session import stored
 
@@ -44,10 +44,8 @@ FEW = 32
 TABLE = 1 << 24
 
 
-def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+def shingles(text: str | None, known: Known) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text."""
-    if len(known) > 2_000_000:
-        known.clear()
     return np.unique(shingle_hashes((text or "").encode("utf-8", "replace").lower().split(), known))
 
 
@@ -91,16 +89,17 @@ def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 def prefixes(d: DataFrame) -> DataFrame:
     """``doc_id, _t, s, n, head`` for each row: key and size of its set, and the set's prefix."""
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
+        known = Known()
+        for batch in (part for whole in batches for part in slices(whole)):
             yield pa.RecordBatch.from_arrays([longs([shingles(t, known) for t in batch["text"].to_pylist()]).flatten()], ["h"])
+        release()
 
     seen = d.where(F.pmod("_t", lit(SAMPLE)) == 0).select("text").mapInArrow(every, "h long")
     common = d.sparkSession.sparkContext.broadcast(bit_table(seen.groupBy("h").count().where(col("count") >= OFTEN), "h"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
+        known = Known()
+        for batch in (part for whole in batches for part in slices(whole)):
             keys, sizes, heads = [], [], []
             for t in batch["text"].to_pylist():
                 h = shingles(t, known)
@@ -109,6 +108,7 @@ def prefixes(d: DataFrame) -> DataFrame:
                 heads.append(np.concatenate([h[~last], h[last]])[:len(h) - (4 * len(h) + 4) // 5 + 1])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_t"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), longs(heads)],
                                              ["doc_id", "_t", "s", "n", "head"])
+        release()
 
     return d.mapInArrow(cut, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, _t long, s long, n long, head array<long>")
 
@@ -157,11 +157,12 @@ def verified(d: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     table = d.sparkSession.sparkContext.broadcast(bit_table(rows.join(wanted, "s", "left_semi"), "_t"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = Known()
         for batch in batches:
-            on = in_table(table.value, batch["_t"].to_numpy())
-            sets = [shingles(t, known) for t in batch["text"].filter(pa.array(on)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), longs(sets)], ["s", "h"])
+            for part in slices(batch.filter(pa.array(in_table(table.value, batch["_t"].to_numpy())))):
+                sets = [shingles(t, known) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), longs(sets)], ["s", "h"])
+        release()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,20 +184,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         now = left.join(comp, "s", "left").withColumn("c", F.coalesce("c", "s")) if comp is not None else left.withColumn("c", col("s"))
         parts = now.groupBy("b", "c").agg(F.count(lit(1)).alias("k")).groupBy("b").agg(
             F.sum("k").alias("g"), F.sum(col("k") * col("k")).alias("q"), F.count(lit(1)).alias("parts"), F.max(F.struct("k", "c"))["c"].alias("big"))
-        open_ = parts.where(col("parts") > 1).select("b", "big", ((col("g") * col("g") - col("q")) / 2 > few * col("g")).alias("large"))
-        now = stored(now.join(open_, "b").withColumn("at", F.when(col("large"), F.row_number().over(
-            Window.partitionBy("b").orderBy(F.xxhash64("s"), "s")))), "near-open")
+        open_ = parts.where(col("parts") > 1).select("b", "big", col("g").cast("decimal(20,0)").alias("g"), ((col("g") * col("g") - col("q")) / 2 > few * col("g")).alias("large"))
+        # Hashes choose the hubs, so a large bucket is never put in order.
+        spot = F.pmod(F.xxhash64("s", lit(hubs)), lit(1 << 30)) * col("g") < lit(hubs << 30).cast("decimal(38,0)")
+        now = stored(now.join(open_, "b").withColumn("hub", col("large") & spot).drop("g"), "near-open")
         if now.isEmpty():
             break
         # Outside its largest component, a bucket with few pairs left has few sets.
-        x = now.where(F.when(col("large"), col("at") <= hubs).otherwise(col("c") != col("big"))).select("b", col("s").alias("x"), col("n").alias("m"), col("c").alias("e"))
+        x = now.where(F.when(col("large"), col("hub")).otherwise(col("c") != col("big"))).select("b", col("s").alias("x"), col("n").alias("m"), col("c").alias("e"))
         fit = (col("c") != col("e")) & (5 * F.least("m", "n") >= 4 * F.greatest("m", "n"))
         pairs = stored(now.join(x, "b").where(fit).select(F.least("x", "s").alias("src"), F.greatest("x", "s").alias("dst")).distinct(), "near-pairs")
         found = stored(verified(d, rows, pairs), "near-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             comp = stored(connected_components(links).select(col("node").alias("s"), col("component").alias("c")), "near-components")
-        left, hubs = now.where(col("large") & (col("at") > hubs)).select("b", "s", "n"), 4 * hubs
+        left, hubs = now.where(col("large") & ~col("hub")).select("b", "s", "n"), 4 * hubs
     if comp is None:
         return rows.select("doc_id", "_t", col("s").alias("root"))
     return rows.join(comp, "s", "left").select("doc_id", "_t", F.coalesce("c", "s").alias("root"))
