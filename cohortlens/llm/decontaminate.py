@@ -52,7 +52,7 @@ def shingle_hashes(ws: list[bytes], known: Known) -> np.ndarray:
     if not ws:
         return np.empty(0, np.uint64)
     known.learn(set(ws), xxhash.xxh64_intdigest)
-    h = np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws))
+    h = np.fromiter(map(known.of.__getitem__, ws), dtype=np.uint64, count=len(ws))
     k = min(WIDTH, len(ws))
     out = np.zeros(len(ws) - k + 1, np.uint64)
     for i in range(k):
