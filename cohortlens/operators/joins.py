@@ -109,8 +109,7 @@ def overlapping_intervals(df: DataFrame, key: str, item: str, start: str, end: s
     opened = df.select(key, item, col(start).alias("_d"), lit(0).alias("_kind"), lit(1).alias("_delta"))
     closed = df.select(key, item, F.coalesce(col(end), far).alias("_d"), lit(1).alias("_kind"), lit(-1).alias("_delta"))
     events = opened.unionByName(closed)
-    day = F.date_trunc("month", "_d")
-    swept = prefix_sums(events, [key], [col("_d"), col("_kind"), col(item)], day, {"_open": col("_delta")})
+    swept = prefix_sums(events, [key], [col("_d"), col("_kind"), col(item)], None, {"_open": col("_delta")})
     return swept.where(col("_kind") == 0).select(key, item, col("_d").alias(start), (col("_open") - 1).alias("overlaps"))
 
 

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranking import numbered, prefix_sums, rolling
+from cohortlens.functions.ranking import BLOCK_ROWS, in_blocks, numbered, prefix_sums, splitters, trailing
+from cohortlens.session import stored
 
 col, lit = F.col, F.lit
 
@@ -223,40 +224,24 @@ def recent_call_stats(calls: DataFrame, window: str = "5 minutes", slide: str =
 
 
 def cooldown_emissions(hits: DataFrame, rule: str = "rule", ts: str = "ts", minutes: str = "cooldown_minutes",
-                       segment_minutes: int = 240) -> DataFrame:
+                       block: int = BLOCK_ROWS) -> DataFrame:
     """Alerts that pass the cooldown: none of a rule within its minutes after the last emitted one.
 
-    The choice is a chain through time, so each rule is cut into time segments. A segment first tells, for every
-    possible earliest allowed time, when the chain leaves it (a short step function); the step functions of a rule
-    are chained, and each segment then emits its rows from the known entry time. No task holds a whole rule.
+    The choice is a chain through time: each hit leads to the first hit after its cooldown. Rules with many hits are cut
+    into blocks of about ``block`` hits. In a block, hits whose chains leave it at the same time are one step; a step leads
+    to the one that holds the first hit from that time on (an as-of join over the steps), and doubling the leads marks
+    the steps that the rule's first hit reaches, in as many rounds as the number of blocks has bits. Blocks then emit their
+    rows from the known entry. No task holds more than a block.
     """
-    seg_us = segment_minutes * 60_000_000
     rows = hits.select(col(rule).alias("rule"), F.unix_micros(col(ts).cast("timestamp")).alias("us"),
-                       (col(minutes).cast("bigint") * 60_000_000).alias("cool")).distinct().withColumn("seg", F.floor(col("us") / seg_us))
-
-    def named(pdf: pd.DataFrame, n: int) -> pd.Series:
-        return pd.Series([pdf["rule"].iloc[0]] * n, dtype=object)
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy())
-        cool = int(pdf["cool"].iloc[0])
-        nxt = np.searchsorted(t, t + cool, side="left")
-        out = np.empty(len(t), dtype=np.int64)
-        for i in range(len(t) - 1, -1, -1):
-            out[i] = t[i] + cool if nxt[i] >= len(t) else out[nxt[i]]
-        last = np.append(out[1:] != out[:-1], True)  # the last start time of each equal exit
-        n = int(last.sum())
-        return pd.DataFrame({"rule": named(pdf, n), "seg": pdf["seg"].iloc[0], "upto": t[last], "leave": out[last]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        allowed, segs, entry = np.iinfo(np.int64).min, [], []
-        for seg, part in pdf.sort_values(["seg", "upto"]).groupby("seg", sort=True):
-            segs.append(seg)
-            entry.append(allowed)
-            i = np.searchsorted(part["upto"].to_numpy(), allowed, side="left")
-            if i < len(part):
-                allowed = int(part["leave"].iloc[i])
-        return pd.DataFrame({"rule": named(pdf, len(segs)), "seg": segs, "entry": entry})
+                       (col(minutes).cast("bigint") * 60_000_000).alias("cool")).distinct()
+    cuts = splitters(rows, ["rule"], [col("us")], block)
+    if cuts is None:
+        rows = rows.withColumn("seg", lit(0).cast("long"))
+        entries = rows.select("rule", "seg").distinct().withColumn("entry", lit(-(1 << 63)).cast("long"))
+    else:
+        rows = stored(in_blocks(rows, ["rule"], [col("us")], cuts).withColumnRenamed("_bucket", "seg"), "cooldown-hits")
+        entries = _entries(rows, block)
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["us"].to_numpy())
@@ -265,21 +250,65 @@ def cooldown_emissions(hits: DataFrame, rule: str = "rule", ts: str = "ts", minu
         while i < len(t):
             keep.append(t[i])
             i = int(np.searchsorted(t, t[i] + cool, side="left"))
-        return pd.DataFrame({"rule": named(pdf, len(keep)), "us": pd.Series(keep, dtype="int64")})
+        return pd.DataFrame({"rule": _named(pdf, len(keep)), "us": pd.Series(keep, dtype="int64")})
 
-    fns = rows.groupBy("rule", "seg").applyInPandas(steps, "rule string, seg bigint, upto bigint, leave bigint")
-    entries = fns.groupBy("rule").applyInPandas(chain, "rule string, seg bigint, entry bigint")
-    chosen = rows.join(entries, ["rule", "seg"]).groupBy("rule", "seg").applyInPandas(emit, "rule string, us bigint")
+    known = entries.select(col("rule").alias("_r"), col("seg").alias("_q"), "entry")
+    chosen = rows.join(known, rows["rule"].eqNullSafe(known["_r"]) & (col("seg") == col("_q"))).drop("_r", "_q").groupBy("rule", "seg").applyInPandas(
+        emit, "rule string, us bigint")
     return chosen.select("rule", F.timestamp_micros("us").alias("ts"))
 
 
-def sustained(log: DataFrame, key: str, ts: str, tie: str, condition: Column, minutes: float = 2.0) -> DataFrame:
+def _named(pdf: pd.DataFrame, n: int) -> pd.Series:
+    return pd.Series([pdf["rule"].iloc[0]] * n, dtype=object)
+
+
+def _entries(rows: DataFrame, block: int) -> DataFrame:
+    """``rule, seg, entry``: blocks that a rule's chain enters, and the time from which each may emit."""
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["us"].to_numpy())
+        cool = int(pdf["cool"].iloc[0])
+        nxt = np.searchsorted(t, t + cool, side="left")
+        out = np.empty(len(t), dtype=np.int64)
+        for i in range(len(t) - 1, -1, -1):
+            out[i] = t[i] + cool if nxt[i] >= len(t) else out[nxt[i]]
+        last = np.append(out[1:] != out[:-1], True)  # the last start time of each equal exit
+        n = int(last.sum())
+        return pd.DataFrame({"rule": _named(pdf, n), "seg": pdf["seg"].iloc[0], "upto": t[last], "leave": out[last]})
+
+    made = rows.groupBy("rule", "seg").applyInPandas(steps, "rule string, seg bigint, upto bigint, leave bigint")
+    made = stored(numbered(made, ["rule"], [col("upto")], out="at", block=block), "cooldown-steps")
+    # As of the time that a step leaves its block: how many steps end before it. That many steps on is the next one.
+    marks = made.select("rule", "at", col("leave").alias("us"), lit(0).alias("kind"), lit(0).alias("n")).unionByName(
+        made.select("rule", "at", col("upto").alias("us"), lit(1).alias("kind"), lit(1).alias("n")))
+    led = prefix_sums(marks, ["rule"], [col("us"), col("kind"), col("at")], None, {"to": col("n")}, block=block).where(col("kind") == 0)
+    # Rules may be null, so pairs are compared as structs.
+    node = lambda at: F.struct("rule", col(at).alias("at"))
+    jump = stored(led.select(node("at").alias("x"), node("to").alias("y")), "cooldown-leads")
+    reached = made.where(col("at") == 0).select(node("at").alias("x"))
+    size = reached.count()
+    while True:
+        more = reached.join(jump, "x").select(col("y").alias("x"))
+        reached = stored(reached.unionByName(more).distinct().join(made.select(node("at").alias("x")), "x", "left_semi"), "cooldown-reached")
+        now = reached.count()
+        if now == size:
+            break
+        size = now
+        on = jump.select(col("x").alias("y"), col("y").alias("z"))
+        jump = stored(jump.join(on, "y").select("x", col("z").alias("y")), "cooldown-leads")
+    ends = made.select(node("at").alias("x"), "seg", "leave").join(reached, "x")
+    first = led.select(node("at").alias("x"), node("to").alias("y"))
+    entered = ends.join(first, "x").select(col("y").alias("x"), col("leave").alias("entry"))
+    begins = made.where(col("at") == 0).select(node("at").alias("x"), lit(-(1 << 63)).cast("long").alias("entry"))
+    return entered.unionByName(begins).join(made.select(node("at").alias("x"), "seg"), "x").select("x.rule", "seg", "entry")
+
+
+def sustained(log: DataFrame, key: str, ts: str, tie: str, condition: Column, minutes: float = 2.0, block: int = BLOCK_ROWS) -> DataFrame:
     """Runs of consecutive samples where the condition holds for at least ``minutes``.
 
-    The run number is the count of failing samples so far, a bucketed running sum, so a hot key stays spread out.
+    The run number is the count of failing samples so far, a running sum, so a hot key is dealt out in blocks.
     """
     d = log.select(key, col(ts).cast("timestamp").alias("ts"), tie, F.coalesce(condition, lit(False)).alias("_c"))
-    runs = prefix_sums(d, [key], [col("ts"), col(tie)], F.date_trunc("hour", col("ts")), {"_run": (~col("_c")).cast("bigint")})
+    runs = prefix_sums(d, [key], [col("ts"), col(tie)], None, {"_run": (~col("_c")).cast("bigint")}, block=block)
     g = runs.where(col("_c")).groupBy(key, "_run").agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(lit(1)).alias("samples"))
     return g.where(F.unix_micros("end") - F.unix_micros("start") >= int(minutes * 60_000_000)).drop("_run")
@@ -289,8 +318,7 @@ def counter_increase(log: DataFrame, key: str, ts: str, tie: str, value: str, wi
                      over: float = 3.0, block: int = 100_000) -> DataFrame:
     """Sliding windows where a counter grew by more than ``over``. A drop means a restart: the new value is the growth."""
     d = log.select(key, col(ts).cast("timestamp").alias("ts"), tie, col(value).cast("double").alias("_v"))
-    pos = numbered(d, [key], [col("ts"), col(tie)], F.date_trunc("hour", col("ts")))
-    prev = rolling(pos, [key], "pos", 2, {"_first": F.first("_v")}, block=block)
+    prev = trailing(d, [key], [col("ts"), col(tie)], 2, {"_first": F.first("_v")}, block=block)
     grown = F.when(col("pos") == 0, 0.0).when(col("_v") >= col("_first"), col("_v") - col("_first")).otherwise(col("_v"))
     w = prev.groupBy(key, F.window("ts", window, slide).alias("w")).agg(F.sum(grown).alias("increase"))
     return w.where(col("increase") > over).select(key, col("w.start").alias("window_start"), "increase")

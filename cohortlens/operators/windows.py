@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranking import numbered, rolling
+from cohortlens.functions.ranking import trailing
 
 col, lit = F.col, F.lit
 
@@ -51,8 +51,7 @@ def monthly_with_rolling(df: DataFrame, key: str, date: str) -> DataFrame:
 def last_calls(df: DataFrame, key: str, ts: str, tie: str, duration: str, error: str, n: int = 100,
                slow_seconds: float = 5.0, block: int = 100_000) -> DataFrame:
     """Failure %, slow % and mean duration over the last ``n`` calls of a key, at every call."""
-    pos = numbered(df, [key], [col(ts), col(tie)], F.date_trunc("hour", col(ts)))
-    out = rolling(pos, [key], "pos", n, {
+    out = trailing(df, [key], [col(ts), col(tie)], n, {
         "failure_rate": F.avg(col(error).cast("int")),
         "slow_rate": F.avg((col(duration) >= slow_seconds).cast("int")),
         "mean_duration": F.avg(duration),
