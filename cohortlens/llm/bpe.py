@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cohortlens.llm.frames import by_value, docs, kept, release, slices
+from cohortlens.llm.frames import by_value, docs, few_texts, kept, release, slices
 
 by_value(__name__)
 
@@ -39,7 +39,7 @@ PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 ODD_SPACE = re.compile("[" + SPACE.replace(r"\t-\r ", r"\t\x0b-\r") + "]")
 MARKS = ".,;:!?"
 #: Bytes that a task remembers pieces in, pairs of tokens that a worker remembers, and bytes of text that are cut at once.
-MEMORY, PAIRS, STEP = 48 << 20, 300_000, 2 << 20
+MEMORY, PAIRS, STEP = 32 << 20, 200_000, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -189,7 +189,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     ``vocabulary`` is the path of a byte-level ``tokenizer.json`` that every executor can read.
     """
-    d = docs(df, id_col, text_col)
+    d = few_texts(docs(df, id_col, text_col))
     kind = pa.schema([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

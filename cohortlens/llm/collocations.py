@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.frames import by_value
+from cohortlens.llm.frames import by_value, few_texts, release
 from cohortlens.session import stored
 
 by_value(__name__)
@@ -159,6 +159,8 @@ def level(texts: DataFrame, m: int, parts: Broadcast | None) -> DataFrame:
                     yield from hand_over()
                     words = size = 0
         yield from hand_over()
+        held.clear()
+        release()
 
     made = texts.mapInArrow(count, "lang string, prefix string, next string, n long")
     return made.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
@@ -186,7 +188,7 @@ def part_table(frequent: DataFrame) -> Broadcast:
 
 def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, min_count: int = 30) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, m, a`` of all phrases of up to ``longest`` words with ``min_count`` occurrences, and ``lang, n``."""
-    texts = df.select(F.coalesce(col(lang_col).cast("string"), lit("und")).alias("lang"), F.coalesce(col(text_col), lit("")).alias("text"))
+    texts = few_texts(df).select(F.coalesce(col(lang_col).cast("string"), lit("und")).alias("lang"), F.coalesce(col(text_col), lit("")).alias("text"))
     found, totals, parts = None, None, None
     for m in range(1, longest + 1):
         kept = stored(level(texts, m, parts).where((col("n") >= min_count) | col("next").isNull()), f"stripes-{m}")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.frames import Known, by_value, docs, release, slices, text_key
+from cohortlens.llm.frames import Known, by_value, docs, few_texts, release, slices, text_key
 from cohortlens.session import stored
 
 by_value(__name__)
@@ -78,7 +78,7 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
                     at.append(n), texts.append(shingle_text(ws, i)), hs.append(h)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), pa.array(texts, pa.string()), pa.array(hs, pa.int64())], ["item_id", "shingle", "h"])
 
-    d = docs(items, id_col, text_col)
+    d = few_texts(docs(items, id_col, text_col))
     return d.mapInArrow(cut, f"item_id {d.schema['doc_id'].dataType.simpleString()}, shingle string, h long").distinct()
 
 
@@ -129,7 +129,7 @@ def find_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), batch["_t"].take(pa.array(at, pa.int64())), pa.array(texts, pa.string())], ["doc_id", "_t", "shingle"])
         release()
 
-    d = docs(documents, id_col, text_col).withColumn("_t", text_key("text"))
+    d = few_texts(docs(documents, id_col, text_col)).withColumn("_t", text_key("text"))
     hits = d.mapInArrow(search, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, _t long, shingle string")
     sizes = parts.groupBy("item_id").agg(F.count_distinct("shingle").alias("n_item"))
     counted = hits.join(parts.select("item_id", "shingle").distinct(), "shingle").groupBy("doc_id", "_t", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))

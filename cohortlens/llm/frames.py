@@ -24,6 +24,19 @@ def text_key(text: str | Column) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+#: Rows of whole texts that a task hands to Python at once.
+TEXT_ROWS = 500
+
+
+def few_texts(df: DataFrame) -> DataFrame:
+    """``df``, with a session that hands at most ``TEXT_ROWS`` rows to Python at once: its default of 10,000 whole texts can
+    take gigabytes of an executor, outside its heap. A smaller setting of the user's stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, TEXT_ROWS)
+    return df
+
+
 def docs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, as ``doc_id`` and ``text`` (never null). Other columns, whatever their
     names, play no part."""

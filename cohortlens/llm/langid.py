@@ -10,7 +10,8 @@ N-grams are four characters of the lower-case text, where everything but letters
 The sets are fitted on a bounded sample of the labelled rows: about ``fit_rows`` whole texts per language, chosen by a hash
 of the id (all rows if there are fewer). Every row is then predicted from its whole text.
 
-Defined results: null text, or text without a letter, is ``und`` with score 0; without any labelled row every text is
+Defined results: null text, or text without a letter, is ``und`` with score 0; a text of fewer letters than an n-gram is filled up
+with blanks; very long texts are read whole, in chunks that overlap; without any labelled row every text is
 ``und``; equal values go to the language first in the alphabet; a null id counts as empty text in the hold-out rule; rows
 that repeat get the same result each; an empty table gives no rows. Columns other than those named are not read.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.frames import by_value
+from cohortlens.llm.frames import by_value, few_texts, release
 
 by_value(__name__)
 col, lit = F.col, F.lit
@@ -54,6 +55,8 @@ def grams(text: str, letters: np.ndarray) -> Iterator[np.ndarray]:
         x = np.where(letter, x, 32).astype(np.uint64)
         x = x[letter | np.concatenate([[True], letter[:-1]])]
         x = np.concatenate([[32], x, [32]]).astype(np.uint64) if at + CHUNK >= len(text) and at == 0 else x
+        if len(text) <= CHUNK and len(x) < N:  # a text of one letter has one n-gram too
+            x = np.concatenate([x, np.full(N - len(x), 32, np.uint64)])
         if len(x) >= N:
             h = x[:len(x) - N + 1].copy()
             for i in range(1, N):
@@ -103,7 +106,7 @@ def held_out(id_: Column) -> Column:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 4000) -> Model:
     """Fit on rows of ``df`` with a label and a text. At most 64 languages; what reaches the driver is ``GRAMS`` hashes each."""
     letters = letter_table()
-    rows = df.where(col(lang_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
+    rows = few_texts(df).where(col(lang_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(65).collect()}
     if len(counts) > 64:
         raise ValueError("a mask holds 64 languages")
@@ -125,6 +128,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 if hs:
                     g, n = np.unique(np.concatenate(hs), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g)), "g": pa.array(g.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+        release()
 
     seen = sample.select("text", "lang").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     # Few rows per language (distinct n-grams of the sample) stand in one window.
@@ -153,5 +157,6 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = Model(*parts.value)
         for s in texts:
             yield pd.DataFrame([m.predict(t) for t in s], columns=["lang_pred", "score"])
+        release()
 
-    return df.select(F.struct("*").alias("row")).withColumn("_p", best(col("row").getField(text_col))).select("row", "_p.lang_pred", "_p.score")
+    return few_texts(df).select(F.struct("*").alias("row")).withColumn("_p", best(col("row").getField(text_col))).select("row", "_p.lang_pred", "_p.score")

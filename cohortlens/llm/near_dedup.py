@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.decontaminate import shingle_hashes
-from cohortlens.llm.frames import Known, by_value, docs, release, slices, text_key
+from cohortlens.llm.frames import Known, by_value, docs, few_texts, release, slices, text_key
 from cohortlens.operators.graph import connected_components
 from cohortlens.session import stored
 
@@ -177,7 +177,7 @@ def verified(d: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
     """``doc_id, _t, root`` for each row: text hash, and the smallest set key that links lead to."""
-    d = docs(df, id_col, text_col).withColumn("_t", text_key("text"))
+    d = few_texts(docs(df, id_col, text_col)).withColumn("_t", text_key("text"))
     rows = stored(prefixes(d), "near-rows")
     left, hubs, links, comp = stored(buckets(rows), "near-buckets"), 1, None, None
     while True:

@@ -128,8 +128,8 @@ def op7(documents: DataFrame) -> DataFrame:
 @query("op8_warc", "pages", r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS lead FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN lead = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN lead <> page_id THEN lead END AS refers_to FROM m""")
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN lead IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN lead IS DISTINCT FROM page_id THEN lead END AS refers_to FROM m""")
 def op8(pages: DataFrame) -> DataFrame:
     return warc.round_trip(pages).select(
         "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))

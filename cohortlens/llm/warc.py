@@ -9,8 +9,9 @@ Reading: files come in whole through Spark's binary reader, are walked record by
 digests are computed from what is there. Records are then joined by record id: requests and metadata to the response or
 revisit they are concurrent to, revisits to the response they refer to, and one nested row per capture comes out.
 
-Defined results: null html counts as empty; rows that repeat id, url and html are one capture; a null id is one too, and is
-the last choice for a response; a capture nests the request and the metadata record with the smallest record id and counts
+Defined results: null html counts as empty; rows that repeat id, url and html repeat their records, which share their ids:
+they are one capture with so many ``copies``, and one row each in ``round_trip``; all rows of the largest id are responses;
+a null id is the last choice for a response; very long payloads are kept whole; a capture nests the request and the metadata record with the smallest record id and counts
 the others, which ``left_over`` returns, like records that belong to no capture; an empty table gives no rows. Columns
 other than those named are not read.
 """
@@ -55,10 +56,10 @@ def records(pages: DataFrame, id_col="page_id", url_col="url", html_col="html",
     # The choice reads digests only; the payload itself is joined once.
     lead = p.where(col("n") >= REVISIT).groupBy("digest").agg(
         F.max(F.struct(col("page_id").isNotNull(), "page_id", "url", "rid")).alias("lead"), F.count(lit(1)).alias("c")).where(col("c") > 1).select(
-        col("digest").alias("d"), "lead.rid", col("lead.url").alias("lead_url"))
+        col("digest").alias("d"), "lead.rid", col("lead.url").alias("lead_url"), col("lead.page_id").alias("lead_id"))
     lead = lead.withColumnRenamed("rid", "lead_rid")
     p = p.join(lead, (p["digest"] == lead["d"]) & (p["n"] >= REVISIT), "left")
-    p = p.withColumn("again", col("lead_rid").isNotNull() & (col("lead_rid") != col("rid"))).withColumn("kind", F.when(col("again"), "revisit").otherwise("response"))
+    p = p.withColumn("again", col("lead_rid").isNotNull() & ~col("lead_id").eqNullSafe(col("page_id"))).withColumn("kind", F.when(col("again"), "revisit").otherwise("response"))
     clean = F.regexp_replace(F.coalesce("url", lit("")), r"[\r\n]", " ")
     common = [("WARC-Date", lit(date)), ("WARC-Target-URI", clean)]
     here = F.when(col("again"), lit("")).otherwise(col("html"))
@@ -134,14 +135,14 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 
 
 def assemble(recs: DataFrame) -> DataFrame:
-    """``capture_id, uri, date, type, payload_bytes, payload_digest, refers_to, intact, response, request, metadata, n_requests, n_metadata``.
+    """``capture_id, uri, date, type, payload_bytes, payload_digest, refers_to, intact, response, request, metadata, n_requests, n_metadata, copies``.
 
     ``refers_to`` is the capture a revisit refers to; its payload's size and digest are that one's. ``intact``: the digest
     in the headers is that of the payload found. The three nested records are structs (null if there is none).
     """
     whole = F.struct(*recs.columns)
     by = lambda kinds: recs.where(col("type").isin(*kinds))
-    answers = by(("response", "revisit")).groupBy(col("record_id").alias("capture_id")).agg(F.any_value(whole).alias("response"))
+    answers = by(("response", "revisit")).groupBy(col("record_id").alias("capture_id")).agg(F.any_value(whole).alias("response"), F.count(lit(1)).alias("copies"))
 
     def side(kind: str) -> DataFrame:
         return by((kind,)).groupBy(col("concurrent_to").alias("capture_id")).agg(
@@ -154,11 +155,11 @@ def assemble(recs: DataFrame) -> DataFrame:
     revisits = out.where(again).withColumn("to", col("response.refers_to"))
     revisits = revisits.join(target, revisits["to"] == target["t"], "left").withColumns({"digest": col("t_digest"), "bytes": col("t_bytes"), "refers_to": col("t")})
     plain = out.where(~again).withColumns({"digest": col("response.digest"), "bytes": col("response.payload_bytes"), "refers_to": lit(None).cast("string")})
-    cols = ["capture_id", "response", "request", "metadata", "n_request", "n_metadata", "digest", "bytes", "refers_to"]
+    cols = ["capture_id", "response", "request", "metadata", "n_request", "n_metadata", "copies", "digest", "bytes", "refers_to"]
     return revisits.select(*cols).unionByName(plain.select(*cols)).select(
         "capture_id", col("response.target_uri").alias("uri"), col("response.date").alias("date"), col("response.type").alias("type"),
         col("bytes").alias("payload_bytes"), col("digest").alias("payload_digest"), "refers_to", (col("digest") == col("response.said_digest")).alias("intact"),
-        "response", "request", "metadata", F.coalesce("n_request", lit(0)).alias("n_requests"), F.coalesce("n_metadata", lit(0)).alias("n_metadata"))
+        "response", "request", "metadata", F.coalesce("n_request", lit(0)).alias("n_requests"), F.coalesce("n_metadata", lit(0)).alias("n_metadata"), "copies")
 
 
 def left_over(recs: DataFrame, captures: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def left_over(recs: DataFrame, captures: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back and assemble: ``page_id`` beside the capture's columns.
 
-    ``page_id`` and ``refers_to`` (a page id) come out of the archives' metadata records.
+    One row for each row of ``pages``. ``page_id`` and ``refers_to_page`` come out of the archives' metadata records.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
@@ -181,4 +182,5 @@ def round_trip(pages: DataFrame, id_col="page_id", url_col="url", html_col="html
     ids = captures.withColumn("page_id", F.element_at("metadata.fields", "pageId").cast(kind))
     names = ids.where(col("type") == "response").select(col("capture_id").alias("refers_to"), col("page_id").alias("refers_to_page"))
     refer = col("refers_to").isNotNull()
-    return ids.where(refer).join(names, "refers_to", "left").unionByName(ids.where(~refer).withColumn("refers_to_page", lit(None).cast(kind)))
+    out = ids.where(refer).join(names, "refers_to", "left").unionByName(ids.where(~refer).withColumn("refers_to_page", lit(None).cast(kind)))
+    return out.withColumn("copy", F.explode(F.sequence(lit(1), col("copies"))))

@@ -134,3 +134,33 @@ def test_decontamination(spark, edge, nothing):
 
 
 LONG_ITEM = " ".join(f"wort{i % 977} und so" for i in range(400))
+
+
+def brute_language(model, text):
+    """The corrected shares from exact sets of the masks' n-grams, a gram at a time."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    if not any(map(str.isalpha, letters)):
+        return "und", 0.0
+    low = " " + re.sub(" +", " ", letters) + " "
+    low += " " * (langid.N - len(low))
+    hits, n = [0] * len(model.languages), len(low) - langid.N + 1
+    for i in range(n):
+        h = 0
+        for c in low[i:i + langid.N]:
+            h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+        mask = -1
+        for m in langid.HASHES:
+            mask &= int(model.masks[(h * m % (1 << 64)) >> (64 - langid.SLOTS.bit_length() + 1)])
+        hits = [x + (mask >> k & 1) for k, x in enumerate(hits)]
+    v = [max((x / n - w) / (1 - w), 0) / o for x, w, o in zip(hits, model.wrong, model.own, strict=True)]
+    return model.languages[v.index(max(v))], min(1.0, max(v))
+
+
+def test_language_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    texts = ["a", "I", "é", "ab", "1 a 2", "a1", " a ", "abc", "The and of", "中", "x" * 9, "Straße über", "1", "", None, "a  b\tc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.select("doc_id", "text").limit(40))
+    for r in langid.predict(df, model).select("row.text", "lang_pred", "score").collect():
+        lang, score = brute_language(model, r.text)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score)), r.text
