@@ -7,7 +7,7 @@ The distinct five-word shingles of a text are its set; texts of equal sets are o
    often come last (a bit table of fixed size, whose errors only change the order), so common passages seldom meet.
 2. Sets with the same prefix shingle are a bucket. Of each bucket, a few sets are compared with all others; the links
    found are put together to components, and pairs inside a component need no comparison. What is left is compared once
-   it is in proportion to the bucket; otherwise four times as many sets are taken in the next round.
+   it is in proportion to the bucket; otherwise ``GROWTH`` times as many sets are taken in the next round.
 3. Candidates of fitting sizes are looked at by their prefixes first: what two sets share is in both prefixes, but for at
    most the rest of the set whose prefix ends earlier. What this bound leaves is verified by the whole sets.
 
@@ -20,6 +20,7 @@ that repeat share their component; an empty table gives no rows. Columns other t
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ col, lit = F.col, F.lit
 
 #: One text in so many is looked at for common shingles, and so many of these make a shingle common.
 SAMPLE, OFTEN = 16, 2
+#: Times as many hubs in the next round.
+GROWTH = 16
 #: Pairs left in a bucket, as a multiple of its sets, that are compared without another round.
 FEW = 32
 #: Bits of the tables that are broadcast: 2 MB each, whatever the number of texts.
@@ -182,12 +185,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left, hubs, links, comp = stored(buckets(rows), "near-buckets"), 1, None, None
     while True:
         now = left.join(comp, "s", "left").withColumn("c", F.coalesce("c", "s")) if comp is not None else left.withColumn("c", col("s"))
-        parts = now.groupBy("b", "c").agg(F.count(lit(1)).alias("k")).groupBy("b").agg(
-            F.sum("k").alias("g"), F.sum(col("k") * col("k")).alias("q"), F.count(lit(1)).alias("parts"), F.max(F.struct("k", "c"))["c"].alias("big"))
-        open_ = parts.where(col("parts") > 1).select("b", "big", col("g").cast("decimal(20,0)").alias("g"), ((col("g") * col("g") - col("q")) / 2 > few * col("g")).alias("large"))
-        # Hashes choose the hubs, so a large bucket is never put in order.
+        drawn = F.struct(F.xxhash64("s"), "s")
+        parts = now.groupBy("b", "c").agg(F.count(lit(1)).alias("k"), F.min(drawn).alias("low")).groupBy("b").agg(
+            F.min("low").alias("low"), F.sum("k").alias("g"), F.sum(col("k") * col("k")).alias("q"), F.count(lit(1)).alias("parts"), F.max(F.struct("k", "c"))["c"].alias("big"))
+        open_ = parts.where(col("parts") > 1).select("b", "big", "low", col("g").cast("decimal(20,0)").alias("g"), ((col("g") * col("g") - col("q")) / 2 > few * col("g")).alias("large"))
+        # Hashes choose the hubs (the least one, and so many more), so a large bucket is never put in order.
         spot = F.pmod(F.xxhash64("s", lit(hubs)), lit(1 << 30)) * col("g") < lit(hubs << 30).cast("decimal(38,0)")
-        now = stored(now.join(open_, "b").withColumn("hub", col("large") & spot).drop("g"), "near-open")
+        hub = spot & lit(hubs > 1) | (drawn == col("low"))
+        now = stored(now.join(open_, "b").withColumn("hub", col("large") & hub).drop("g", "low"), "near-open")
         if now.isEmpty():
             break
         # Outside its largest component, a bucket with few pairs left has few sets.
@@ -198,7 +203,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             comp = stored(connected_components(links).select(col("node").alias("s"), col("component").alias("c")), "near-components")
-        left, hubs = now.where(col("large") & ~col("hub")).select("b", "s", "n"), 4 * hubs
+        left, hubs = now.where(col("large") & ~col("hub")).select("b", "s", "n"), GROWTH * hubs
+        # A round leaves shuffle files of dozens of small jobs, which Spark drops when their plans are collected.
+        gc.collect()
+        d.sparkSession.sparkContext._jvm.System.gc()
     if comp is None:
         return rows.select("doc_id", "_t", col("s").alias("root"))
     return rows.join(comp, "s", "left").select("doc_id", "_t", F.coalesce("c", "s").alias("root"))
