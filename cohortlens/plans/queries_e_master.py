@@ -108,8 +108,9 @@ SELECT match_key, CASE WHEN e1 <> e2 THEN if(newer1, e1, e2) ELSE coalesce(e1, e
        coalesce(e1 <> e2, FALSE) AS conflict_email, coalesce(p1 <> p2, FALSE) AS conflict_phone_number FROM j""")(
     lambda t: M.resolve_conflicts(_key12(t), M.stack_sources({n: t[n] for n in ("source1", "source2")}, ["email", "phone_number"]), ["email", "phone_number"]))
 _pick = lambda c: f"arg_max({c}, (w, last_updated, node)) FILTER (WHERE {c} IS NOT NULL) AS {c}"
-register("er09_golden", S3, f"""WITH RECURSIVE {_EXACT.strip()}, {_FUZZY},
-m AS (SELECT source || ':' || provider_id AS node, match_type || match_key AS k FROM e UNION ALL SELECT source || ':' || provider_id, match_type || match_key FROM f),
+register("er09_golden", (*S3, "affiliations"), f"""WITH RECURSIVE {_EXACT.strip()}, {_FUZZY}, {_INST.strip()},
+m AS (SELECT source || ':' || provider_id AS node, match_type || match_key AS k FROM e UNION ALL SELECT source || ':' || provider_id, match_type || match_key FROM f
+      UNION ALL SELECT source || ':' || provider_id, match_type || match_key FROM i),
 lk AS (SELECT DISTINCT a.node AS x, b.node AS y FROM (SELECT k, min(node) AS node FROM m GROUP BY 1) a JOIN m b USING (k)),
 sy AS (SELECT x, y FROM lk UNION SELECT y, x FROM lk),
 r(root, node) AS (SELECT x, x FROM sy UNION SELECT r.root, sy.y FROM r JOIN sy ON sy.x = r.node),
@@ -118,12 +119,7 @@ z AS (SELECT a3.*, source || ':' || provider_id AS node, CASE source WHEN 'sourc
 g AS (SELECT z.*, coalesce(golden_id, z.node) AS golden_id FROM z LEFT JOIN c ON c.node = z.node)
 SELECT golden_id, {", ".join(_pick(c) for c in _FIELDS)}, count(*) AS record_count, count(DISTINCT source) AS source_count, round(avg(w), 6) AS confidence,
        arg_max(source, (w, last_updated, node)) AS lead_source, max(last_updated) AS newest_update FROM g GROUP BY 1""")(
-    lambda t: M.golden_records(_levels12(t), M.weighted_sources(_srcs(t), _FIELDS), _FIELDS).withColumn("confidence", F.round("confidence", 6)))
-
-
-def _levels12(t):
-    exact = M.exact_matches(*_s(t))
-    return exact.unionByName(M.fuzzy_matches(t["source1"], t["source2"], exact))
+    lambda t: M.golden_records(M.all_matches(*_s(t), t["affiliations"]), M.weighted_sources(_srcs(t), _FIELDS), _FIELDS).withColumn("confidence", F.round("confidence", 6)))
 
 
 def _fuzzy_pairs(t):

@@ -153,7 +153,7 @@ SELECT rule, ts FROM r"""
 _ntz = lambda df, *cs: df.withColumns({c: col(c).cast("timestamp_ntz") for c in cs})
 register("sm03a_cooldown", ML, _COOL)(lambda t: _ntz(O.cooldown_emissions(O.evaluate_rules(_long(t), _rules(t))), "ts"))
 register("sm03b_cooldown_stream", ML, _COOL)(
-    lambda t: _ntz(J.run_available(J.with_cooldown(J.threshold_alerts(_stream_metrics(t), _rules(t))), scratch_path(t.spark, "cooldown")).select("rule", "ts"), "ts"))
+    lambda t: _ntz(J.run_closed(J.threshold_alerts(_stream_metrics(t), _rules(t)), scratch_path(t.spark, "cooldown")).where(~col("late")).select("rule", "ts"), "ts"))
 register("sm04_sustained", ML, """
 WITH c AS (SELECT *, sum((NOT query_time_ms > 500)::INT) OVER (PARTITION BY component ORDER BY ts, metric_id) AS run FROM metric_log),
 g AS (SELECT component, run, min(ts) AS start, max(ts) AS end, count(*) AS samples FROM c WHERE query_time_ms > 500 GROUP BY ALL)
@@ -179,7 +179,7 @@ def _stream_changes(t):
     log = e.select(F.concat(lit("PROV_"), padded(col("user_id"))).alias("record_id"), "event_id", "ts",
                    F.when(col("event_type") == "signup", "INSERT").when(col("event_type") == "error", "DELETE").otherwise("UPDATE").alias("operation_type"),
                    F.concat(lit("mail"), col("event_id").cast("string"), lit("@clinic.org")).alias("email"))
-    return J.apply_change_stream(log, lambda n: f"{base}/v{n}", t["providers"].select("provider_id", "full_name", "email"), "provider_id", ["ts", "event_id"], ["email"], f"{base}/checkpoint")
+    return J.apply_change_stream(log, f"{base}/table", t["providers"].select("provider_id", "full_name", "email"), "provider_id", ["ts", "event_id"], ["email"], f"{base}/checkpoint")
 
 
 from cohortlens.plans.queries_e_master import APPLIED_SQL  # noqa: E402

@@ -276,7 +276,7 @@ def test_streams_over_several_batches(spark, tmp_path):
     for i in range(0, len(rows), 6):
         spark.createDataFrame(rows[i:i + 6], "rule string, ts timestamp, cooldown_minutes int").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("rule string, ts timestamp, cooldown_minutes int").option("maxFilesPerTrigger", 1).parquet(src)
-    got = jobs.run_available(jobs.with_cooldown(stream), str(tmp_path / "out"))
+    got = jobs.run_closed(stream, str(tmp_path / "out"))
     assert got.select("batch_id").distinct().count() > 1
     batch = O.cooldown_emissions(spark.read.parquet(src))
     assert {r.ts for r in got.collect()} == {r.ts for r in batch.collect()}

@@ -43,7 +43,7 @@ def test_change_stream_of_two_batches(spark):
     for i, row in enumerate([("P1", "UPDATE", "first", 1), ("P1", "UPDATE", "second", 2)]):
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{base}/in/{i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    out = jobs.apply_change_stream(stream, lambda n: f"{base}/v{n}", start, "provider_id", ["n"], ["email"], f"{base}/checkpoint")
+    out = jobs.apply_change_stream(stream, f"{base}/table", start, "provider_id", ["n"], ["email"], f"{base}/checkpoint")
     assert {tuple(r) for r in out.select("provider_id", "email").collect()} == {("P1", "second"), ("P2", "b")}
 
 
