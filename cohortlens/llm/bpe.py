@@ -39,7 +39,7 @@ PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 ODD_SPACE = re.compile("[" + SPACE.replace(r"\t-\r ", r"\t\x0b-\r") + "]")
 MARKS = ".,;:!?"
 #: Bytes that a task remembers pieces in, pairs of tokens that a worker remembers, and bytes of text that are cut at once.
-MEMORY, PAIRS, STEP = 32 << 20, 200_000, 1 << 20
+MEMORY, PAIRS, STEP = 112 << 20, 600_000, 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
