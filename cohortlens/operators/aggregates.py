@@ -58,8 +58,11 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
         "bin", (col("lo") + col("bin") * col("w")).alias("bin_start"), (col("lo") + (col("bin") + 1) * col("w")).alias("bin_end"), "n")
 
 
-def pivot_mean(df: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(row).pivot(column, list(columns)).agg(F.avg(value)).fillna(0)
+def pivot_mean(df: DataFrame, row: str, column: str, value: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Mean of ``value`` by row and column value, 0 where there is none. Without ``columns`` every value of the data gets a
+    column; Spark raises an error above ``spark.sql.pivotMaxValues`` of them."""
+    g = df.groupBy(row)
+    return (g.pivot(column) if columns is None else g.pivot(column, list(columns))).agg(F.avg(value)).fillna(0)
 
 
 def percent_where(conditions: dict[str, Column]) -> list[Column]:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -77,102 +76,176 @@ def score_profiles(inter: DataFrame, profiles: Sequence[tuple] = PROFILES, top_n
     return scored.withColumn("rank", F.row_number().over(w)).where(col("rank") <= top_n)
 
 
-def _units(inter: DataFrame, items: Sequence[str]) -> DataFrame:
-    """Mean outcome per item as a unit vector; patients without any positive mean have no direction and are left out."""
-    means = inter.groupBy("patient_id").agg(*[F.coalesce(F.avg(F.when(col("treatment") == it, col("outcome"))), lit(0.0)).alias(f"m{i}")
-                                               for i, it in enumerate(items)])
-    v = [col(f"m{i}") for i in range(len(items))]
-    norm = F.sqrt(sum((a * a for a in v[1:]), v[0] * v[0]))
-    return means.withColumn("_norm", norm).where(col("_norm") > 0).select("patient_id", F.array(*[a / col("_norm") for a in v]).alias("u"))
+def treatments(inter: DataFrame) -> list[str]:
+    """The distinct treatments in order. They become vector components, so more than ``spark.sql.pivotMaxValues`` are an
+    error, as for a pivot; none is dropped."""
+    limit = int(inter.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    found = [r[0] for r in inter.where(col("treatment").isNotNull()).select("treatment").distinct().orderBy("treatment").limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} treatments; raise spark.sql.pivotMaxValues or group them first")
+    return found
 
 
-def nearest_patients(inter: DataFrame, items: Sequence[str], k: int = 5, max_pivots: int = 512, digits: int = 9,
+def directions(inter: DataFrame, items: Sequence[str] | None = None) -> DataFrame:
+    """``patient_id, u``: mean outcome per treatment as a unit vector, items in the given order (by default all treatments
+    of the data). Patients without any mean other than 0 have no direction and are left out."""
+    items = treatments(inter) if items is None else list(items)
+    if not items:
+        return inter.select("patient_id", F.array().cast("array<double>").alias("u")).limit(0)
+    place = F.array_position(lit(items), col("treatment")).cast("int") - 1
+    means = inter.where(col("treatment").isin(*items)).groupBy("patient_id", place.alias("i")).agg(F.avg("outcome").alias("m")).where(col("m") != 0)
+    per = means.groupBy("patient_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("v"))
+    dense = F.transform(F.sequence(lit(0), lit(len(items) - 1)), lambda i: F.coalesce(F.try_element_at("v", i), lit(0.0)))
+    norm = F.sqrt(F.aggregate("d", lit(0.0), lambda a, x: a + x * x))
+    return per.select("patient_id", dense.alias("d")).select("patient_id", F.transform("d", lambda x: x / norm).alias("u"))
+
+
+ROOT = "r"
+SLABS = 16  # parts into which a round cuts a cell that is too large
+SLACK = 1e-8  # squared distance that covers similarities which are equal after rounding
+
+
+def _boxes(members: DataFrame) -> DataFrame:
+    """``cell, lo, hi, n, axis, diameter`` (squared) from ``cell, u``: minimum and maximum by component, combined before the shuffle."""
+    sides = members.select("cell", F.posexplode("u").alias("axis", "x")).groupBy("cell", "axis").agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(lit(1)).alias("n"))
+    b = sides.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("axis", "lo", "hi"))).alias("b"), F.max("n").alias("n"),
+                                  F.max_by("axis", F.struct(col("hi") - col("lo"), -col("axis"))).alias("axis"))
+    return b.select("cell", col("b.lo").alias("lo"), col("b.hi").alias("hi"), "n", "axis",
+                    F.aggregate("b", lit(0.0), lambda a, x: a + (x["hi"] - x["lo"]) * (x["hi"] - x["lo"])).alias("diameter"))
+
+
+def cells(vectors: DataFrame, cell_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Cut distinct vectors ``vid, u, ids`` into cells of at most ``cell_rows``.
+
+    Returns the vectors with their cell and, level by level, the boxes ``cell, parent, lo, hi, n, diameter``. A round cuts
+    every cell that is too large across its widest component, at quantiles and at the middle. The middle lies below the
+    maximum, so both sides hold a vector and the rounds end whatever the values are.
+    """
+    members = cut_lineage(vectors.withColumn("cell", lit(ROOT)))
+    boxes = cut_lineage(_boxes(members).withColumn("parent", lit(ROOT)))
+    levels = [boxes]
+    while not (large := boxes.where(col("n") > cell_rows)).isEmpty():
+        wide = members.join(large.select("cell", "axis", F.element_at("lo", col("axis") + 1).alias("a"), F.element_at("hi", col("axis") + 1).alias("z")),
+                            "cell", "left").withColumn("x", F.when(col("axis").isNotNull(), F.element_at("u", col("axis") + 1)))
+        middle = (F.first("a") + F.first("z")) / 2
+        cuts = wide.where(col("axis").isNotNull()).groupBy("cell").agg(F.array_union(
+            F.percentile_approx("x", [i / SLABS for i in range(1, SLABS)], 1000),
+            F.array(F.when(middle < F.first("z"), middle).otherwise(F.first("a")))).alias("cuts"))
+        slab = F.size(F.filter("cuts", lambda c: col("x") > c))
+        members = cut_lineage(wide.join(cuts, "cell", "left").select(
+            "vid", "u", "ids", col("cell").alias("parent"),
+            F.when(col("cuts").isNull(), col("cell")).otherwise(F.concat_ws(".", "cell", slab.cast("string"))).alias("cell")))
+        parents = members.select("cell", "parent").distinct()
+        boxes = cut_lineage(_boxes(members).join(parents, "cell"))
+        members = members.drop("parent")
+        levels.append(boxes)
+    return members, levels
+
+
+def _gap(lo_a, hi_a, lo_b, hi_b):
+    """Squared distance of two boxes given as arrays."""
+    low = F.zip_with(lo_a, hi_b, lambda x, y: F.greatest(x - y, lit(0.0)))
+    high = F.zip_with(lo_b, hi_a, lambda x, y: F.greatest(x - y, lit(0.0)))
+    return F.aggregate(F.zip_with(low, high, lambda x, y: F.greatest(x, y)), lit(0.0), lambda s, x: s + x * x)
+
+
+def near_cells(levels: Sequence[DataFrame], k: int) -> DataFrame:
+    """``a, b``: cells ``b`` that can hold one of the ``k`` nearest of some vector of ``a``, found from the root down.
+
+    A cell of more than ``k`` vectors bounds the search of its vectors by its own diameter, a smaller one by its
+    parent's. Pairs of children are made only from pairs of parents that stayed.
+    """
+    far = lit(5.0)  # above the largest squared distance of two unit vectors
+    pairs = None
+    for boxes in levels:
+        side = lambda n: boxes.select(*[col(c).alias(f"{n}_{c}") for c in ("cell", "parent", "lo", "hi", "n", "diameter")])  # noqa: B023, E731
+        own = F.when(col("a_n") > k, col("a_diameter")).otherwise(far)
+        if pairs is None:
+            made = side("a").join(side("b"), col("a_parent") == col("b_parent")).withColumn("bound", own)
+        else:
+            made = pairs.join(side("a"), col("a") == col("a_parent")).join(side("b"), col("b") == col("b_parent")).withColumn(
+                "bound", F.least("bound", own))
+        pairs = cut_lineage(made.where(_gap(col("a_lo"), col("a_hi"), col("b_lo"), col("b_hi")) <= col("bound") + SLACK).select(
+            col("a_cell").alias("a"), col("b_cell").alias("b"), "bound"))
+    return pairs.where(col("a") != col("b")).select("a", "b")
+
+
+def _best(left_q: pd.Series, left_u: np.ndarray, right: pd.DataFrame, keep: int, digits: int) -> pd.DataFrame:
+    """For each left vector the ``keep`` best right directions by (rounded similarity, first id)."""
+    base = np.stack(right["u"].to_numpy()).astype(float)
+    ids = right["ids"].to_numpy()
+    first = np.array([i[0] for i in ids])
+    qs = left_q.to_numpy()
+    out_q, out_i, out_s = [], [], []
+    step = max(1, 4_000_000 // len(base))
+    for s in range(0, len(qs), step):
+        sims = np.round(left_u[s:s + step] @ base.T, digits)
+        for q, row in zip(qs[s:s + step], sims):
+            best = np.lexsort((first, -row))[:keep]
+            out_q.extend([q] * len(best))
+            out_i.extend(ids[j] for j in best)
+            out_s.extend(row[best])
+    return pd.DataFrame({"q": out_q, "ids": out_i, "sim": out_s})
+
+
+_EMPTY = pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "sim": pd.Series(dtype=float)})
+
+
+def _own_cell(members: DataFrame, k: int, digits: int) -> DataFrame:
+    """Best directions of each vector within its own cell. A cell holds at most ``cell_rows`` vectors."""
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        return _best(part["vid"], np.stack(part["u"].to_numpy()).astype(float), part, k + 1, digits)
+
+    return cut_lineage(members.groupBy("cell").applyInPandas(search, "q bigint, ids array<bigint>, sim double"))
+
+
+def visits(members: DataFrame, levels: Sequence[DataFrame], own: DataFrame, k: int) -> DataFrame:
+    """``q, qu, cell``: other cells that a vector has to look at. The similarity of its best ``k`` + 1 patients so far
+    bounds the distance; a cell whose box is farther away cannot hold a better one."""
+    reach = own.select("q", F.explode("ids").alias("i"), "sim").groupBy("q").agg(F.sort_array(F.collect_list("sim"), asc=False).alias("s"))
+    limit = F.when(F.size("s") > k, 2 - 2 * F.get("s", lit(k))).otherwise(lit(5.0))
+    bounded = members.join(reach, col("vid") == col("q")).select(col("q"), col("u").alias("qu"), col("cell").alias("a"), limit.alias("far"))
+    last = levels[-1].select(col("cell").alias("b"), "lo", "hi")
+    return bounded.join(near_cells(levels, k), "a").join(last, "b").where(
+        _gap(col("qu"), col("qu"), col("lo"), col("hi")) <= col("far") + SLACK).select("q", "qu", col("b").alias("cell"))
+
+
+def nearest_patients(inter: DataFrame, items: Sequence[str] | None = None, k: int = 5, digits: int = 9, cell_rows: int = 4096,
                      block_rows: int = 50_000) -> DataFrame:
     """The ``k`` patients with the highest cosine similarity to each patient, exact, ties to the smaller id.
 
-    Equal directions are collapsed to one vector. Vectors are assigned to their nearest pivot; since angles obey the
-    triangle inequality, a vector only visits cells whose ring can hold something closer than its k-th nearest
-    pivot. Cells and visitors are split into blocks, so a task holds two blocks and never all pairs.
+    Equal directions are one vector, named by its smallest patient id. The vectors are cut into cells of at most
+    ``cell_rows``; each is first compared with its own cell, then with the cells whose box may hold a better one (see
+    ``visits``). Visitors of a popular cell are cut into blocks, so a task never holds more than a cell and a block.
+    With very many treatments boxes tell little apart and most cells are visited; the answer stays exact.
     """
-    d = len(items)
-    units = _units(inter, items)
+    units = directions(inter, items)
     # k + 1 smallest ids per direction are enough: no answer can need more of one direction.
     w = Window.partitionBy("u").orderBy("patient_id")
-    kept = cut_lineage(units.withColumn("_r", F.row_number().over(w)).where(col("_r") <= k + 1).groupBy("u").agg(
-        F.sort_array(F.collect_list("patient_id")).alias("ids")).withColumn("vid", F.xxhash64("u")))
-    total = kept.count()
-    want = min(max_pivots, max(k + 1, int(math.sqrt(total))))
-    pivots = np.array([r["u"] for r in kept.orderBy("vid").limit(want).select("u").collect()], dtype=float)  # at most max_pivots
-    if len(pivots) == 0:
-        return inter.sparkSession.createDataFrame([], "patient_id bigint, neighbour bigint, similarity double, rank int")
-    slack = 1e-4  # covers similarities that are equal after rounding
-
-    def angles(u: np.ndarray) -> np.ndarray:
-        return np.arccos(np.clip(u @ pivots.T, -1.0, 1.0))
-
-    def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            a = angles(np.stack(b["u"].to_numpy()).astype(float))
-            c = a.argmin(axis=1)
-            yield pd.DataFrame({"vid": b["vid"], "u": b["u"], "ids": b["ids"], "cell": c, "angle": a[np.arange(len(c)), c]})
-
-    sch = "vid bigint, u array<double>, ids array<bigint>, cell bigint, angle double"
-    members = cut_lineage(kept.select("vid", "u", "ids").mapInPandas(assign, sch))
-    rings = members.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(lit(1)).alias("n")).collect()  # one row per pivot
-    lo, hi = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    parts = np.ones(len(pivots), dtype=int)
-    for r in rings:
-        lo[r["cell"]], hi[r["cell"]] = r["lo"], r["hi"]
-        parts[r["cell"]] = max(1, -(-r["n"] // block_rows))
-    kth = min(k, len(pivots) - 1)
-
-    def visits(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            a = angles(np.stack(b["u"].to_numpy()).astype(float))
-            # The k-th nearest other pivot bounds the k-th neighbour, because pivots are vectors of the table.
-            bound = np.sort(a, axis=1)[:, kth] + slack if len(pivots) > k else np.full(len(b), np.inf)
-            go = (a - bound[:, None] <= hi[None, :]) & (a + bound[:, None] >= lo[None, :])
-            q, c = np.nonzero(go)
-            rep = parts[c]
-            q, c = np.repeat(q, rep), np.repeat(c, rep)
-            part = np.concatenate([np.arange(n) for n in rep]) if len(rep) else np.array([], dtype=int)
-            yield pd.DataFrame({"cell": c, "part": part, "q": b["vid"].to_numpy()[q], "qu": b["u"].to_numpy()[q]})
-
-    going = members.select("vid", "u").mapInPandas(visits, "cell bigint, part bigint, q bigint, qu array<double>")
-    cell_parts = F.element_at(F.array(*[lit(int(p)) for p in parts]), (col("cell") + 1).cast("int"))
-    homes = members.withColumn("part", F.pmod(col("vid"), cell_parts).cast("bigint"))
-    # Visitors of a popular cell are cut into groups; the block of members is repeated for each group.
-    load = going.groupBy("cell", "part").agg(F.count(lit(1)).alias("_v")).withColumn("groups", F.ceil(col("_v") / block_rows))
-    going = going.join(load.select("cell", "part", "groups"), ["cell", "part"]).withColumn("grp", F.pmod(F.xxhash64("q"), col("groups")))
-    homes = homes.join(load.select("cell", "part", "groups"), ["cell", "part"]).withColumn(
-        "grp", F.explode(F.sequence(lit(0).cast("bigint"), col("groups") - 1)))
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "sim": pd.Series(dtype=float)})
-        base = np.stack(right["u"].to_numpy()).astype(float)
-        ids = right["ids"].to_numpy()
-        first = np.array([i[0] for i in ids])
-        out_q, out_i, out_s = [], [], []
-        step = max(1, 4_000_000 // len(base))
-        for s in range(0, len(left), step):
-            part = left.iloc[s:s + step]
-            sims = np.round(np.stack(part["qu"].to_numpy()).astype(float) @ base.T, digits)
-            for qi, row in zip(part["q"], sims):
-                # Each direction brings its smallest ids, so k + 1 directions by (similarity, first id) suffice.
-                for j in np.lexsort((first, -row))[:k + 1]:
-                    out_q.append(qi)
-                    out_i.append(ids[j])
-                    out_s.append(row[j])
-        return pd.DataFrame({"q": out_q, "ids": out_i, "sim": out_s})
-
-    found = going.groupBy("cell", "part", "grp").cogroup(homes.select("cell", "part", "grp", "u", "ids").groupBy("cell", "part", "grp")).applyInPandas(
-        match, "q bigint, ids array<bigint>, sim double")
-    cand = found.select("q", F.explode("ids").alias("neighbour"), "sim")
+    vectors = units.withColumn("_r", F.row_number().over(w)).where(col("_r") <= k + 1).groupBy("u").agg(
+        F.sort_array(F.collect_list("patient_id")).alias("ids")).select(F.element_at("ids", 1).alias("vid"), "u", "ids")
+    members, levels = cells(vectors, cell_rows)
+    own = _own_cell(members, k, digits)
+    found = own
+    if len(levels) > 1:
+        going = cut_lineage(visits(members, levels, own, k))
+        load = going.groupBy("cell").agg(F.ceil(F.count(lit(1)) / block_rows).alias("groups"))
+        left = going.join(load, "cell").select("cell", F.pmod(F.xxhash64("q"), col("groups")).alias("grp"), "q", "qu")
+        right = members.join(load, "cell").select("cell", F.explode(F.sequence(lit(0).cast("bigint"), col("groups") - 1)).alias("grp"), "u", "ids")
+
+        def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return _EMPTY
+            return _best(a["q"], np.stack(a["qu"].to_numpy()).astype(float), b, k + 1, digits)
+
+        found = own.unionByName(left.groupBy("cell", "grp").cogroup(right.groupBy("cell", "grp")).applyInPandas(
+            match, "q bigint, ids array<bigint>, sim double"))
     wq = Window.partitionBy("q").orderBy(col("sim").desc(), "neighbour")
-    top = cand.withColumn("_r", F.row_number().over(wq)).where(col("_r") <= k + 1).select("q", "neighbour", "sim")
-    # Every patient of a direction shares its candidates and leaves itself out.
-    per = units.withColumn("q", F.xxhash64("u")).select("patient_id", "q").join(top, "q").where(col("patient_id") != col("neighbour"))
-    wp = Window.partitionBy("patient_id").orderBy(col("sim").desc(), "neighbour")
-    return per.withColumn("rank", F.row_number().over(wp)).where(col("rank") <= k).select(
-        "patient_id", "neighbour", col("sim").alias("similarity"), "rank")
+    top = found.select("q", F.explode("ids").alias("neighbour"), "sim").withColumn("_r", F.row_number().over(wq)).where(
+        col("_r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("_r", "neighbour", "sim"))).alias("best"))
+    # Every patient of a direction shares its candidates and leaves itself out. The vector itself is the key.
+    per = units.join(top.join(members.select(col("vid").alias("q"), "u"), "q").select("u", "best"), "u")
+    mine = F.slice(F.filter("best", lambda b: b["neighbour"] != col("patient_id")), 1, k)
+    return per.select("patient_id", F.posexplode(mine).alias("p", "b")).select(
+        "patient_id", col("b.neighbour").alias("neighbour"), col("b.sim").alias("similarity"), (col("p") + 1).alias("rank"))

@@ -186,10 +186,10 @@ register("ag10_arg_max", ("activities",), """
 SELECT activity_type, max_by(activity_id, (citation_count, activity_id)) AS top_activity FROM activities GROUP BY 1""")(
     lambda t: t["activities"].groupBy("activity_type").agg(
         F.max_by("activity_id", F.struct("citation_count", "activity_id")).alias("top_activity")))
-_TREAT = ("click", "error", "purchase", "signup", "view")
-register("ag11_pivot_mean", ("interactions",), "SELECT patient_id, " + ", ".join(
-    f"round(coalesce(avg(outcome) FILTER (WHERE treatment = '{x}'), 0), 6) AS {x}" for x in _TREAT) + " FROM interactions GROUP BY 1")(
-    lambda t: _R6(A.pivot_mean(t["interactions"], "patient_id", "treatment", "outcome", _TREAT), *_TREAT))
+register("ag11_pivot_mean", ("interactions",), """
+WITH g AS (SELECT patient_id, treatment, avg(outcome) AS m FROM interactions GROUP BY ALL), c AS (SELECT DISTINCT treatment FROM g), p AS (SELECT DISTINCT patient_id FROM g)
+SELECT patient_id, treatment, round(coalesce(m, 0), 6) AS mean_outcome FROM p CROSS JOIN c LEFT JOIN g USING (patient_id, treatment)""")(
+    lambda t: _R6(A.pivot_mean(t["interactions"], "patient_id", "treatment", "outcome").unpivot("patient_id", None, "treatment", "mean_outcome"), "mean_outcome"))
 register("ag12_joined_values", ("affiliations",), """
 SELECT provider_id, 0 AS part, string_agg(DISTINCT facility_id, '; ' ORDER BY facility_id) AS values_text, count(DISTINCT facility_id) AS n_values
 FROM affiliations GROUP BY 1""")(lambda t: A.joined_values(t["affiliations"], "provider_id", "facility_id"))

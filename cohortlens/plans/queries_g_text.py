@@ -125,7 +125,6 @@ SELECT {_K}, week, value, round(xl + (i - tr) * c / (1 - phi) + (dl - c / (1 - p
 
 # --- recommendation
 _I = ("interactions",)
-_TREAT = ("click", "error", "purchase", "signup", "view")
 register("rc01_interactions", ("study_rows",), """
 SELECT 'patient_' || row_ordinal AS patient_id, coalesce(treatment[:50], 'unknown') AS treatment, coalesce(lower(clinical_improvement) LIKE 'y%', FALSE)::INT AS outcome,
        CASE WHEN severity_of_disease ILIKE '%severe%' THEN 3 WHEN severity_of_disease ILIKE '%critical%' THEN 4 WHEN severity_of_disease ILIKE '%mild%' THEN 1 ELSE 2 END AS severity_score
@@ -133,13 +132,15 @@ FROM study_rows WHERE source_category = '7_therapeutics_interventions_and_clinic
     lambda t: RC.interactions_from_rows(t["study_rows"].where(col("source_category") == R.THERAPEUTICS)))
 register("rc02_success_rates", _I, "SELECT treatment, round_even(avg(outcome), 3) AS mean_outcome, count(*) AS n FROM interactions GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")(
     lambda t: RC.success_rates(t["interactions"]))
-_U = "m AS (SELECT patient_id, " + ", ".join(f"coalesce(avg(outcome) FILTER (WHERE treatment = '{x}'), 0) AS m{i}" for i, x in enumerate(_TREAT)) + " FROM interactions GROUP BY 1)"
-_nm = lambda a: "sqrt(" + " + ".join(f"{a}.m{i} * {a}.m{i}" for i in range(5)) + ")"
-_dot = " + ".join(f"(a.m{i} / {_nm('a')}) * (b.m{i} / {_nm('b')})" for i in range(5))
-register("rc03_nearest_patients", _I, f"""WITH {_U}, z AS (SELECT * FROM m WHERE {_nm('m')} > 0),
-p AS (SELECT a.patient_id, b.patient_id AS neighbour, round({_dot}, 9) AS similarity FROM z a JOIN z b ON a.patient_id <> b.patient_id),
+# Every treatment that occurs is a component: means by patient and treatment, divided by the patient's norm.
+register("rc03_nearest_patients", _I, """
+WITH m AS (SELECT patient_id, treatment, avg(outcome) AS m FROM interactions WHERE treatment IS NOT NULL GROUP BY ALL),
+u AS (SELECT patient_id, treatment, m / sqrt(sum(m * m) OVER (PARTITION BY patient_id)) AS x FROM m WHERE m <> 0),
+z AS (SELECT DISTINCT patient_id FROM u), d AS (SELECT a.patient_id, b.patient_id AS neighbour, sum(a.x * b.x) AS s FROM u a JOIN u b USING (treatment) GROUP BY ALL),
+p AS (SELECT a.patient_id, b.patient_id AS neighbour, round(coalesce(s, 0), 9) AS similarity FROM z a JOIN z b ON a.patient_id <> b.patient_id
+      LEFT JOIN d ON d.patient_id = a.patient_id AND d.neighbour = b.patient_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY similarity DESC, neighbour)::INT AS rank FROM p) SELECT * FROM r WHERE rank <= 5""")(
-    lambda t: RC.nearest_patients(t["interactions"], _TREAT))
+    lambda t: RC.nearest_patients(t["interactions"]))
 register("rc04a_patient_features", _I, """
 SELECT patient_id, round(avg(severity_score), 6) AS severity_score, avg((age_group = 'elderly')::INT) AS age_elderly, avg((age_group = 'middle')::INT) AS age_middle, avg((age_group = 'young')::INT) AS age_young FROM interactions GROUP BY 1""")(
     lambda t: rnd(RC.patient_features(t["interactions"])))

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,11 +186,38 @@ def test_nearest_patients_exact(spark):
     for p in vec:
         want[p] = sorted(((-round(float(vec[p] @ vec[q]), 9), q) for q in vec if q != p))[:5]
     got = {}
-    for r in RC.nearest_patients(df, items, 5, max_pivots=12, block_rows=7).collect():
+    for r in RC.nearest_patients(df, None, 5, cell_rows=12, block_rows=7).collect():
         got.setdefault(r.patient_id, []).append((-r.similarity, r.neighbour))
     assert {p: sorted(v) for p, v in got.items()} == {p: sorted(v) for p, v in want.items()}
 
 
+def test_nearest_patients_takes_every_treatment(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "rare", 1), (3, "rare", 1), (3, None, 1), (4, "a", 0)], "patient_id long, treatment string, outcome int")
+    got = {(r.patient_id, r.rank): (r.neighbour, r.similarity) for r in RC.nearest_patients(df, k=1).collect()}
+    assert got == {(1, 1): (2, 0.0), (2, 1): (3, 1.0), (3, 1): (2, 1.0)}
+    assert RC.nearest_patients(df.limit(0)).count() == 0
+
+
+def test_nearest_patients_visits_do_not_grow_with_the_directions(spark):
+    rng = np.random.default_rng(3)
+    per = []
+    for n in (1000, 4000, 16000):
+        u = np.abs(rng.normal(size=(n, 3)))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        df = spark.createDataFrame(pd.DataFrame({"vid": np.arange(n), "u": list(u), "ids": [[i] for i in range(n)]}), "vid long, u array<double>, ids array<long>")
+        members, levels = RC.cells(df, 128)
+        assert levels[-1].agg(F.max("n")).first()[0] <= 128
+        per.append(RC.visits(members, levels, RC._own_cell(members, 5, 9), 5).count() / n)
+    assert per[2] <= 1.3 * per[0] + 0.5, per
+
+
+def test_cells_end_on_values_that_quantiles_do_not_split(spark):
+    u = [[0.0, 1.0]] + [[1.0, i * 1e-6] for i in range(300)]  # nearly all equal to the maximum of the widest component
+    df = spark.createDataFrame([(i, v, [i]) for i, v in enumerate(u)], "vid long, u array<double>, ids array<long>")
+    members, levels = RC.cells(df, 20)
+    assert members.count() == 301 and levels[-1].agg(F.max("n")).first()[0] <= 20
+
+
 def _survival(seed, n=120):
     rng = random.Random(seed)
     rows = []
