@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.ranking import numbered
 from cohortlens.session import cut_lineage
 
 col, lit = F.col, F.lit
@@ -94,15 +95,9 @@ def average_clustering(edges: DataFrame) -> DataFrame:
     return d.agg(F.avg(local).alias("average_clustering"), (F.sum(F.coalesce("triangles", lit(0))) / 3).cast("bigint").alias("triangles"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized: bool = True) -> DataFrame:
-    """Betweenness from breadth-first search out of every node of ``sources`` (all nodes by default, which is exact).
-
-    State is one row per (source, reached node); each level is one join of the frontier with the edges. Choosing
-    ``sources`` is the caller's way to bound the work: the values then scale by nodes / sources.
-    """
-    e = cut_lineage(both_ways(edges))
-    nodes = e.select(col("src").alias("node")).distinct()
-    start = nodes if sources is None else sources.select("node").join(nodes, "node", "left_semi")
+def _dependencies(e: DataFrame, start: DataFrame) -> DataFrame:
+    """``node, raw``: dependencies of the searches out of ``start``, added up by node. State is one row per (source, reached
+    node); each level is one join of the frontier with the edges ``src, dst``."""
     levels = [cut_lineage(start.select(col("node").alias("s"), "node", lit(0).alias("depth"), lit(1.0).alias("paths")))]
     seen = levels[0]
     for depth in itertools.count(1):  # ends when no search reaches a new node
@@ -129,11 +124,38 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized:
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
-    scores = allp.where(col("depth") > 0).groupBy("node").agg(F.sum("delta").alias("raw"))
+    return allp.where(col("depth") > 0).groupBy("node").agg(F.sum("delta").alias("raw"))
+
+
+def source_batches(start: DataFrame, nodes: int, max_state: int) -> tuple[DataFrame, int]:
+    """``node, batch`` and the number of batches: sources cut by rank, so that batch size times ``nodes`` stays within
+    ``max_state`` rows (one source a batch at least)."""
+    size = max(1, max_state // max(1, nodes))
+    placed = numbered(start.select("node", lit(0).alias("_all")), ["_all"], [col("node")])
+    ranked = cut_lineage(placed.select("node", F.floor(col("pos") / size).alias("batch")))
+    return ranked, (ranked.agg(F.max("batch")).first()[0] or 0) + 1
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized: bool = True, max_state: int = 2_000_000_000) -> DataFrame:
+    """Betweenness from breadth-first search out of every node of ``sources`` (all nodes by default, which is exact).
+
+    Sources are taken in batches of at most ``max_state`` rows of state (source, reached node); the dependencies of each
+    batch are added to those before and written, so what is kept between batches is one row per node. Choosing
+    ``sources`` is the caller's way to bound the work: the values then scale by nodes / sources.
+    """
+    e = cut_lineage(both_ways(edges))
+    nodes = cut_lineage(e.select(col("src").alias("node")).distinct())
+    start = nodes if sources is None else sources.select("node").distinct().join(nodes, "node", "left_semi")
+    n_nodes = nodes.count()
+    ranked, batches = source_batches(start, n_nodes, max_state)
+    scores = None
+    for i in range(batches):
+        part = _dependencies(e, ranked.where(col("batch") == i).select("node"))
+        scores = cut_lineage(part if scores is None else scores.unionByName(part).groupBy("node").agg(F.sum("raw").alias("raw")))
     counts = nodes.agg(F.count(lit(1)).alias("n"))
     # Each unordered pair is seen from both ends, hence the half; normalising divides by the number of pairs.
     norm = F.when(col("n") > 2, 1 / ((col("n") - 1) * (col("n") - 2))).otherwise(0.0) if normalized else lit(0.5)
-    used = start.agg(F.count(lit(1)).alias("k"))
+    used = ranked.agg(F.count(lit(1)).alias("k"))
     return nodes.join(scores, "node", "left").join(F.broadcast(counts)).join(F.broadcast(used)).select(
         "node", (F.coalesce("raw", lit(0.0)) * norm * col("n") / col("k")).alias("betweenness"))
 

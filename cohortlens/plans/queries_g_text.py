@@ -10,7 +10,7 @@ from cohortlens.operators import research as R
 from cohortlens.operators import text as T
 from cohortlens.operators import timeseries as TS
 from cohortlens.plans.registry import register
-from cohortlens.session import stored
+from cohortlens.session import cut_lineage, stored
 
 col, lit = F.col, F.lit
 
@@ -197,26 +197,29 @@ SELECT src, dst, weight, sum(weight) OVER (PARTITION BY src)::BIGINT AS total, r
     lambda t: rnd(G.outcome_network(t["study_rows"].where(col("treatment").isNotNull()).select(
         F.substring("treatment", 1, 30).alias("treatment"), F.when(col("clinical_improvement").isNull(), "unknown").when(
             F.startswith(F.lower("clinical_improvement"), lit("y")), "improved").otherwise("no_improvement").alias("outcome")), "treatment", "outcome")))
-# Betweenness needs one search per node, so it runs on a graph that summarises the whole table: nations linked when
-# the orders between customer and supplier nations of a part size class are above average.
+# Nations are linked when more lineitems than on average go between them (customer nation to supplier nation).
 _TRADE = """
 WITH w AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
-           WHERE c_nationkey <> s_nationkey GROUP BY ALL), x AS (SELECT a, max(n) AS m FROM w GROUP BY 1)
-SELECT w.a AS src, w.b AS dst FROM w JOIN x ON x.a = w.a AND w.n = x.m
+           WHERE c_nationkey <> s_nationkey GROUP BY ALL)
+SELECT a AS src, b AS dst FROM w WHERE n > (SELECT avg(n) FROM w)
 """
 
 
 def _trade(t):
-    w = (t["orders"].select("o_orderkey", "o_custkey").join(t["customer"].select(col("c_custkey").alias("o_custkey"), col("c_nationkey").alias("a")), "o_custkey")
-         .join(t["lineitem"].select(col("l_orderkey").alias("o_orderkey"), col("l_suppkey").alias("s")), "o_orderkey")
-         .join(t["supplier"].select(col("s_suppkey").alias("s"), col("s_nationkey").alias("b")), "s").where(col("a") != col("b")).groupBy("a", "b").agg(F.count(lit(1)).alias("n")))
-    top = w.groupBy("a").agg(F.max("n").alias("n"))
-    return w.join(top, ["a", "n"]).select(col("a").alias("src"), col("b").alias("dst"))
-
-
-register("nw05_betweenness", (), f"""WITH RECURSIVE e AS ({_TRADE.strip()}), y AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), v AS (SELECT DISTINCT a FROM y),
-p(s, node, path) AS (SELECT a, a, [a] FROM v UNION ALL SELECT p.s, y.b, list_append(path, y.b) FROM p JOIN y ON y.a = p.node WHERE NOT list_contains(path, y.b)),
-m AS (SELECT s, node, min(len(path)) AS d FROM p GROUP BY ALL), sp AS (SELECT p.* FROM p JOIN m ON m.s = p.s AND m.node = p.node AND len(path) = d AND p.s < p.node),
-c AS (SELECT s, node, count(*) AS k FROM sp GROUP BY ALL), i AS (SELECT unnest(path[2:-2]) AS x, 1.0::DOUBLE / k AS f FROM sp JOIN c USING (s, node) WHERE len(path) > 2)
-SELECT v.a AS node, round(coalesce(sum(f), 0) * 2 / ((SELECT count(*) FROM v) - 1) / ((SELECT count(*) FROM v) - 2), 9) AS betweenness FROM v LEFT JOIN i ON i.x = v.a GROUP BY 1""")(
+    w = cut_lineage(
+        t["orders"].select("o_orderkey", "o_custkey").join(t["customer"].select(col("c_custkey").alias("o_custkey"), col("c_nationkey").alias("a")), "o_custkey")
+        .join(t["lineitem"].select(col("l_orderkey").alias("o_orderkey"), col("l_suppkey").alias("s")), "o_orderkey")
+        .join(t["supplier"].select(col("s_suppkey").alias("s"), col("s_nationkey").alias("b")), "s").where(col("a") != col("b")).groupBy("a", "b").agg(F.count(lit(1)).alias("n")))
+    mean = w.agg(F.avg("n").alias("m"))
+    return w.join(F.broadcast(mean)).where(col("n") > col("m")).select(col("a").alias("src"), col("b").alias("dst"))
+
+
+# Distances first, then only the shortest paths are walked.
+_BETWEEN = """v AS (SELECT DISTINCT a FROM y), n AS (SELECT count(*) AS n FROM v),
+g(s, node, d) AS (SELECT a, a, 0 FROM v UNION SELECT g.s, y.b, g.d + 1 FROM g JOIN y ON y.a = g.node WHERE g.d < (SELECT n FROM n)),
+m AS (SELECT s, node, min(d) AS d FROM g GROUP BY ALL),
+p(s, node, path) AS (SELECT a, a, [a] FROM v UNION ALL SELECT p.s, y.b, list_append(path, y.b) FROM p JOIN y ON y.a = p.node JOIN m ON m.s = p.s AND m.node = y.b AND m.d = len(path)),
+c AS (SELECT s, node, count(*) AS k FROM p WHERE s <> node GROUP BY ALL), i AS (SELECT unnest(path[2:-2]) AS x, 1.0::DOUBLE / k AS f FROM p JOIN c USING (s, node) WHERE len(path) > 2)
+SELECT v.a AS node, round(coalesce(sum(f), 0) / ((SELECT n FROM n) - 1) / ((SELECT n FROM n) - 2), 9) AS betweenness FROM v LEFT JOIN i ON i.x = v.a GROUP BY 1"""
+register("nw05_betweenness", (), f"WITH RECURSIVE e AS ({_TRADE.strip()}), y AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), {_BETWEEN}")(
     lambda t: rnd(G.betweenness(_trade(t)), 9))

@@ -119,6 +119,19 @@ def test_betweenness_and_clustering(spark):
     assert sum(r.degree for r in G.degrees(df).collect()) == 2 * len(und)
 
 
+def test_betweenness_in_batches(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(18), rng.randrange(18)) for _ in range(34)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    want = _brute_betweenness(edges)
+    n = len(want)
+    ranked, batches = G.source_batches(spark.createDataFrame([(x,) for x in want], "node long"), n, 7 * n + 3)
+    assert batches == -(-n // 7) and max(r["count"] for r in ranked.groupBy("batch").count().collect()) * n <= 7 * n + 3
+    got = {r.node: r.betweenness for r in G.betweenness(df, max_state=7 * n + 3).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert G.betweenness(df.limit(0)).count() == 0
+
+
 def _brute_dbscan(pts, eps, m):
     n = len(pts)
     near = [[j for j in range(n) if sum((a - b) ** 2 for a, b in zip(pts[i], pts[j])) <= eps * eps] for i in range(n)]
