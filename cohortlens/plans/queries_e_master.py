@@ -256,31 +256,27 @@ register("rr06_critical", PFA, _V + "SELECT count(*) FILTER (WHERE severity = 'C
 SRW = ("study_rows",)
 
 
+_CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def _csv_folder(t):
-    """Study rows as category folders with one CSV per table."""
+    """Study rows with their whole texts as category folders with one CSV per table, each in the order of its ids."""
     base = scratch_path(t.spark, "categories")
-    rows = t["study_rows"].drop("text")
+    rows = t["study_rows"].withColumnRenamed("row_ordinal", "study_id")
     for r in rows.select("source_category", "source_table").distinct().collect():  # one row per table
         part = rows.where((col("source_category") == r[0]) & (col("source_table") == r[1])).drop("source_category", "source_table")
-        part.write.option("header", "true").csv(f"{base}/{r[0]}/{r[1]}.csv")
+        part.orderBy("study_id").write.options(**_CSV).csv(f"{base}/{r[0]}/{r[1]}.csv")
     return base
 
 
 _HAVE = "SELECT source_category AS c, count(DISTINCT source_table) AS n FROM study_rows GROUP BY 1"
-register("io01_category_tables", SRW, """
-SELECT source_category, source_table, count(*) AS n, count(sample_size) AS samples, sum(row_ordinal)::BIGINT AS ids FROM study_rows GROUP BY ALL""")(
-    lambda t: IO.read_category_tables(t.spark, _csv_folder(_renamed(t))).groupBy("source_category", "source_table").agg(
-        F.count(lit(1)).alias("n"), F.count("sample_size").alias("samples"), F.sum(col("study_id").cast("bigint")).alias("ids")))
-
-
-class _renamed:
-    """Study rows whose id column does not clash with the provenance column."""
-
-    def __init__(self, t):
-        self.spark, self.rows = t.spark, t["study_rows"].withColumnRenamed("row_ordinal", "study_id")
-
-    def __getitem__(self, name):
-        return self.rows
+# The CSV reader gives line breaks inside a cell as \n; empty cells are NULL.
+_CELL = "nullif(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '')"
+register("io01_category_tables", SRW, f"""
+SELECT source_category, source_table, row_number() OVER (PARTITION BY source_category, source_table ORDER BY study_id) - 1 AS row_ordinal, CAST(study_id AS VARCHAR) AS study_id, sample_size,
+       length({_CELL})::INT AS text_length, sha256({_CELL}) AS text_sha256 FROM (SELECT *, row_ordinal AS study_id FROM study_rows)""")(
+    lambda t: IO.read_category_tables(t.spark, _csv_folder(t)).select(
+        "source_category", "source_table", "row_ordinal", "study_id", "sample_size", F.length("text").alias("text_length"), F.sha2("text", 256).alias("text_sha256")))
 
 
 register("io07_inventory", SRW, f"""
@@ -312,6 +308,17 @@ SELECT source_category, source_table, row_ordinal, 'abstract' AS text_type, text
     lambda t: IO.extract_texts(t["study_rows"].select("source_category", "source_table", "row_ordinal", "journal", col("text").alias("abstract"))))
 register("io05_dates", SRW, "SELECT study_date AS date, source_category, count(*) AS study_count FROM study_rows GROUP BY ALL")(lambda t: IO.extract_dates(t["study_rows"]))
 register("io06_sample_rows", ("authors",), "SELECT row_no, full_name FROM authors ORDER BY md5(row_no || ':42'), row_no LIMIT 100")(lambda t: IO.sample_rows(t["authors"], "row_no", 100).select("row_no", "full_name"))
+def _author_csv(t):
+    path = scratch_path(t.spark, "authors")
+    t["authors"].orderBy("row_no").select(
+        col("author_id").alias("Author_ID"), F.regexp_replace("full_name", "^ | $", "").alias("name"), "authors", "license_state").write.options(**_CSV).csv(path)
+    return path
+
+
+_AUT = """a AS (SELECT row_number() OVER (ORDER BY row_no) - 1 AS row_no, author_id, nullif(regexp_replace(full_name, '^ | $', '', 'g'), '') AS full_name, authors FROM authors)"""
+register("io06b_author_csv", ("authors",), f"WITH {_AUT} SELECT * FROM a")(lambda t: IO.read_authors(t.spark, _author_csv(t)))
+register("io06c_author_csv_sample", ("authors",), f"WITH {_AUT} SELECT * FROM a ORDER BY md5(row_no || ':42'), row_no LIMIT 100")(
+    lambda t: IO.read_authors(t.spark, _author_csv(t), 100))
 register("io09_load_summary", PFA, """
 SELECT 'providers' AS item, count(*) AS n FROM providers UNION ALL SELECT 'facilities', count(*) FROM facilities UNION ALL SELECT 'affiliations', count(*) FROM affiliations
 UNION ALL SELECT 'distinct_specialties', count(DISTINCT specialty_primary) FROM providers UNION ALL SELECT 'distinct_states', count(DISTINCT license_state) FROM providers""")(

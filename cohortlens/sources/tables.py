@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -22,13 +22,16 @@ PROVENANCE = ("source_category", "source_table", "row_ordinal")
 CSV_PATH = r"^.*?/([^/]+)/([^/]+)\.csv(?:/part-[^/]+)?$"
 
 
+def _path_part(i: int, path: str = "path") -> Column:
+    return F.url_decode(F.regexp_extract(path, CSV_PATH, i))
+
+
 def list_files(spark: SparkSession, base: str) -> DataFrame:
     """``category, table, path`` of the CSV files below ``base``; only file names are read."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(base)
         .select("path"))
-    part = lambda i: F.url_decode(F.regexp_extract("path", CSV_PATH, i))
-    return files.select(part(1).alias("category"), part(2).alias("table"), "path")
+    return files.select(_path_part(1).alias("category"), _path_part(2).alias("table"), "path")
 
 
 def input_inventory(spark: SparkSession, base: str, expected: Sequence[str] = tuple(CATEGORIES), needed: int = 4) -> DataFrame:
@@ -41,40 +44,68 @@ def input_inventory(spark: SparkSession, base: str, expected: Sequence[str] = tu
     return rows.join(F.broadcast(usable))
 
 
+_PLACE = ("file_place_path", "file_place_start", "file_place_id")  # names that no data column should have
+
+
+def with_place(raw: DataFrame) -> DataFrame:
+    """A file scan with where each row stands: file, start of its block, and an id that rises within the block."""
+    return raw.select("*", col("_metadata.file_path").alias("file_place_path"), col("_metadata.file_block_start").alias("file_place_start"),
+                      F.monotonically_increasing_id().alias("file_place_id"))
+
+
+def with_ordinal(placed: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """0-based row number per ``keys`` in the order of (file, place in file), the same for any split size.
+
+    A block is read by one task in order, so the place in a block is the distance to the block's first id. Only blocks
+    (one row each, a row per file or per ``maxPartitionBytes``) are numbered by a window; rows add their block's start.
+    """
+    block = [*keys, "file_place_path", "file_place_start"]
+    stats = placed.groupBy(*block).agg(F.min("file_place_id").alias("_first"), F.count(lit(1)).alias("_n"))
+    w = Window.partitionBy(*(keys or [lit(0)])).orderBy("file_place_path", "file_place_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stats.select(*block, (F.coalesce(F.sum("_n").over(w), lit(0)) - col("_first")).alias("file_place_shift"))
+    return placed.join(starts, block).withColumn(out, col("file_place_id") + col("file_place_shift")).drop(*_PLACE, "file_place_shift")
+
+
+def _heads(spark: SparkSession, base: str) -> DataFrame:
+    """``path, head``: the first line of every CSV file. Only blocks at offset 0 keep a row, one per file after the combine."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(base)
+    # Spark writes ``table.csv`` as a folder whose parts end in ``.csv`` as well.
+    first = lines.select(col("_metadata.file_path").alias("path"), col("_metadata.file_block_start").alias("at"),
+                         F.monotonically_increasing_id().alias("i"), "value").where((col("at") == 0) & (F.trim("value") != ""))
+    return first.groupBy("path").agg(F.min_by("value", "i").alias("head"))
+
+
 def read_category_tables(spark: SparkSession, base: str, multi_line: bool = True) -> DataFrame:
     """Every CSV under the category folders as one long table with provenance columns.
 
-    Headers differ by file, so each file is its own scan and the scans are united by column name. A file that cannot
-    be read is skipped. ``multi_line`` keeps line breaks inside quoted cells; switch it off to let big files split.
+    Files with the same header line are one scan, and the scans are united by column name; the driver gets one row for each
+    header, with its file names. A file without a header or one that cannot be read is skipped. ``row_ordinal`` counts the
+    rows of a table from 0 in file order. ``multi_line`` keeps line breaks inside quoted cells; switch it off to let big
+    files split.
     """
-    wanted = list_files(spark, base).where(col("category").isin(*CATEGORIES)).groupBy("category", "table").agg(
-        F.sort_array(F.collect_list("path")).alias("paths")).orderBy("category", "table")
-    parts: list[DataFrame] = []
-    for category, table, paths in wanted.collect():  # one row per table, holding file names only
+    found = _heads(spark, base).where(_path_part(1).isin(*CATEGORIES))
+    scans = found.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head").collect()
+    out: DataFrame | None = None
+    for _, paths in scans:
         try:
             raw = spark.read.csv(paths, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE")
         except AnalysisException:
             continue
         if not raw.columns:
             continue
-        names = [c.strip() for c in raw.columns]
-        parts.append(raw.toDF(*names).withColumns({
-            "source_category": lit(category), "source_table": lit(table), "row_ordinal": F.monotonically_increasing_id()}))
-    if not parts:
+        # Cells are addressed by position, so a header may hold any name.
+        part = with_place(raw).toDF(*[c.strip() for c in raw.columns], *_PLACE).withColumns({
+            "source_category": _path_part(1, "file_place_path"), "source_table": _path_part(2, "file_place_path")})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
         return spark.createDataFrame([], "source_category string, source_table string, row_ordinal bigint")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    data = [c for c in out.columns if c not in (*PROVENANCE, *_PLACE)]
+    return with_ordinal(out, ["source_category", "source_table"], "row_ordinal").select(*[col(f"`{c.replace('`', '``')}`") for c in data], *PROVENANCE)
 
 
 def table_columns(spark: SparkSession, base: str) -> DataFrame:
-    """``source_category, source_table, column_name`` of every file: the header is the line at offset 0."""
-    heads = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(base).select(
-        col("_metadata.file_path").alias("path"), col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value")
-    first = heads.groupBy("path").agg(F.min_by("value", F.struct("at", "i")).alias("head"))
-    part = lambda i: F.url_decode(F.regexp_extract("path", CSV_PATH, i))
-    return first.select(part(1).alias("source_category"), part(2).alias("source_table"), F.explode(F.transform(
+    """``source_category, source_table, column_name`` of every file."""
+    return _heads(spark, base).select(_path_part(1).alias("source_category"), _path_part(2).alias("source_table"), F.explode(F.transform(
         F.split("head", ","), lambda x: F.trim(F.translate(x, '"', "")))).alias("column_name")).distinct()
 
 
@@ -125,13 +156,14 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws(":", col(key).cast("string"), lit(str(seed)))), key).limit(n)
 
 
-def read_authors(spark: SparkSession, path: str, n: int | None = None, seed: int = 42) -> DataFrame:
-    """Author CSV as ``row_no, author_id, full_name, authors``; absent columns become NULL."""
-    raw = spark.read.csv(path, header=True, escape='"')
+def read_authors(spark: SparkSession, path: str, n: int | None = None, seed: int = 42, multi_line: bool = False) -> DataFrame:
+    """Author CSV as ``row_no, author_id, full_name, authors``; absent columns become NULL. ``row_no`` counts from 0 in file order."""
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=multi_line)
     low = {c.strip().lower(): c for c in raw.columns}
-    pick = lambda *names: next((col(low[x]) for x in names if x in low), lit(None).cast("string"))
-    df = raw.select(F.monotonically_increasing_id().alias("row_no"), pick("author_id", "id").alias("author_id"),
-                    pick("full_name", "name").alias("full_name"), pick("authors", "author").alias("authors"))
+    pick = lambda *names: next((col(f"`{low[x]}`") for x in names if x in low), lit(None).cast("string"))
+    named = with_place(raw).select(pick("author_id", "id").alias("author_id"), pick("full_name", "name").alias("full_name"),
+                                   pick("authors", "author").alias("authors"), *_PLACE)
+    df = with_ordinal(named, [], "row_no").select("row_no", "author_id", "full_name", "authors")
     return df if n is None else sample_rows(df, "row_no", n, seed)
 
 

@@ -32,6 +32,35 @@ def test_category_tables(spark, tmp_path):
     assert ("heart_disease", "Date") in cols and ("pcr", "Journal") in cols
 
 
+def test_ordinals_do_not_depend_on_splits(spark, tmp_path):
+    rows = [f"{i},word{i}" for i in range(3000)]
+    for i, cut in enumerate((rows[:1000], rows[1000:1400], rows[1400:])):
+        d = tmp_path / "8_risk_factors" / "age.csv"
+        d.mkdir(parents=True, exist_ok=True)
+        (d / f"part-{i:05d}.csv").write_text("n,w\n" + "\n".join(cut) + "\n")
+    _write(tmp_path, "6_diagnostics", "pcr", "n,w\n7,x\n8,y\n")
+    _write(tmp_path, "6_diagnostics", "other", "w,z\na,b\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for size in ("134217728", "9000", "2500"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = IO.read_category_tables(spark, str(tmp_path), multi_line=False)
+            seen.append(sorted((r.source_table, r.row_ordinal, r.n or "", r.w) for r in got.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] == seen[2]
+    assert [(o, n) for t, o, n, _ in seen[0] if t == "age"] == [(i, str(i)) for i in range(3000)]
+    assert [(t, o, n) for t, o, n, _ in seen[0] if t != "age"] == [("other", 0, ""), ("pcr", 0, "7"), ("pcr", 1, "8")]
+
+
+def test_headers_with_any_name(spark, tmp_path):
+    _write(tmp_path, "8_risk_factors", "a", "Rate (95% C.I.),_path,x`y\n1.5,p,q\n")
+    _write(tmp_path, "8_risk_factors", "b", "Rate (95% C.I.)\n2\n")
+    got = IO.read_category_tables(spark, str(tmp_path)).toDF("rate", "path", "tick", "c", "t", "o").orderBy("t").collect()
+    assert [(r.rate, r.path, r.tick, r.t, r.o) for r in got] == [("1.5", "p", "q", "a", 0), ("2", None, None, "b", 0)]
+
+
 def test_standardize_drops_empty_rows_and_bad_dates(spark):
     df = spark.createDataFrame([("2020-01-02", "a"), ("nonsense", "b"), (None, None)], "`Study Date ` string, ` Some Name` string")
     out = IO.standardize(df).orderBy("some_name").collect()
