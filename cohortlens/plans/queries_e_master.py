@@ -11,6 +11,7 @@ from cohortlens.functions.extract import fingerprint
 from cohortlens.operators import joins as J
 from cohortlens.operators import master as M
 from cohortlens.plans import runner as RN
+from cohortlens.plans import saved as SV
 from cohortlens.plans.registry import SQL, register
 from cohortlens.sources import reports as RP
 from cohortlens.sources import tables as IO
@@ -250,6 +251,16 @@ FROM s WHERE expires_at > TIMESTAMP '2024-01-30 12:00:00' AND row_count <= 50000
 register("rr05b_hit_rate", ("call_log",), """
 SELECT count(*) AS lookups, count(*) FILTER (WHERE cache_hit) AS hits, count(*) FILTER (WHERE NOT cache_hit) AS misses, round(avg(cache_hit::INT) * 100, 6) AS hit_rate FROM call_log""")(
     lambda t: RN.hit_statistics(t["call_log"]).withColumn("hit_rate", F.round("hit_rate", 6)))
+def _reused(t):
+    """Second of two runs over the same files: what the first one saved is read back."""
+    store = scratch_path(t.spark, "saved")
+    inputs = {n: f"{t.folder}/{n}.parquet" for n in ("customer", "supplier", "orders", "lineitem")}
+    at = dt.datetime(2025, 1, 1, 12)
+    SV.run_rules_saved(t.pick(*PFA), inputs, store, ASOF, at)
+    return SV.run_rules_saved(t.pick(*PFA), inputs, store, ASOF, at + dt.timedelta(minutes=4)).drop("details")
+
+
+register("rr05c_saved_rules", PFA, _V + "SELECT *, count(*) OVER (PARTITION BY rule_name) <= 50000 AS from_saved FROM v")(_reused)
 register("rr06_critical", PFA, _V + "SELECT count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) AS total FROM v")(lambda t: RN.critical_count(_viol(t)))
 
 # --- sources and sinks
@@ -347,19 +358,37 @@ SELECT 'providers' AS item, 2 * count(*) AS n FROM providers UNION ALL SELECT 'f
 UNION ALL SELECT 'distinct_specialties', count(DISTINCT specialty_primary) FROM providers UNION ALL SELECT 'distinct_states', count(DISTINCT license_state) FROM providers""")(_append)
 
 
-def _exported(t, fmt):
-    path = scratch_path(t.spark, fmt)
-    if fmt == "csv":
-        settings = RN.settings_table(t.spark).withColumn("execution_time", lit(0.0))
-        RP.export_violations(RP.export_rows(_viol(t), settings, dt.datetime(2025, 1, 1)), path, fmt)
-        return t.spark.read.csv(path, header=True).groupBy("validation_rule", "severity", "rule_severity").agg(F.count(lit(1)).alias("n"))
-    RP.export_violations(_viol(t), path, fmt)
-    return t.spark.read.json(path).groupBy("rule_name", "kind").agg(F.count(lit(1)).alias("n"))
+_AT = dt.datetime(2025, 1, 1)
+
+
+def _timed(t):
+    found, runs = RN.run_rules_timed(t.pick(*PFA), scratch_path(t.spark, "runs"), ASOF)
+    return found, runs, RN.settings_table(t.spark)
+
+
+def _exported_csv(t):
+    path = scratch_path(t.spark, "csv")
+    found, runs, settings = _timed(t)
+    RP.export_violations(RP.export_rows(found, runs.select("rule_name", "execution_time").join(settings, "rule_name", "left"), _AT), path)
+    return t.spark.read.csv(path, header=True, escape='"').select(
+        "validation_rule", "entity_id", "provider_id", "facility_id", "issue_description", "severity", "rule_severity",
+        (col("execution_time").cast("double") > 0).alias("timed"), col("check_timestamp").cast("timestamp").alias("check_timestamp"))
+
+
+def _exported_json(t):
+    path = scratch_path(t.spark, "json")
+    found, runs, settings = _timed(t)
+    RP.export_violations(RP.export_documents(found, runs, settings, _AT), path, "json")
+    docs = t.spark.read.json(path)
+    return docs.select("rule_name", col("severity").alias("rule_severity"), "enabled", "success", "violation_count", (col("execution_time") > 0).alias("timed"),
+                       F.explode("violations").alias("v")).select("rule_name", "rule_severity", "enabled", "success", "violation_count", "timed",
+                                                                  "v.entity_id", "v.provider_id", "v.facility_id", "v.issue_description", "v.severity")
 
 
-register("io13_export_csv", PFA, _V + f", {_SET} SELECT rule_name AS validation_rule, severity, rule_severity, count(*) AS n FROM v LEFT JOIN s USING (rule_name) GROUP BY ALL")(lambda t: _exported(t, "csv"))
-register("io14_export_json", PFA, _V + "SELECT rule_name, 'violation' AS kind, count(*) AS n FROM v GROUP BY 1 UNION ALL SELECT DISTINCT rule_name, 'rule', 1 FROM v")(
-    lambda t: _exported(t, "json"))
+register("io13_export_csv", PFA, _V + f""", {_SET} SELECT rule_name AS validation_rule, nullif(entity_id, '') AS entity_id, nullif(provider_id, '') AS provider_id, nullif(facility_id, '') AS facility_id,
+  nullif(issue_description, '') AS issue_description, severity, rule_severity, TRUE AS timed, TIMESTAMP '2025-01-01 00:00:00' AS check_timestamp FROM v LEFT JOIN s USING (rule_name)""")(_exported_csv)
+register("io14_export_json", PFA, _V + f""", {_SET} SELECT rule_name, coalesce(rule_severity, 'MEDIUM') AS rule_severity, TRUE AS enabled, TRUE AS success, count(*) OVER (PARTITION BY rule_name) AS violation_count, TRUE AS timed,
+  entity_id, provider_id, facility_id, issue_description, severity FROM v LEFT JOIN s USING (rule_name)""")(_exported_json)
 register("io13b_export_rows", PFA, _V + f""", {_SET}
 SELECT rule_name AS validation_rule, entity_id, severity, rule_severity, TIMESTAMP '2025-01-01 00:00:00' AS check_timestamp FROM v LEFT JOIN s USING (rule_name)""")(
     lambda t: RP.export_rows(_viol(t), RN.settings_table(t.spark).withColumn("execution_time", lit(0.0)), dt.datetime(2025, 1, 1)).select(
