@@ -7,9 +7,9 @@ value are aggregated before anything is ranked, so a popular category never form
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import extract as X
@@ -417,11 +417,31 @@ def meta_scalars(rows: DataFrame) -> DataFrame:
     return t.join(F.broadcast(r)).join(F.broadcast(d))
 
 
-def recommendations(rows: DataFrame, extra: Mapping[str, float] | None = None) -> DataFrame:
-    """Rules over the meta-analysis scalars. ``extra`` adds model figures: ``severe_accuracy``, ``gaps``, ``clusters``."""
-    s = meta_scalars(rows)
-    for k in ("severe_accuracy", "gaps", "clusters"):
-        s = s.withColumn(k, lit(None if not extra or k not in extra else float(extra[k])).cast("double"))
+FIGURES = "severe_accuracy double, gaps long, gap_areas long, clusters int, silhouette double"
+
+
+def model_figures(spark: SparkSession, scores: DataFrame | None = None, gaps: DataFrame | None = None, source: str = "source_table",
+                  scan: DataFrame | None = None) -> DataFrame:
+    """One row of what models, gap search and clustering found, for :func:`recommendations`; NULL for what was not run.
+
+    ``scores`` are those of the severe-outcome models (the best one counts), ``gaps`` the rows of ``text.research_gaps`` with
+    the column ``source`` (ten sources at most are reported as areas), ``scan`` the table of ``learning.kmeans_scan``.
+    """
+    none = lambda schema: spark.createDataFrame([], schema)
+    s = (none("is_best boolean, score double") if scores is None else scores).agg(F.max(F.when(col("is_best"), col("score"))).alias("severe_accuracy"))
+    g = none(f"`{source}` string") if gaps is None else gaps
+    # Sources are reduced to one row each before they are counted.
+    per = g.groupBy(source).agg(F.count(lit(1)).alias("n")).agg(
+        F.sum("n").alias("gaps"), F.least(F.count(source), lit(10)).alias("gap_areas"))
+    k = (none("k int, chosen boolean, silhouette double") if scan is None else scan).agg(
+        F.max(F.when(col("chosen"), col("k"))).alias("clusters"), F.max(F.when(col("chosen"), col("silhouette"))).alias("silhouette"))
+    return s.join(F.broadcast(per)).join(F.broadcast(k))
+
+
+def recommendations(rows: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """Rules over the meta-analysis scalars and, where given, the one row of :func:`model_figures`."""
+    found = rows.sparkSession.createDataFrame([(None,) * 5], FIGURES) if figures is None else figures
+    s = meta_scalars(rows).join(F.broadcast(found))
     pct = lambda c: F.format_string("%.1f%%", col(c) * 100)
     # Condition, priority, category, and the texts of recommendation and evidence.
     rules = [
@@ -435,11 +455,11 @@ def recommendations(rows: DataFrame, extra: Mapping[str, float] | None = None) -
          lit("Use AI risk prediction models to stratify patients and personalize treatment intensity."),
          F.concat(lit("ML model achieved "), pct("severe_accuracy"), lit(" accuracy in predicting severe outcomes"))),
         (col("gaps").isNotNull(), "HIGH", "Research Gap Closure",
-         F.concat(lit("Address "), col("gaps").cast("bigint"), lit(" identified research gaps through targeted funding.")),
-         lit("NLP analysis identified specific knowledge gaps")),
+         F.concat(lit("Address "), col("gaps"), lit(" identified research gaps through targeted funding.")),
+         F.concat(lit("NLP analysis identified specific knowledge gaps across "), col("gap_areas"), lit(" research areas"))),
         (col("clusters").isNotNull(), "MEDIUM", "Patient Subgroup Research",
-         F.concat(lit("Focus research on "), col("clusters").cast("bigint"), lit(" distinct patient phenotypes identified through ML clustering.")),
-         lit("Clustering analysis of patient subgroups")),
+         F.concat(lit("Focus research on "), col("clusters"), lit(" distinct patient phenotypes identified through ML clustering.")),
+         F.concat(lit("Clustering analysis revealed "), col("clusters"), lit(" patient subgroups with silhouette score "), F.format_string("%.2f", "silhouette"))),
         (col("risk_studies") >= 3, "HIGH", "Risk Assessment Protocol",
          F.concat(lit("Implement standardized risk assessment using the "), pct("significance_rate"), lit(" significant risk factors identified.")),
          F.concat(lit("Meta-analysis of "), col("risk_studies"), lit(" studies on risk factors"))),
