@@ -131,17 +131,18 @@ def trailing(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], groups: Sequence[str] = (), buckets: int = 256,
-                    fit: int = BLOCK_ROWS) -> DataFrame:
+                    fit: int = BLOCK_ROWS, weight: str | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, one row per group with a column per name in ``probs``.
 
     Equal values are counted first. Then, by rounds: a sketch of bounded size cuts each value range into ``buckets``, their
     counts tell which hold a wanted rank, and only those are kept and cut again, until no range has more than ``fit``
     distinct values; these are put in order. Cut points steer the work, never the result. Nulls are left out; a group
-    of nulls only has no row, and no group at all gives one row of nulls.
+    of nulls only has no row, and no group at all gives one row of nulls. With ``weight`` a row stands for that many rows.
     """
     g = list(groups)
     key = F.struct(*[F.col(k) for k in g]) if g else F.struct(F.lit(0).alias("_"))
-    counts = df.where(F.col(value).isNotNull()).groupBy(key.alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(key.alias("_g"), F.col(value).cast("double").alias("_v")).agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight).cast("long")).alias("_c")).where(F.col("_c") > 0)
     counts = stored(counts, "quantile-counts")
 
     def small(table: DataFrame, rows: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import extract as X
 from cohortlens.functions.ranking import exact_quantiles
 from cohortlens.operators.aggregates import histogram, merged_top_counts, value_counts
+from cohortlens.session import stored
 
 col, lit = F.col, F.lit
 
@@ -327,36 +328,68 @@ def vulnerability_summary(rows: DataFrame) -> DataFrame:
         F.avg(F.when(col("category") == "Demographic", v)).alias("demographic_mean"), F.max(v).alias("highest"))
 
 
+def study_profile(rows: DataFrame) -> DataFrame:
+    """Counts of study rows at four grains from one scan, written once: what the one-row summaries need.
+
+    ``grain`` is ``table`` (per category and table: rows, filled cells ``has_<column>``, significant hits, case studies, sum and
+    number of sample sizes), ``type`` (per study type), ``day`` (per study date) or ``value`` (per number in a sample size);
+    ``c`` counts. Each row is expanded once per grain without its texts and combined before the shuffle, so what is
+    shuffled and written is distinct keys, not rows.
+    """
+    cells = list(dict.fromkeys((*REPORTING, *OUTCOMES, "severe_significant", "clinical_improvement")))
+    ints, t = X.all_integers(col("sample_size")), F.lower("study_type")
+    grain = lambda name, **keys: F.struct(lit(name).alias("grain"), *[keys.get(k, lit(None)).cast(kind).alias(k) for k, kind in (
+        ("source_category", "string"), ("source_table", "string"), ("type", "string"), ("day", "date"), ("n", "bigint"))])
+    grains = F.concat(
+        F.array(grain("table", source_category=col("source_category"), source_table=col("source_table"))),
+        F.filter(F.array(grain("type", type=col("study_type"))), lambda g: g["type"].isNotNull()),
+        F.filter(F.array(grain("day", day=col("study_date"))), lambda g: g["day"].isNotNull()),
+        F.transform(F.coalesce(ints, F.array().cast("array<bigint>")), lambda n: grain("value", n=n)))
+    # Flags as 0 or 1, so that texts are not copied for every grain.
+    flags = {f"has_{c}": col(c).isNotNull().cast("int") for c in cells}
+    flags["hits"] = F.coalesce(F.contains(F.lower("severe_significant"), lit("significant")), lit(False)).cast("int")
+    flags["case_study"] = F.coalesce(F.contains(t, lit("case report")) | F.contains(t, lit("case series")), lit(False)).cast("int")
+    flags["n_total"] = F.coalesce(F.aggregate(ints, lit(0).cast("bigint"), lambda x, y: x + y), lit(0))
+    flags["n_count"] = F.coalesce(F.size(ints), lit(0))
+    flat = rows.select(grains.alias("g"), *[c.alias(n) for n, c in flags.items()]).select(F.explode("g").alias("g"), *flags).select("g.*", *flags)
+    of_table = col("grain") == "table"
+    return stored(flat.groupBy("grain", "source_category", "source_table", "type", "day", "n").agg(
+        F.count(lit(1)).alias("c"), *[F.sum(F.when(of_table, col(f))).alias(f) for f in flags]), "study-profile")
+
+
+def _of(profile: DataFrame, grain: str) -> DataFrame:
+    return profile.where(col("grain") == grain)
+
+
 def research_quality(rows: DataFrame) -> DataFrame:
-    """One row with the four parts of the evidence score (each at most 5), their mean and band."""
-    r = _in(rows, RISK, THERAPEUTICS, DIAGNOSTICS, PATIENTS)
-    n = col("n")
-    ints = _integers(r).where((n >= 10) & (n <= 100000)).agg(
-        F.count(lit(1)).alias("sample_studies"), F.avg("n").alias("mean_sample_size"),
-        (F.avg((n < 100).cast("int")) * 100).alias("small_studies_pct"), (F.avg((n > 1000).cast("int")) * 100).alias("large_studies_pct"),
-        (F.avg((n > 400).cast("int")) * 100).alias("adequate_power_pct"))
-    med = exact_quantiles(_integers(r).where((n >= 10) & (n <= 100000)), "n", {"median_sample_size": 0.5})
-    t = F.lower("study_type")
+    """One row with the four parts of the evidence score (each at most 5), their mean and band. The rows are scanned once."""
+    p = study_profile(_in(rows, RISK, THERAPEUTICS, DIAGNOSTICS, PATIENTS))
+    n, c = col("n"), col("c")
+    share = lambda cond: F.sum(F.when(cond, c).otherwise(0)) / F.sum("c") * 100
+    sizes = _of(p, "value").where((n >= 10) & (n <= 100000))
+    ints = sizes.agg(
+        F.coalesce(F.sum("c"), lit(0)).alias("sample_studies"), (F.sum(n * c) / F.sum("c")).alias("mean_sample_size"),
+        share(n < 100).alias("small_studies_pct"), share(n > 1000).alias("large_studies_pct"), share(n > 400).alias("adequate_power_pct"))
+    med = exact_quantiles(sizes, "n", {"median_sample_size": 0.5}, weight="c")
+    t = F.lower("type")
     high = F.contains(t, lit("randomized")) | F.contains(t, lit("meta-analysis")) | F.contains(t, lit("systematic"))
-    types = r.where(col("study_type").isNotNull()).agg(
-        F.avg(X.ordered_score(col("study_type"), EVIDENCE)).alias("avg_quality_score"), (F.avg(high.cast("int")) * 100).alias("high_quality_pct"))
-    # Dates are counted per day first; the share of recent studies needs the newest day.
-    days = r.where(col("study_date").isNotNull()).groupBy("study_date").agg(F.count(lit(1)).alias("c"))
-    newest = days.agg(F.max("study_date").alias("hi"), F.min("study_date").alias("lo"))
+    types = _of(p, "type").agg(
+        (F.sum(X.ordered_score(col("type"), EVIDENCE) * c) / F.sum("c")).alias("avg_quality_score"), share(high).alias("high_quality_pct"))
+    # The share of recent studies needs the newest day.
+    days = _of(p, "day")
+    newest = days.agg(F.max("day").alias("hi"), F.min("day").alias("lo"))
     when = days.join(F.broadcast(newest)).agg(
         F.max(F.datediff("hi", "lo")).alias("time_span_days"),
         (F.sum("c") / F.greatest(lit(1), F.max(F.datediff("hi", "lo"))) * 30).alias("studies_per_month"),
-        (F.sum(F.when(F.datediff("hi", "study_date") <= 365, col("c")).otherwise(0)) / F.sum("c") * 100).alias("recent_studies_pct"))
+        share(F.datediff("hi", "day") <= 365).alias("recent_studies_pct"))
     # A table with a significance column gives those values; a table without one gives its improvement rows.
-    per_table = r.groupBy("source_category", "source_table").agg(
-        F.count("severe_significant").alias("sig"), F.count("clinical_improvement").alias("imp"),
-        F.count_if(F.contains(F.lower("severe_significant"), lit("significant"))).alias("hits"))
-    used = F.when(col("sig") > 0, col("sig")).otherwise(col("imp"))
-    rigor = per_table.agg(
+    sig = col("has_severe_significant")
+    used = F.when(sig > 0, sig).otherwise(col("has_clinical_improvement"))
+    rigor = _of(p, "table").agg(
         F.sum(used).alias("studies_with_stats"), (F.sum("hits") / F.sum(used) * 100).alias("significant_findings_pct"),
         (F.sum(used) / F.count(lit(1)) * 100).alias("statistical_testing_rate"))
     out = ints.join(F.broadcast(med)).join(F.broadcast(types)).join(F.broadcast(when)).join(F.broadcast(rigor))
-    five = lambda c: F.least(lit(5.0), col(c) / 20)
+    five = lambda x: F.least(lit(5.0), col(x) / 20)
     score = (five("adequate_power_pct") + col("avg_quality_score") + five("recent_studies_pct") + five("statistical_testing_rate")) / 4
     return out.withColumn("overall_score", score).withColumn(
         "quality_level", F.when(score >= 4, "EXCELLENT").when(score >= 3, "GOOD").when(score >= 2, "MODERATE").otherwise("NEEDS IMPROVEMENT"))
@@ -493,6 +526,11 @@ def letter(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
 
 
+def _capped(score: Column) -> Column:
+    """A score kept within 0 and 100; NULL where there is nothing to score."""
+    return F.when(score.isNotNull(), F.greatest(lit(0.0), F.least(lit(100.0), score)))
+
+
 def power(n: Column) -> Column:
     """Estimated power of a study of ``n`` patients."""
     return F.when(n >= 64, 0.8).when(n >= 26, 0.5 + (n - 26) * (0.3 / 38)).otherwise(F.greatest(lit(0.2), n * 0.5 / 26))
@@ -506,7 +544,7 @@ def sample_adequacy(rows: DataFrame) -> DataFrame:
         F.count_if(n < 50).alias("small_studies"), F.count_if((n >= 100) & (n < 500)).alias("adequate_studies"),
         F.count_if(n >= 500).alias("large_studies"), F.avg(p).alias("mean_power"), F.count_if(p >= 0.8).alias("studies_with_power"),
         F.count_if(p < 0.5).alias("underpowered_studies"))
-    score = F.least(lit(100.0), (col("adequate_studies") + col("large_studies")) / col("total_studies") * 100)
+    score = _capped((col("adequate_studies") + col("large_studies")) / F.nullif(col("total_studies"), lit(0)) * 100)
     med = exact_quantiles(d, "n", {"median_sample_size": 0.5})
     return out.join(F.broadcast(med)).withColumn("quality_score", score).withColumn("quality_grade", letter(col("quality_score")))
 
@@ -564,10 +602,35 @@ def bias_by_table(rows: DataFrame) -> DataFrame:
 def bias_quality(rows: DataFrame) -> DataFrame:
     b = col("bias_score")
     out = bias_by_table(rows).agg(F.avg(b).alias("mean_bias_score"), F.count_if(b <= 1).alias("low_bias"), F.count_if(b >= 3).alias("high_bias"))
-    return out.withColumn("quality_score", F.greatest(lit(0.0), 100 - col("mean_bias_score") * 20)).withColumn(
+    return out.withColumn("quality_score", _capped(100 - col("mean_bias_score") * 20)).withColumn(
         "quality_grade", letter(col("quality_score")))
 
 
+def dimension_scores(profile: DataFrame) -> DataFrame:
+    """``dimension, quality_score`` from a :func:`study_profile`: the scores of :func:`sample_adequacy`, :func:`design_quality`,
+    :func:`reporting_quality` and :func:`bias_quality`."""
+    n, c = col("n"), col("c")
+    fills = [col(f"has_{x}") / c for x in REPORTING]
+    present, total = lit(0), lit(0.0)
+    for f in fills:
+        present, total = present + (f > 0).cast("int"), total + f
+    complete = F.when(present > 0, (present / len(REPORTING) + total / present) / 2).otherwise(0.0)
+    miss, seen = lit(0.0), lit(0)
+    for x in OUTCOMES:
+        has = col(f"has_{x}") > 0
+        miss, seen = miss + F.when(has, 1 - col(f"has_{x}") / c).otherwise(0.0), seen + has.cast("int")
+    bias = (F.when(col("n_total") / F.nullif(col("n_count"), lit(0)) < 50, 2).otherwise(0) + F.when(seen > 0, miss / seen * 3).otherwise(0.0)
+            + F.least(col("case_study"), lit(1)))
+    at = lambda grain, e: F.when(col("grain") == grain, e)
+    small = at("value", F.when(n < 100000, c))
+    s = profile.agg(
+        _capped(F.sum(F.when(n >= 100, small).otherwise(at("value", lit(0)))) / F.sum(small) * 100).alias("sample_size"),
+        (F.sum(at("type", X.ordered_score(col("type"), DESIGNS, default=1) * c)) / F.sum(at("type", c)) / 5 * 100).alias("study_design"),
+        (F.avg(at("table", complete)) * 100).alias("reporting"),
+        _capped(100 - F.avg(at("table", bias)) * 20).alias("bias_risk"))
+    return s.select([col(x).cast("double").alias(x) for x in s.columns]).unpivot([], s.columns, "dimension", "quality_score")
+
+
 def overall_study_quality(rows: DataFrame) -> DataFrame:
     """One row per dimension with its score, the weighted overall score, grade, and advice where the score is under 70."""
     # Advice per dimension.
@@ -580,9 +643,7 @@ def overall_study_quality(rows: DataFrame) -> DataFrame:
     # Reading of the overall score.
     reading = ((90, "Excellent quality with minimal limitations"), (80, "Good quality with minor limitations"),
                (70, "Acceptable quality with some limitations"), (60, "Fair quality with notable limitations"))
-    parts = {"sample_size": sample_adequacy(rows), "study_design": design_quality(rows), "reporting": reporting_quality(rows),
-             "bias_risk": bias_quality(rows)}
-    long = _stack([df.select(lit(n).alias("dimension"), "quality_score") for n, df in parts.items()])
+    long = dimension_scores(study_profile(rows))
     overall = long.agg((F.sum(col("quality_score") * F.element_at(X.const_map(dict(DIMENSION_WEIGHTS)), col("dimension")))
                         / F.sum(F.element_at(X.const_map(dict(DIMENSION_WEIGHTS)), col("dimension")))).alias("overall_score"))
     text = None
