@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.predicates import (
@@ -232,40 +232,43 @@ def temporal_consistency(tables: Tables, variant: str = "standard", asof: dt.dat
     return presented(out, [severity_rank(col("severity")), "provider_id"], limit, ordered)
 
 
-def orphan_rows(tables: Tables) -> dict[str, DataFrame]:
-    """The four orphan kinds. Fact keys on the right of an anti join are de-duplicated before the shuffle."""
-    a, p, f = tables["affiliations"], tables["providers"], tables["facilities"]
+def repeated(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
+    """Every row ``times`` times, in two steps so that no row makes a long array."""
+    blocks = df.withColumn("_b", F.explode(F.sequence(lit(0).cast("bigint"), F.floor((col(times) - 1) / chunk))))
+    return blocks.withColumn("_i", F.explode(F.sequence(lit(1).cast("bigint"), F.least(lit(chunk).cast("bigint"), col(times) - col("_b") * chunk)))).drop("_b", "_i", times)
+
 
-    def rows(df: DataFrame, kind: str, key: str, label: str, name: str | None = None) -> DataFrame:
-        shown = F.coalesce(col(name), col(key)) if name else col(key)
-        return df.select(lit(kind).alias("entity_type"), col(key).alias("entity_id"),
-                         F.concat(lit(label), shown).alias("entity_name"))
-
-    return {
-        "affiliation_missing_provider": rows(
-            a.select("provider_id").join(p.select("provider_id"), "provider_id", "left_anti"),
-            "affiliation_missing_provider", "provider_id", "Provider ID: "),
-        "affiliation_missing_facility": rows(
-            a.select("facility_id").join(f.select("facility_id"), "facility_id", "left_anti"),
-            "affiliation_missing_facility", "facility_id", "Facility ID: "),
-        "provider_no_affiliations": rows(
-            p.where(_is_active()).join(a.select("provider_id").distinct(), "provider_id", "left_anti"),
-            "provider_no_affiliations", "provider_id", "Provider: ", "full_name"),
-        "facility_no_providers": rows(
-            f.join(a.select("facility_id").distinct(), "facility_id", "left_anti"),
-            "facility_no_providers", "facility_id", "Facility: ", "facility_name"),
-    }
+def orphan_rows(tables: Tables) -> DataFrame:
+    """``entity_type, entity_id, entity_name`` of the four orphan kinds, from one scan of each table and one join.
+
+    Both keys of the affiliations are counted together, so a key shared by very many rows is combined before the
+    shuffle. Keys meet the entities in one full join by (side, id); a NULL key matches nothing on either side.
+    """
+    a, p, f = tables["affiliations"], tables["providers"], tables["facilities"]
+    key = lambda side: F.struct(lit(side).alias("side"), col(f"{side}_id").cast("string").alias("entity_id"))
+    used = a.select(F.explode(F.array(key("provider"), key("facility"))).alias("k")).groupBy("k.side", "k.entity_id").agg(F.count(lit(1)).alias("uses"))
+    entity = lambda df, side, name: df.select(
+        lit(side).alias("side"), col(f"{side}_id").cast("string").alias("entity_id"), col(name).alias("name"),
+        (_is_active() if side == "provider" else lit(True)).alias("checked"))
+    known = entity(p, "provider", "full_name").unionByName(entity(f, "facility", "facility_name"))
+    met = known.join(used, ["side", "entity_id"], "full_outer").where(col("checked").isNull() | (col("uses").isNull() & col("checked")))
+    provider, missing = col("side") == "provider", col("checked").isNull()
+    out = met.select(
+        F.when(missing, F.concat(lit("affiliation_missing_"), col("side"))).when(provider, "provider_no_affiliations").otherwise(
+            "facility_no_providers").alias("entity_type"), "entity_id",
+        F.when(missing, F.concat(F.when(provider, "Provider ID: ").otherwise("Facility ID: "), col("entity_id"))).otherwise(
+            F.concat(F.when(provider, "Provider: ").otherwise("Facility: "), F.coalesce("name", "entity_id"))).alias("entity_name"),
+        F.coalesce("uses", lit(1)).alias("uses"))
+    return repeated(out, "uses")
 
 
 def cross_reference_integrity(tables: Tables, variant: str = "standard", asof: dt.date | None = None,
                               per_kind: int | None = 1000, limit: int | None = 2000, ordered: bool = True) -> DataFrame:
-    kinds = orphan_rows(tables)
+    stacked = orphan_rows(tables)
     if variant != "standard" and per_kind is not None and limit is not None:
-        # The source query limits each kind without an order; the id makes the choice stable.
-        kinds = {k: df.orderBy("entity_id").limit(per_kind) for k, df in kinds.items()}
-    stacked = None
-    for df in kinds.values():
-        stacked = df if stacked is None else stacked.unionByName(df)
+        # The source query limits each kind without an order; the id makes the choice stable. Tasks keep ``per_kind`` rows before the shuffle.
+        w = Window.partitionBy("entity_type").orderBy("entity_id")
+        stacked = stacked.withColumn("_r", F.row_number().over(w)).where(col("_r") <= per_kind).drop("_r")
     unknown = (lambda c: F.coalesce(c, lit("unknown"))) if variant == "standard" else (lambda c: c)
     out = stacked.select(
         lit("cross_reference_integrity").alias("rule_name"),

@@ -272,7 +272,7 @@ register("sr03_rule_limit", P, "SELECT provider_id FROM providers ORDER BY sourc
 register("sr04_ordered_inner_limit", ("providers", "facilities", "affiliations"), """
 SELECT 'provider_no_affiliations' AS entity_type, provider_id AS entity_id FROM providers WHERE record_status = 'ACTIVE'
    AND provider_id NOT IN (SELECT provider_id FROM affiliations) ORDER BY 2 LIMIT 50""")(
-    lambda t: R.orphan_rows(_ST(t))["provider_no_affiliations"].orderBy("entity_id").limit(50).select("entity_type", "entity_id"))
+    lambda t: R.orphan_rows(_ST(t)).where(col("entity_type") == "provider_no_affiliations").orderBy("entity_id").limit(50).select("entity_type", "entity_id"))
 register("sr05_top_k", (), """
 (SELECT 'largest' AS side, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15) UNION ALL
 (SELECT 'smallest', o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 15)""")(
@@ -287,15 +287,12 @@ SELECT 'affiliation_missing_provider' AS kind, count(*) AS n FROM affiliations W
 UNION ALL SELECT 'affiliation_missing_facility', count(*) FROM affiliations WHERE facility_id NOT IN (SELECT facility_id FROM facilities)
 UNION ALL SELECT 'provider_no_affiliations', count(*) FROM providers WHERE record_status = 'ACTIVE' AND provider_id NOT IN (SELECT provider_id FROM affiliations)
 UNION ALL SELECT 'facility_no_providers', count(*) FROM facilities WHERE facility_id NOT IN (SELECT facility_id FROM affiliations)""")(
-    lambda t: _union_counts(R.orphan_rows(_ST(t))))
+    lambda t: _kind_counts(R.orphan_rows(_ST(t))))
 
 
-def _union_counts(kinds):
-    out = None
-    for k, df in kinds.items():
-        part = df.agg(F.count(lit(1)).alias("n")).select(lit(k).alias("kind"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _kind_counts(orphans):
+    kinds = ("affiliation_missing_provider", "affiliation_missing_facility", "provider_no_affiliations", "facility_no_providers")
+    return orphans.agg(*[F.count_if(col("entity_type") == k).alias(k) for k in kinds]).unpivot([], list(kinds), "kind", "n")
 
 
 register("st02_union_literal", P, "SELECT 'PROVIDERS' AS item, count(*) AS n FROM providers UNION ALL SELECT 'STATUS', 1")(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.rules import RULES
+from cohortlens.session import stored
 
 col, lit = F.col, F.lit
 Tables = Mapping[str, DataFrame]
@@ -119,7 +120,9 @@ def apply_settings(violations: DataFrame, settings: DataFrame) -> DataFrame:
 
 
 def rule_summary(violations: DataFrame) -> DataFrame:
-    """Per rule: totals, severity distribution, distinct ids, and the first five violations as samples."""
+    """Per rule: totals, severity distribution, distinct ids, and the first five violations as samples. The violations are
+    written once and read from there, so the rules behind them run once."""
+    violations = stored(violations.drop("details"), "violations")
     # Counted per id first: one hot rule then reduces on many keys.
     per_id = violations.groupBy("rule_name", "entity_id", "provider_id", "facility_id", "severity").agg(F.count(lit(1)).alias("n"))
     sev = lambda s: F.sum(F.when(col("severity") == s, col("n")).otherwise(0)).alias(s.lower())

@@ -168,3 +168,22 @@ def test_predicates_propagate_null(spark):
     df = spark.createDataFrame([(None, "a"), ("abc", None), ("ABC", "b")], "w string, p string")
     got = [r[0] for r in df.select(P.contains_ci(F.col("w"), F.col("p"))).collect()]
     assert got == [None, None, True]
+
+
+def test_orphans_of_repeated_missing_and_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    a = spark.createDataFrame([("p1", "f1"), ("p9", "f1"), ("p9", "f9"), (None, "f1"), ("p2", None)], "provider_id string, facility_id string")
+    a = a.unionByName(spark.range(25_000).select(F.lit("hot").alias("provider_id"), F.lit("f1").alias("facility_id")))
+    p = spark.createDataFrame([("p1", "A", "ACTIVE"), ("p2", "B", "ACTIVE"), ("p3", None, "ACTIVE"), ("p3", "C", "ACTIVE"), ("p4", "D", "INACTIVE"), (None, "N", "ACTIVE")],
+                              "provider_id string, full_name string, record_status string")
+    f = spark.createDataFrame([("f1", "X"), ("f2", "Y")], "facility_id string, facility_name string")
+    rows = rules.orphan_rows({"affiliations": a, "providers": p, "facilities": f})
+    got = {tuple(r)[:3]: r["count"] for r in rows.groupBy(*rows.columns).count().collect()}
+    assert got == {
+        ("affiliation_missing_provider", "p9", "Provider ID: p9"): 2, ("affiliation_missing_provider", None, None): 1,
+        ("affiliation_missing_provider", "hot", "Provider ID: hot"): 25_000, ("affiliation_missing_facility", "f9", "Facility ID: f9"): 1,
+        ("affiliation_missing_facility", None, None): 1, ("provider_no_affiliations", "p3", "Provider: p3"): 1, ("provider_no_affiliations", "p3", "Provider: C"): 1,
+        ("provider_no_affiliations", None, "Provider: N"): 1, ("facility_no_providers", "f2", "Facility: Y"): 1}
+    plan = rules.cross_reference_integrity({"affiliations": a, "providers": p, "facilities": f}, "optimized")
+    assert plan.count() == 1000 + 2 + 3 + 1
