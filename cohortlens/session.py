@@ -26,18 +26,27 @@ def local_session(app: str = "cohortlens", cores: str = "8", shuffle_partitions:
     return spark
 
 
+def own_folder(master: str, warehouse: str) -> str:
+    """Checkpoint folder of a session that names none."""
+    local_path = ":" not in warehouse or warehouse.startswith("file:")
+    if local_path and not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse.rstrip('/')}/_checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for ``DataFrame.checkpoint()`` and for tables that a job writes and reads again.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; a session that names none gets a fresh folder under
-    its warehouse folder, which all executors share as well. A folder set on the context before stays.
+    its warehouse folder. A folder set on the context before stays. On a cluster without that setting, a warehouse on the
+    driver's own disk is an error, because executors could not read what is written there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    sc.setCheckpointDir(named or own_folder(sc.master, spark.conf.get("spark.sql.warehouse.dir")))
     return sc.getCheckpointDir()
 
 

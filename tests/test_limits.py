@@ -94,3 +94,13 @@ def test_logrank_of_many_groups(spark):
     alone = survival.logrank(df.where("g in (3, 41)"), "t", "e", "g").first()
     assert abs(got["3_vs_41"].statistic - alone.statistic) < 1e-9 and 0 <= got["multivariate"].p_value <= 1
     assert survival.logrank(df.where("false"), "t", "e", "g").count() == 0
+
+
+def test_checkpoint_folder_on_a_cluster_must_be_shared():
+    from cohortlens.session import own_folder
+
+    assert own_folder("local[8]", "file:/tmp/w/") == "file:/tmp/w/_checkpoints"
+    assert own_folder("spark://host:7077", "hdfs://name/w") == "hdfs://name/w/_checkpoints"
+    for warehouse in ("file:/tmp/w", "/tmp/w", "file:///tmp/w"):
+        with pytest.raises(ValueError):
+            own_folder("spark://host:7077", warehouse)
