@@ -2,11 +2,14 @@
 
 1. language ID: documents in none of the learned languages (no letter, or hardly an n-gram of any) go;
 2. line dedup: later copies of repeated runs of lines are deleted, and documents of which nothing is left go;
-3. near-dedup: one document of each group stays; groups are linked by five-word shingles of Jaccard similarity 0.8 or more;
+3. SimHash near-dedup: one document of each group stays (smallest id, null last, then text hash); fingerprints of four-word
+   shingles link at four or fewer differing bits;
 4. benchmark decontamination: documents that hold a test item go;
 5. BPE: token ids of each document, and the text decoded from them.
 
-A row that repeats another's id and text shares its fate. Null texts have no letter and go in the first stage.
+A row that repeats another's id and text shares its fate. Null and empty texts have no letter and go in the first stage;
+texts are worked on whole, however long; an empty table stays empty. Columns beside those of documents, whatever their
+names, pass through all stages but the last; ``n_chars`` is kept true where the table has it.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, decontaminate, langid, line_dedup, near_dedup as near
+from cohortlens.llm import bpe, decontaminate, langid, line_dedup, simhash
 from cohortlens.llm.frames import WS, keyed, same_doc
 from cohortlens.session import stored
 
@@ -32,13 +35,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = line_dedup.delete_repeated(docs)
     left = done.where((F.col("n_deleted") == 0) | (F.btrim("text", F.lit(WS)) != ""))
     text = F.when(F.col("row.text").isNotNull(), F.col("text"))
-    row = F.when(F.col("n_deleted") == 0, F.col("row")).otherwise(
-        F.col("row").withField("text", text).withField("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType)))
+    cut = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        cut = cut.withField("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    row = F.when(F.col("n_deleted") == 0, F.col("row")).otherwise(cut)
     return left.select(row.alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    d, stay = keyed(docs), near.representatives(docs)
+    d, stay = keyed(docs), simhash.representatives(docs)
     return d.join(stay, same_doc(d, stay), "left_semi").select("row.*")
 
 
