@@ -46,6 +46,67 @@ def presented(rows: DataFrame, order: list, limit: int | None, ordered: bool) ->
     return rows.orderBy(*order) if ordered else rows
 
 
+RowRule = tuple[Column, dict[str, Column]]
+
+
+def hits(rows: DataFrame, rule: RowRule) -> DataFrame:
+    """Rows that a row rule reports, with the columns it gives them."""
+    when, out = rule
+    return rows.where(when).select(*[c.alias(n) for n, c in out.items()])
+
+
+def _row(name: str, columns: tuple[str, ...], issue: Column, severity: Column) -> dict[str, Column]:
+    return {"rule_name": lit(name), **{c: col(c) for c in columns}, "issue_description": issue, "severity": severity}
+
+
+def name_rule() -> RowRule:
+    """The standard form of ``provider_name_inconsistency`` for one provider."""
+    full, first, last = col("full_name"), col("first_name"), col("last_name")
+    blank, no_parts = is_blank(full), first.isNull() & last.isNull()
+    bad_first = first.isNotNull() & ~contains_ci(full, first)
+    bad_last = last.isNotNull() & ~contains_ci(full, last)
+    severity = first_match(
+        (blank, "CRITICAL"),
+        (no_parts, "HIGH"),
+        (~contains_ci(full, F.coalesce(first, lit(""))) | ~contains_ci(full, F.coalesce(last, lit(""))), "MEDIUM"),
+        default="LOW",
+    )
+    return (blank | no_parts | bad_first | bad_last | has_any_word(full, TEST_NAME_WORDS),
+            _row("provider_name_inconsistency", ("provider_id", "full_name", "first_name", "last_name"), lit("Name format inconsistency detected"), severity))
+
+
+def npi_rule() -> RowRule:
+    """The standard form of ``npi_validation`` for one provider with an NPI and its ``duplicate_count`` (NULL: one)."""
+    npi, dup = col("npi_number"), F.coalesce(col("duplicate_count"), lit(1))
+    bad_len, bad_fmt = F.length(npi) != 10, ~is_ten_digits(npi)
+    issue = first_match(
+        (bad_len, "Invalid NPI length (must be 10 digits)"),
+        (bad_fmt, "Invalid NPI format (must be numeric)"),
+        (dup > 1, "Duplicate NPI detected"),
+        default="Unknown NPI issue",
+    )
+    severity = first_match((bad_len | ~starts_with_digit(npi), "HIGH"), (dup > 1, "HIGH"), default="MEDIUM")
+    return bad_len | bad_fmt | (dup > 1), _row("npi_validation", ("provider_id", "npi_number", "full_name"), issue, severity)
+
+
+def contact_rule() -> RowRule:
+    """The standard form of ``contact_validation`` for one provider with an e-mail and its ``duplicate_count`` (NULL: one)."""
+    email, phone, dup = col("email"), col("phone_number"), F.coalesce(col("duplicate_count"), lit(1))
+    no_phone, bad_phone, bad_email = is_blank(phone), bad_phone_length(phone), ~email_shaped(email)
+    test_email = has_any_word(email, TEST_EMAIL_WORDS)
+    issue = first_match(
+        (bad_email, "Invalid email format"),
+        (test_email, "Test/dummy email detected"),
+        (no_phone, "Missing phone number"),
+        (bad_phone, "Invalid phone number format"),
+        (dup > 1, "Duplicate email address"),
+        default="Other contact validation issue",
+    )
+    severity = first_match((phone.isNull(), "HIGH"), (bad_email | bad_phone, "MEDIUM"), (dup > 1, "MEDIUM"), default="LOW")
+    return (no_phone | bad_email | bad_phone | test_email | (dup > 1),
+            _row("contact_validation", ("provider_id", "full_name", "email", "phone_number"), issue, severity))
+
+
 def provider_name_inconsistency(tables: Tables, variant: str = "standard", asof: dt.date | None = None,
                                 limit: int | None = 10000, ordered: bool = True) -> DataFrame:
     p = tables["providers"]
@@ -55,19 +116,7 @@ def provider_name_inconsistency(tables: Tables, variant: str = "standard", asof:
     words = has_any_word(full, TEST_NAME_WORDS)
     out = ("provider_id", "full_name", "first_name", "last_name")
     if variant == "standard":
-        bad_first = first.isNotNull() & ~contains_ci(full, first)
-        bad_last = last.isNotNull() & ~contains_ci(full, last)
-        severity = first_match(
-            (blank, "CRITICAL"),
-            (no_parts, "HIGH"),
-            (~contains_ci(full, F.coalesce(first, lit(""))) | ~contains_ci(full, F.coalesce(last, lit(""))), "MEDIUM"),
-            default="LOW",
-        )
-        return presented((
-            p.where(blank | no_parts | bad_first | bad_last | words)
-            .select(lit("provider_name_inconsistency").alias("rule_name"), *out,
-                    lit("Name format inconsistency detected").alias("issue_description"), severity.alias("severity"))
-        ), [col("severity").desc(), "provider_id"], None, ordered)
+        return presented(hits(p, name_rule()), [col("severity").desc(), "provider_id"], None, ordered)
     flags = p.where(_is_active()).select(
         *out,
         blank.alias("missing_full"),
@@ -109,20 +158,7 @@ def npi_validation(tables: Tables, variant: str = "standard", asof: dt.date | No
         # Rows without an NPI are removed first, so the "missing" outcome can never appear here.
         known = p.where(npi.isNotNull()).select(*out)
         counted = known.join(duplicate_counts(known, "npi_number"), "npi_number", "left")
-        return presented((
-            counted.where(bad_len | bad_fmt | (dup > 1))
-            .select(
-                lit("npi_validation").alias("rule_name"), *out,
-                first_match(
-                    (bad_len, "Invalid NPI length (must be 10 digits)"),
-                    (bad_fmt, "Invalid NPI format (must be numeric)"),
-                    (dup > 1, "Duplicate NPI detected"),
-                    default="Unknown NPI issue",
-                ).alias("issue_description"),
-                first_match((bad_len | ~starts_with_digit(npi), "HIGH"), (dup > 1, "HIGH"), default="MEDIUM")
-                .alias("severity"),
-            )
-        ), [col("severity").desc(), "provider_id"], None, ordered)
+        return presented(hits(counted, npi_rule()), [col("severity").desc(), "provider_id"], None, ordered)
     dups = duplicate_counts(p.where(npi.isNotNull() & (F.length(npi) == 10)), "npi_number")
     missing, wrong_len, wrong_fmt = npi.isNull(), npi.isNotNull() & bad_len, npi.isNotNull() & bad_fmt
     return presented((
@@ -186,9 +222,8 @@ def affiliation_anomaly(tables: Tables, variant: str = "standard", asof: dt.date
     ), [*order, total.desc(), "provider_id"], limit, ordered)
 
 
-def temporal_consistency(tables: Tables, variant: str = "standard", asof: dt.date = dt.date.today(),
-                         limit: int | None = 5000, ordered: bool = True) -> DataFrame:
-    p = tables["providers"]
+def temporal_rule(variant: str, asof: dt.date) -> RowRule:
+    """``temporal_consistency`` for one provider."""
     today = lit(asof)
     year, horizon = F.year(today), F.add_months(today, 120)
     birth, grad, practice = col("birth_year"), col("graduation_year"), col("years_in_practice")
@@ -199,16 +234,14 @@ def temporal_consistency(tables: Tables, variant: str = "standard", asof: dt.dat
         # The description measures practice against the graduation year; the filter falls back to birth + 25.
         too_long = practice > year - grad + 5
         too_long_filter = practice > year - F.coalesce(grad, birth + 25) + 5
-        long_text = "Years in practice exceeds possible time"
-        p = p.where(birth.isNotNull())
+        long_text, looked = "Years in practice exceeds possible time", birth.isNotNull()
     else:
         too_long = too_long_filter = practice > 60
-        long_text = "Excessive years in practice"
-        p = p.where(birth.isNotNull() & _is_active())
-    hits = p.where(bad_birth | early | late | (practice < 0) | too_long_filter | (expiry < today) | (expiry > horizon))
-    out = hits.select(
-        lit("temporal_consistency").alias("rule_name"), "provider_id", "full_name", "birth_year", "graduation_year",
-        "years_in_practice", "license_expiry_date",
+        long_text, looked = "Excessive years in practice", birth.isNotNull() & _is_active()
+    when = looked & (bad_birth | early | late | (practice < 0) | too_long_filter | (expiry < today) | (expiry > horizon))
+    columns = ("provider_id", "full_name", "birth_year", "graduation_year", "years_in_practice", "license_expiry_date")
+    return when, _row(
+        "temporal_consistency", columns,
         first_match(
             (bad_birth, "Unrealistic birth year"),
             (early, "Graduation before reasonable age"),
@@ -218,15 +251,20 @@ def temporal_consistency(tables: Tables, variant: str = "standard", asof: dt.dat
             (expiry < today, "Expired medical license"),
             (expiry > horizon, "License expiry too far in future"),
             default="Other temporal inconsistency",
-        ).alias("issue_description"),
+        ),
         first_match(
             ((birth < 1900) | (birth > year - 16), "CRITICAL"),
             (expiry < today, "CRITICAL"),
             (early | late, "HIGH"),
             ((practice < 0) | (practice > 60), "HIGH"),
             default="MEDIUM",
-        ).alias("severity"),
+        ),
     )
+
+
+def temporal_consistency(tables: Tables, variant: str = "standard", asof: dt.date = dt.date.today(),
+                         limit: int | None = 5000, ordered: bool = True) -> DataFrame:
+    out = hits(tables["providers"], temporal_rule(variant, asof))
     if variant == "standard":
         return presented(out, [col("severity").desc(), "provider_id"], None, ordered)
     return presented(out, [severity_rank(col("severity")), "provider_id"], limit, ordered)
@@ -238,27 +276,61 @@ def repeated(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
     return blocks.withColumn("_i", F.explode(F.sequence(lit(1).cast("bigint"), F.least(lit(chunk).cast("bigint"), col(times) - col("_b") * chunk)))).drop("_b", "_i", times)
 
 
-def orphan_rows(tables: Tables) -> DataFrame:
-    """``entity_type, entity_id, entity_name`` of the four orphan kinds, from one scan of each table and one join.
+def affiliation_rule() -> RowRule:
+    """The standard form of ``affiliation_anomaly`` for one provider with its statistics."""
+    total, primary, active = col("total_affiliations"), col("primary_affiliations"), col("active_affiliations")
+    issue = first_match(
+        (primary == 0, "Provider has no primary affiliation"),
+        (primary > 1, "Provider has multiple primary affiliations"),
+        (active == 0, "Provider has no active affiliations"),
+        (total > 10, "Unusually high number of affiliations"),
+        default="Other affiliation anomaly",
+    )
+    severity = first_match((primary == 0, "CRITICAL"), (primary > 1, "HIGH"), (active == 0, "MEDIUM"), (total > 10, "MEDIUM"), default="LOW")
+    columns = ("provider_id", "full_name", "total_affiliations", "primary_affiliations", "active_affiliations")
+    return (primary != 1) | (active == 0) | (total > 10), _row("affiliation_anomaly", columns, issue, severity)
+
+
+def linked_entities(tables: Tables, stats: bool = False) -> DataFrame:
+    """``side, entity_id, name, checked, uses``: providers and facilities in a full join with the keys of the affiliations,
+    from one scan of each table. ``checked`` is NULL for a key without an entity, ``uses`` for an entity without a key.
 
     Both keys of the affiliations are counted together, so a key shared by very many rows is combined before the
     shuffle. Keys meet the entities in one full join by (side, id); a NULL key matches nothing on either side.
+    ``stats`` adds the columns of ``affiliation_stats``.
     """
     a, p, f = tables["affiliations"], tables["providers"], tables["facilities"]
     key = lambda side: F.struct(lit(side).alias("side"), col(f"{side}_id").cast("string").alias("entity_id"))
-    used = a.select(F.explode(F.array(key("provider"), key("facility"))).alias("k")).groupBy("k.side", "k.entity_id").agg(F.count(lit(1)).alias("uses"))
+    counted = [col("facility_id"), col("is_primary_affiliation"), col("end_date")] if stats else []
+    more = [F.count("facility_id").alias("total_affiliations"), F.count_if("is_primary_affiliation").alias("primary_affiliations"),
+            F.count_if(col("end_date").isNull()).alias("active_affiliations")] if stats else []
+    used = a.select(*counted, F.explode(F.array(key("provider"), key("facility"))).alias("k")).groupBy("k.side", "k.entity_id").agg(
+        F.count(lit(1)).alias("uses"), *more)
     entity = lambda df, side, name: df.select(
         lit(side).alias("side"), col(f"{side}_id").cast("string").alias("entity_id"), col(name).alias("name"),
-        (_is_active() if side == "provider" else lit(True)).alias("checked"))
+        (F.coalesce(_is_active(), lit(False)) if side == "provider" else lit(True)).alias("checked"))
     known = entity(p, "provider", "full_name").unionByName(entity(f, "facility", "facility_name"))
-    met = known.join(used, ["side", "entity_id"], "full_outer").where(col("checked").isNull() | (col("uses").isNull() & col("checked")))
-    provider, missing = col("side") == "provider", col("checked").isNull()
-    out = met.select(
-        F.when(missing, F.concat(lit("affiliation_missing_"), col("side"))).when(provider, "provider_no_affiliations").otherwise(
-            "facility_no_providers").alias("entity_type"), "entity_id",
-        F.when(missing, F.concat(F.when(provider, "Provider ID: ").otherwise("Facility ID: "), col("entity_id"))).otherwise(
-            F.concat(F.when(provider, "Provider: ").otherwise("Facility: "), F.coalesce("name", "entity_id"))).alias("entity_name"),
-        F.coalesce("uses", lit(1)).alias("uses"))
+    return known.join(used, ["side", "entity_id"], "full_outer")
+
+
+ORPHAN = "Orphaned record detected"
+
+
+def orphan_kind() -> Column:
+    return F.when(col("checked").isNull(), F.concat(lit("affiliation_missing_"), col("side"))).when(
+        col("side") == "provider", "provider_no_affiliations").otherwise("facility_no_providers")
+
+
+def orphan_name() -> Column:
+    provider = col("side") == "provider"
+    return F.when(col("checked").isNull(), F.concat(F.when(provider, "Provider ID: ").otherwise("Facility ID: "), col("entity_id"))).otherwise(
+        F.concat(F.when(provider, "Provider: ").otherwise("Facility: "), F.coalesce("name", "entity_id")))
+
+
+def orphan_rows(tables: Tables) -> DataFrame:
+    """``entity_type, entity_id, entity_name`` of the four orphan kinds."""
+    met = linked_entities(tables).where(col("checked").isNull() | (col("uses").isNull() & col("checked")))
+    out = met.select(orphan_kind().alias("entity_type"), "entity_id", orphan_name().alias("entity_name"), F.coalesce("uses", lit(1)).alias("uses"))
     return repeated(out, "uses")
 
 
@@ -273,7 +345,7 @@ def cross_reference_integrity(tables: Tables, variant: str = "standard", asof: d
     out = stacked.select(
         lit("cross_reference_integrity").alias("rule_name"),
         unknown(col("entity_type")).alias("entity_type"), unknown(col("entity_id")).alias("entity_id"), "entity_name",
-        lit("Orphaned record detected").alias("issue_description"), lit("HIGH").alias("severity"),
+        lit(ORPHAN).alias("issue_description"), lit("HIGH").alias("severity"),
     )
     return presented(out, ["entity_type", "entity_id"], None if variant == "standard" else limit, ordered)
 
@@ -290,23 +362,8 @@ def contact_validation(tables: Tables, variant: str = "standard", asof: dt.date
     if variant == "standard":
         # Rows without e-mail are removed first, so their outcome can never appear here.
         known = p.where(~no_email).select(*out)
-        rows = known.join(duplicate_counts(known, "email"), "email", "left")
-        return presented((
-            rows.where(no_phone | bad_email | bad_phone | test_email | (dup > 1))
-            .select(
-                lit("contact_validation").alias("rule_name"), *out,
-                first_match(
-                    (bad_email, "Invalid email format"),
-                    (test_email, "Test/dummy email detected"),
-                    (no_phone, "Missing phone number"),
-                    (bad_phone, "Invalid phone number format"),
-                    (dup > 1, "Duplicate email address"),
-                    default="Other contact validation issue",
-                ).alias("issue_description"),
-                first_match((phone.isNull(), "HIGH"), (bad_email | bad_phone, "MEDIUM"), (dup > 1, "MEDIUM"),
-                            default="LOW").alias("severity"),
-            )
-        ), [col("severity").desc(), "provider_id"], None, ordered)
+        counted = known.join(duplicate_counts(known, "email"), "email", "left")
+        return presented(hits(counted, contact_rule()), [col("severity").desc(), "provider_id"], None, ordered)
     active = p.where(_is_active()).select(*out)
     flags = active.select(
         *out,

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.rules import RULES
+from cohortlens.plans import fused
 from cohortlens.session import stored
 
 col, lit = F.col, F.lit
 Tables = Mapping[str, DataFrame]
 Rule = Callable[..., DataFrame]
 
-LONG_COLUMNS = ("rule_name", "entity_id", "provider_id", "facility_id", "issue_description", "severity", "details")
+LONG_COLUMNS = fused.LONG_COLUMNS
 # Rule settings (enabled, severity, confidence threshold). Rules not named are enabled and MEDIUM.
 SETTINGS = (
     ("provider_name_inconsistency", True, "HIGH", 75.0),
@@ -64,11 +65,13 @@ def run_rules(tables: Tables, asof: dt.date, variant: str = "standard", only: Se
     """One lazy table with the violations of all (or the named) rules, in no order.
 
     ``limits=False`` lifts the row limits of the rules. A disabled rule gives no rows. A rule that cannot be planned gives one ERROR row and the others go on.
+    Several standard rules that look at the same rows are planned as one pass over them (``fused``).
     """
     spark = next(iter(tables.values())).sparkSession
-    out = None
-    for name, rule in rules.items():
-        if name in disabled or (only is not None and name not in only):
+    wanted = {n: r for n, r in rules.items() if n not in disabled and (only is None or n in only)}
+    out, done = (fused.passes(tables, asof, {n for n, r in wanted.items() if r is RULES.get(n)}, limits) if variant == "standard" else (None, set()))
+    for name, rule in wanted.items():
+        if name in done:
             continue
         try:
             part = to_long(rule(tables, variant=variant, asof=asof, ordered=False, **({} if limits else {"limit": None})))
