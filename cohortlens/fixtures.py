@@ -178,6 +178,44 @@ SELECT provider_id, CASE WHEN CAST(substr(provider_id, 6) AS BIGINT) % 8 = 0 THE
        full_name, first_name, last_name, concat(license_state, 'X', substr(provider_id, 6)) AS license_number, license_state,
        CAST(NULL AS STRING) AS email, phone_number, last_updated - CAST(30 AS INT) AS last_updated
 FROM {providers} WHERE CAST(substr(provider_id, 6) AS BIGINT) % 3 <> 0
+""",
+    "people": """
+SELECT p.*, CASE k % 5 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bob' WHEN 2 THEN 'Carla' WHEN 3 THEN 'Dev' ELSE 'Eve' END AS fn,
+       concat(CASE k % 6 WHEN 0 THEN 'Bar' WHEN 1 THEN 'Schu' WHEN 2 THEN 'Hawl' WHEN 3 THEN 'Fitz' WHEN 4 THEN 'Tym' ELSE 'Pfis' END,
+              CASE ((k - k % 7) / 7) % 4 WHEN 0 THEN 'den' WHEN 1 THEN 'tar' WHEN 2 THEN 'wig' ELSE 'kell' END,
+              CASE ((k - k % 11) / 11) % 5 WHEN 0 THEN 'son' WHEN 1 THEN 'ley' WHEN 2 THEN 'man' WHEN 3 THEN 'berg' ELSE 'czyk' END) AS ln
+FROM (SELECT *, CAST(substr(provider_id, 6) AS BIGINT) AS k FROM {providers}) p
+""",
+    "people1": """
+SELECT provider_id, npi_number, concat(fn, ' ', ln) AS full_name, fn AS first_name, ln AS last_name,
+       concat(license_state, substr(provider_id, 6)) AS license_number, license_state, email, phone_number, last_updated
+FROM {people}
+""",
+    "people2": """
+SELECT provider_id, CASE WHEN k % 3 = 0 THEN NULL ELSE npi_number END AS npi_number, concat(fn, ' ', CASE WHEN k % 4 = 0 THEN concat(ln, substr(ln, length(ln), 1)) WHEN k % 7 = 0 THEN replace(ln, 'e', 'i') ELSE ln END) AS full_name, fn AS first_name, CASE WHEN k % 4 = 0 THEN concat(ln, substr(ln, length(ln), 1)) WHEN k % 7 = 0 THEN replace(ln, 'e', 'i') ELSE ln END AS last_name,
+       concat(license_state, substr(provider_id, 6)) AS license_number, license_state, email, phone_number, last_updated
+FROM {people}
+""",
+    "activity_records": """
+SELECT activity_id, CASE WHEN citation_count = 13 THEN 'TRAVEL' ELSE activity_type END AS activity_type,
+       CASE WHEN citation_count % 17 = 5 THEN -1 WHEN citation_count % 5 = 0 THEN NULL ELSE citation_count * 3 END AS patient_count,
+       CASE WHEN citation_count = 7 THEN -citation_count ELSE citation_count END AS citation_count,
+       CASE WHEN citation_count % 10 = 9 THEN NULL ELSE citation_count % 10 END AS author_position
+FROM {activities}
+""",
+    "employments": """
+WITH e AS (
+  SELECT provider_id, facility_id, CASE WHEN year(start_date) = 1995 AND day(start_date) = 3 THEN end_date + 1 ELSE start_date END AS start_date, end_date,
+         CASE day(start_date) % 8 WHEN 0 THEN 'Full-time' WHEN 1 THEN 'Part-time' WHEN 2 THEN 'Consulting' WHEN 3 THEN 'Locum' WHEN 4 THEN 'Volunteer'
+              WHEN 5 THEN 'Academic' WHEN 6 THEN NULL ELSE 'Gig' END AS employment_type,
+         CAST(CASE WHEN day(start_date) = 17 THEN 2 ELSE 1 END AS DOUBLE) AS confidence_score
+  FROM {affiliations})
+SELECT * FROM e UNION ALL SELECT * FROM e WHERE day(start_date) = 29
+""",
+    "notes": """
+SELECT doc_id, concat(coalesce(text, ''), CASE doc_id % 6 WHEN 0 THEN ' The mechanism is UNCLEAR, and future research needs further data.' WHEN 1 THEN ' Lack of evidence.'
+       WHEN 2 THEN ' More studies needed: the dose is not well understood' ELSE '' END) AS text
+FROM {documents}
 """,
     "snapshot_new": """
 SELECT provider_id, full_name, CASE WHEN CAST(substr(provider_id, 6) AS BIGINT) % 11 = 0 THEN 'changed@clinic.org' ELSE email END AS email,

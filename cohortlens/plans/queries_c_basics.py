@@ -325,14 +325,23 @@ register("sf03_email_domain", P, """
 SELECT substr(email, instr(email, '@') + 1) AS domain, count(*) AS n FROM providers WHERE email LIKE '%@%' AND record_status = 'ACTIVE' GROUP BY 1""")(
     lambda t: t["providers"].where(PR.like_ci(col("email"), "%@%") & (col("record_status") == "ACTIVE")).groupBy(
         F.expr("substr(email, instr(email, '@') + 1)").alias("domain")).agg(F.count(lit(1)).alias("n")))
+def soundex_sql(name: str) -> str:
+    """Soundex of a name that begins with a letter: consonants as digits, equal neighbours (H and W between them) once."""
+    code = f"translate(regexp_replace(upper({name}), '[^A-Z]', 'A', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+    digits = f"replace(concat(replace({code}[1], '7', '0'), substr({code}, 2)), '7', '')"
+    for d in "123456":
+        digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN {name} IS NOT NULL THEN rpad(concat(upper({name})[1], left(replace(substr({digits}, 2), '0', ''), 3)), 4, '0') END"
+
+
 register("sf04_name_block", P, """
 SELECT concat(upper(first_name[1]), upper(last_name[1]), length(last_name)) AS block, count(*) AS n FROM providers
 WHERE first_name IS NOT NULL AND last_name IS NOT NULL GROUP BY 1""")(
     lambda t: t["providers"].where(col("first_name").isNotNull() & col("last_name").isNotNull()).groupBy(
         F.concat(F.upper(F.substring("first_name", 1, 1)), F.upper(F.substring("last_name", 1, 1)), F.length("last_name").cast("string")).alias("block"))
     .agg(F.count(lit(1)).alias("n")))
-register("sf05_soundex", P, """
-SELECT CASE WHEN last_name IS NULL THEN NULL ELSE 'S530' END AS code, count(*) AS n FROM providers GROUP BY 1""")(
+register("sf05_soundex", P, f"""
+SELECT {soundex_sql('last_name')} AS code, count(*) AS n FROM providers GROUP BY 1""")(
     lambda t: t["providers"].groupBy(F.soundex("last_name").alias("code")).agg(F.count(lit(1)).alias("n")))
 register("sf06_similarity", P, f"SELECT provider_id, round({similarity_sql('full_name', 'last_name')}, 6) AS sim FROM providers WHERE full_name IS NOT NULL AND last_name IS NOT NULL")(
     lambda t: t["providers"].where(col("full_name").isNotNull() & col("last_name").isNotNull()).select(

@@ -12,6 +12,7 @@ from cohortlens.operators import joins as J
 from cohortlens.operators import master as M
 from cohortlens.plans import runner as RN
 from cohortlens.plans import saved as SV
+from cohortlens.plans.queries_c_basics import similarity_sql, soundex_sql
 from cohortlens.plans.registry import SQL, register
 from cohortlens.sources import reports as RP
 from cohortlens.sources import tables as IO
@@ -69,14 +70,12 @@ _EXACT = """
 a3 AS (SELECT 'source1' AS source, * FROM source1 UNION ALL SELECT 'source2', * FROM source2 UNION ALL SELECT 'source3', * FROM source3),
 k1 AS (SELECT npi_number FROM a3 WHERE npi_number IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) = 3),
 e AS (SELECT 'NPI_MATCH' AS match_type, npi_number AS match_key, source, provider_id FROM a3 SEMI JOIN k1 USING (npi_number))"""
-_FUZZY = """
-f0 AS (SELECT source, provider_id, concat_ws('|', 'S530', first_name[1], license_number) AS match_key FROM a3
+_FUZZY = f"""
+f0 AS (SELECT source, provider_id, concat_ws('|', {soundex_sql('last_name')}, first_name[1], license_number) AS match_key FROM a3
        WHERE last_name IS NOT NULL AND first_name IS NOT NULL AND license_number IS NOT NULL
          AND (source = 'source2' OR (source = 'source1' AND provider_id NOT IN (SELECT provider_id FROM e WHERE source = 'source1')))),
 k2 AS (SELECT match_key FROM f0 GROUP BY 1 HAVING count(DISTINCT source) = 2),
 f AS (SELECT 'FUZZY_MATCH' AS match_type, match_key, source, provider_id FROM f0 SEMI JOIN k2 USING (match_key))"""
-from cohortlens.plans.queries_c_basics import similarity_sql  # noqa: E402
-
 _INST = f"""
 nn AS (SELECT a.n AS n1, b.n AS n2, {similarity_sql('a.n', 'b.n')} AS similarity
        FROM (SELECT DISTINCT full_name AS n FROM source1 WHERE full_name IS NOT NULL) a, (SELECT DISTINCT full_name AS n FROM source2 WHERE full_name IS NOT NULL) b),
