@@ -2,17 +2,18 @@
 
 Misra-Gries counters (``DataFrame.freqItems``) name every digest that may hold more than ``support`` of the rows; at most
 1/support of them. Those are counted exactly, and the ones that do repeat, with their winners, are broadcast, so rows of
-large groups are decided where they are read. All other digests go through one ordinary shuffle, where a group holds at
-most ``support`` of the rows.
+large groups are decided where they are read. All other digests are counted with their winners by an ordinary aggregate,
+combined before its shuffle, and joined back: no task has to hold a group, and a join partition that comes out large can be split.
 
 Defined results: null text counts as empty; texts without any character but whitespace are equal to each other; a null id
 comes after all others when ties are broken; rows that repeat the winner's id and length are the same document and are
-all kept; an empty table gives no rows. Columns other than id and text are not read.
+all kept; a very long text is hashed and counted where it is read, and only its hash and length go on; an empty table
+gives no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.frames import WS, docs
@@ -37,11 +38,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     split = narrow.join(F.broadcast(heavy), "digest", "left")
     large = split.where(col("group_size").isNotNull()).select(
         "doc_id", "digest", "n", col("best.doc_id").alias("keep_id"), (-col("best.n")).alias("keep_n"), "group_size")
-    group = Window.partitionBy("digest")
-    first = group.orderBy(col("n").desc(), col("doc_id").asc_nulls_last())
-    rest = split.where(col("group_size").isNull()).select(
-        "doc_id", "digest", "n", F.first("doc_id").over(first).alias("keep_id"), F.first("n").over(first).alias("keep_n"),
-        F.count(lit(1)).over(group).alias("group_size"))
+    few = split.where(col("group_size").isNull()).select("doc_id", "digest", "n")
+    winners = few.groupBy("digest").agg(best.alias("best"), F.count(lit(1)).alias("group_size"))
+    rest = few.join(winners, "digest").select(
+        "doc_id", "digest", "n", col("best.doc_id").alias("keep_id"), (-col("best.n")).alias("keep_n"), "group_size")
     return large.unionByName(rest).select(
         "doc_id", "keep_id", "group_size",
         (col("doc_id").eqNullSafe(col("keep_id")) & (col("n") == col("keep_n"))).alias("kept"), col("digest").alias("text_sha256"))
