@@ -5,7 +5,8 @@ apart are found among distinct fingerprints, so copies never meet in pairs:
 
 1. Of seven bit blocks, a pair within four bits agrees on at least three; each fingerprint therefore goes to 35 groups,
    one per choice of three blocks (27 bits or more, so that unlike fingerprints seldom meet). Groups of one are left out by a count; groups of
-   two are settled by the count's minimum and maximum.
+   two are settled by the count's minimum and maximum; larger groups get their members by a join, before which a bit table leaves
+   out nearly all fingerprints that are in none.
 2. In a group of up to ``GROUP`` fingerprints, a table holds each one's Hamming distance to ``PIVOTS`` reference
    fingerprints. Distances to one reference differ by no more than the pair's own distance, so a pair is discarded by its
    maximum coordinate difference; survivors are verified. Sorted by the first coordinate, only rows near each other are
@@ -43,6 +44,8 @@ col, lit = F.col, F.lit
 BITS, BLOCKS, GROUP, PIVOTS, SEED = 4, 7, 2048, 16, 42
 #: Shingles that are counted at once.
 STEP = 1 << 18
+#: Bits of the table of groups above two, in words of 64: at most 2^18 rows of a broadcast, however many groups there are.
+SPOTS = 1 << 24
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
@@ -107,13 +110,23 @@ def forest(fps: np.ndarray, pivots: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def in_groups(keyed: DataFrame, groups: DataFrame, spots: int = SPOTS) -> DataFrame:
+    """Rows of ``keyed`` with their group of ``groups`` (``c, key, n``). A bit table of the groups keeps nearly all other
+    rows out of the shuffle; its errors only let rows through to the join, which is exact."""
+    spot = F.pmod(F.xxhash64("c", "key"), lit(spots))
+    word, bit = F.shiftright(spot, 6).alias("_w"), F.call_function("shiftleft", lit(1).cast("long"), spot.bitwiseAND(lit(63)).cast("int"))
+    table = groups.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    likely = keyed.select("*", word, bit.alias("_bit")).join(F.broadcast(table), "_w").where(col("_bits").bitwiseAND(col("_bit")) != 0)
+    return likely.select(*keyed.columns).join(groups, ["c", "key"])
+
+
 def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     """``src, dst``: links among the distinct values of ``fp`` that connect what is at most four bits apart."""
     masks = [F.struct(lit(i).alias("c"), col("fp").bitwiseAND(lit(m)).alias("key")) for i, m in enumerate(block_masks())]
     keyed = fps.select("fp", F.inline(F.array(*masks)))
     sizes = stored(keyed.groupBy("c", "key").agg(F.count(lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where(col("n") > 1), "simhash-groups")
     pairs = sizes.where((col("n") == 2) & (F.bit_count(col("a").bitwiseXOR(col("b"))) <= BITS)).select(col("a").alias("src"), col("b").alias("dst"))
-    members = stored(keyed.join(sizes.where(col("n") > 2).select("c", "key", "n"), ["c", "key"]), "simhash-members")
+    members = stored(in_groups(keyed, sizes.where(col("n") > 2).select("c", "key", "n")), "simhash-members")
     # A group of the same members comes up under many choices of blocks; it is looked at once.
     small = members.where(col("n") <= group).groupBy("c", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).select("fps").distinct()
 

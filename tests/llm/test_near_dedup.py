@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from cohortlens.llm import simhash
 
 from .conftest import ROWS
 from .test_dedup import components, fingerprint
@@ -57,3 +58,27 @@ def test_lines_without_counts(spark):
     df = spark.createDataFrame([(1, "a line of five words here", "r"), (2, "a line of five words here\nmore", "s")], "doc_id long, text string, row string")
     got = corpus_pipeline.dedup_lines(spark, df, "")
     assert sorted(map(tuple, got.collect())) == [(1, "a line of five words here", "r"), (2, "more", "s")]
+
+
+@pytest.mark.parametrize("spots", [64, simhash.SPOTS])
+def test_only_members_of_groups_are_joined(spark, spots):
+    """A bit table keeps rows without a group out of the join; a table that is too small lets more rows through and loses none."""
+    keyed = spark.range(6000).selectExpr("cast(id % 3 as int) c", "id * 7919 % 3000 key", "id fp")
+    groups = spark.range(40).selectExpr("cast(id % 3 as int) c", "id * 7919 % 3000 key", "id + 3 n")
+    got = simhash.in_groups(keyed, groups, spots)
+    want = keyed.join(groups, ["c", "key"])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_links_shuffle_few_rows_for_members(spark, monkeypatch):
+    """Fingerprints whose bits no other shares are not dealt out a second time."""
+    r, real, plans = random.Random(3), simhash.stored, {}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    values = [r.getrandbits(64) for _ in range(2000)]
+    values += [values[0] ^ (1 << b) for b in (3, 30, 60)]
+    monkeypatch.setattr(simhash, "stored", lambda df, name: plans.update({name: df}) or real(df, name))
+    edges = simhash.links(spark.createDataFrame([(signed(x),) for x in values], "fp long")).collect()
+    assert {x for e in edges for x in e} == {signed(x) for x in [values[0], *values[-3:]]}
+    plan = plans["simhash-members"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2 and "rightHint=(strategy=broadcast)" in plan
